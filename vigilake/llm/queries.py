@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language_id import identify
+from .mixing import mix, mix_sql
 from .near_dedup import near_duplicates
+from .packing import pack
+from .quality import score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +20,27 @@ def _hex64(x: Column) -> Column:
     return F.lpad(F.lower(F.hex(x)), 16, "0")
 
 
+def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", _hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash_near_dedup": op10_simhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_rule_quality, op6_poisson_mixing, op8_language_id, op10_simhash_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": mix_sql()}
