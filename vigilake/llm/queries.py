@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import identify
+from .line_dedup import dedup_lines
 from .mixing import mix, mix_sql
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -37,10 +38,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", _hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_rule_quality, op6_poisson_mixing, op8_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_rule_quality, op6_poisson_mixing, op8_language_id, op9_fuzzy_line_dedup, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": mix_sql()}
