@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -109,18 +110,21 @@ def train(rows: DataFrame, per_language: int = 20_000, smoothing: float = 0.5, i
     return langs, np.vstack([logp, np.zeros((1, len(langs)))])
 
 
-def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) of each row; ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
+def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``carry`` (default: doc_id) with lang_pred and score of each row; ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
 
     Every n-gram of the whole text counts. Rows repeat as in the input; equal
-    scores go to the first language in order; other columns are not read.
+    scores go to the first language in order; carried columns of those two
+    names are replaced, and other columns are not read.
     """
     table = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
-    kind = docs.schema[id_col].dataType.simpleString()
+    names = [c for c in (["doc_id"] if carry is None else carry) if c.lower() not in ("lang_pred", "score")]
+    given = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(len(names)).to_pylist()
             best, scores = [], []
             for i, j in _chunks(texts):
                 starts, has, grams = _grams(texts[i:j])
@@ -137,9 +141,9 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, id_col: str = "
                     w = int(total[k].argmax())
                     best.append(langs[w])
                     scores.append(float(1 / np.exp(np.clip(total[k] - total[k, w], -700, 0)).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return given.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

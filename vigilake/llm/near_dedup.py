@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .links import hamming_components
 from .scratch import materialise
@@ -33,32 +34,50 @@ def simhash(text: bytes, words: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(spans)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp long) of each row; null text counts as empty, whose fingerprint is 0."""
-    kind = docs.schema[id_col].dataType
+def fingerprints(docs: DataFrame, words: int, carry: list[str], text_col: str = "text") -> DataFrame:
+    """``carry`` and fp (long) of each row; null text counts as empty, whose fingerprint is 0."""
+    given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("__text"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
+            texts = b.column(len(carry)).cast(pa.large_binary())
             fp = [simhash(t.as_py() or b"", words) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], names=[f.name for f in schema])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, fp long")
+    return given.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp, component_id) of each row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, carry, fp, component_id) of each row of ``docs``.
 
     Rows whose fingerprints differ in at most ``distance`` bits are linked;
-    ``component_id`` is the least id reachable. Rows repeat as in the input;
-    null or blank texts share fingerprint 0 and are linked like any others; null
-    ids are carried and never name a component unless nothing else does. Other
-    columns of ``docs`` are not read. An empty table gives an empty result.
+    ``component_id`` is the least id reachable. The 64 bits are cut into
+    ``blocks`` (default: two more than ``distance``). Rows repeat as in the
+    input; null or blank texts share fingerprint 0 and are linked like any
+    others; null ids are carried and never name a component unless nothing else
+    does. Other columns of ``docs`` are not read. An empty table gives an empty
+    result.
     """
-    marked = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    marked = materialise(fingerprints(docs, words, [id_col, *carry], text_col), "fingerprints")
     least = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    groups = hamming_components(least.select(F.col("fp").alias("id"), "fp"), distance, distance + 2)
+    groups = hamming_components(least.select(F.col("fp").alias("id"), "fp"), distance, blocks or distance + 2)
     roots = groups.toDF("fp", "root").join(least, "fp").groupBy("root").agg(F.min("first").alias("least"))
     linked = groups.toDF("fp", "root").join(roots, "root").select("fp", "least")
     named = materialise(least.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    return marked.join(named, "fp").select(id_col, *carry, "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that represent their component: of each, one row of its least id (of several: the one whose text has the smallest hash).
+
+    All columns stay. Rows that repeat keep one; rows with null ids are
+    components by their links like others and keep one for each fingerprint.
+    """
+    hashed = docs.withColumn("__hash", F.xxhash64(text_col))
+    found = near_duplicates(hashed, words, distance, blocks, id_col, text_col, ("__hash",))
+    stays = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min("__hash").alias("__kept"))
+    stays = materialise(stays.select(F.col("component_id").alias("__id"), "__kept"), "stays")
+    kept = hashed.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")))
+    once = Window.partitionBy(id_col, "__hash").orderBy(F.lit(1))
+    return kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
