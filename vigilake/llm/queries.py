@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .language_id import identify
 from .line_dedup import dedup_lines
 from .mixing import mix, mix_sql
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score
+from .topk import top_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,10 @@ def _hex64(x: Column) -> Column:
     return F.lpad(F.lower(F.hex(x)), 16, "0")
 
 
+def op1_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -30,6 +36,10 @@ def op3_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_scores(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +57,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_rule_quality, op6_poisson_mixing, op8_language_id, op9_fuzzy_line_dedup, op10_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": mix_sql()}
+QUERIES = {f.__name__: f for f in (op1_hnsw_shards, op2_hilbert_packing, op3_rule_quality, op5_threshold_topk, op6_poisson_mixing, op8_language_id, op9_fuzzy_line_dedup, op10_simhash_near_dedup)}
+#: Every query against every row, in integers.
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
+     p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 5"""
+
+ORACLE_SQL: dict[str, str] = {"op5_threshold_topk": TOPK_SQL, "op6_poisson_mixing": mix_sql()}
