@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .language_id import identify
+from .licenses import document_path, license_scan, license_sql
 from .line_dedup import dedup_lines
 from .mixing import mix, mix_sql
 from .near_dedup import near_duplicates
@@ -36,6 +37,10 @@ def op3_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"), document_path())
+
+
 def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_scores(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -57,7 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_hnsw_shards, op2_hilbert_packing, op3_rule_quality, op5_threshold_topk, op6_poisson_mixing, op8_language_id, op9_fuzzy_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hnsw_shards, op2_hilbert_packing, op3_rule_quality, op4_license_scan, op5_threshold_topk, op6_poisson_mixing, op8_language_id, op9_fuzzy_line_dedup, op10_simhash_near_dedup)}
 #: Every query against every row, in integers.
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
@@ -66,4 +71,4 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
      r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 5"""
 
-ORACLE_SQL: dict[str, str] = {"op5_threshold_topk": TOPK_SQL, "op6_poisson_mixing": mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": license_sql(), "op5_threshold_topk": TOPK_SQL, "op6_poisson_mixing": mix_sql()}
