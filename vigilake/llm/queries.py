@@ -13,6 +13,7 @@ from .mixing import mix, mix_sql
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score
+from .substrings import repeated_substrings
 from .topk import top_scores
 
 
@@ -49,6 +50,11 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +68,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_hnsw_shards, op2_hilbert_packing, op3_rule_quality, op4_license_scan, op5_threshold_topk, op6_poisson_mixing, op8_language_id, op9_fuzzy_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hnsw_shards, op2_hilbert_packing, op3_rule_quality, op4_license_scan, op5_threshold_topk, op6_poisson_mixing, op7_substring_dedup, op8_language_id, op9_fuzzy_line_dedup, op10_simhash_near_dedup)}
 #: Every query against every row, in integers.
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
