@@ -11,49 +11,52 @@ from .links import hamming_components
 from .scratch import materialise
 
 
-def line_words(line: Column) -> Column:
-    """A line in normal form: its lower-case words."""
-    return F.split(F.trim(F.lower(line)), r"\s+")
+#: Bits of a lane: 7 lanes of a long count up to 255 words each and leave the sign alone.
+LANE, MOST = 9, 255
+ONES = sum(1 << at for at in range(0, 63, LANE))
+SUMS = [f"s{j}" for j in range(LANE)]
 
 
-def _lanes(words: Column, spacing: int) -> Column:
-    """The 63-bit SimHash of fewer than 2 ** (spacing - 1) words, counted in lanes of ``spacing`` bits of a long.
+def normal(line: Column) -> Column:
+    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
 
-    Lane l of sum j counts bit j + spacing * l, so one word takes ``spacing``
-    additions instead of 63, and a comparison of a sum compares all its lanes.
-    """
-    ones = sum(1 << at for at in range(0, 63, spacing))
-    fields = [f"s{j}" for j in range(spacing)]
-    zero = F.struct(*[F.lit(0).cast("long").alias(f) for f in fields])
-
-    def add(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones).cast("long"))).alias(f) for j, f in enumerate(fields)])
-
-    over = F.lit(1 << (spacing - 1)).cast("long") - F.floor(F.size(words) / 2) - 1
-
-    def majority(acc: Column) -> Column:
-        bits = [F.shiftleft(F.shiftrightunsigned(acc[f] + over * F.lit(ones).cast("long"), spacing - 1).bitwiseAND(F.lit(ones).cast("long")), j) for j, f in enumerate(fields)]
-        return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
-    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), zero, add, majority)
+def _majority(n: Column) -> Column:
+    """The 63 bits that over half of ``n`` words have, from the sums: one addition compares all lanes of a sum."""
+    over = F.lit(MOST).cast("long") - F.floor(n / 2)
+    bits = [F.shiftleft(F.shiftrightunsigned(F.col(f) + over * F.lit(ONES), LANE - 1).bitwiseAND(F.lit(ONES)), j) for j, f in enumerate(SUMS)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def line_simhash(words: Column) -> Column:
-    """A bit is 1 if it is set in over half of the words' hashes."""
-    n = F.size(words)
-    return F.when(n < 1 << 8, _lanes(words, 9)).when(n < 1 << 20, _lanes(words, 21)).otherwise(_lanes(words, 63))
+def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, n and fp of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n distinct words.
 
-
-def _symbols(words: Column) -> Column:
+    A bit is 1 if it is set in over half of the words' hashes. Lane l of sum j
+    counts bit j + 9 * l, so a word costs 9 additions and stays in generated
+    code; lines of more words than a lane can count are added up bit by bit.
+    """
+    words = lines.withColumn("ws", F.array_distinct(F.split("norm", " "))).select(*keys, F.size("ws").alias("n"), F.posexplode("ws").alias("at", "w"))
+    hashed = words.select(*keys, "n", F.floor(F.col("at") / MOST).alias("part"), F.xxhash64("w").alias("h"))
+    sums = hashed.groupBy(*keys, "n", "part").agg(*[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ONES))).alias(f) for j, f in enumerate(SUMS)])
+    few = F.col("n") <= MOST
+    rows = materialise(sums.select(*keys, "n", F.when(few, _majority(F.col("n"))).alias("fp"), *[F.when(~few, F.col(f)).alias(f) for f in SUMS]), "lines")
+    counters = F.array(*[F.shiftrightunsigned(SUMS[bit % LANE], LANE * (bit // LANE)).bitwiseAND(F.lit((1 << LANE) - 1)) for bit in range(63)])
+    bits = rows.filter(~few).select(*keys, "n", F.posexplode(counters).alias("bit", "c")).groupBy(*keys, "n", "bit").agg(F.sum("c").alias("c"))
+    long = bits.groupBy(*keys, "n").agg(F.bit_or(F.when(F.col("c") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("fp"))
+    return rows.filter(few).select(*keys, "n", "fp").unionByName(long)
+
+
+def symbols(norm: Column) -> Column:
     """One printable character a word, from its hash, so that edits of words are edits of characters."""
-    return F.array_join(F.transform(words, lambda w: F.chr(F.pmod(F.xxhash64(F.lit(9), w), F.lit(94)) + 33)), "")
+    return F.array_join(F.transform(F.split(norm, " "), lambda w: F.chr(F.pmod(F.xxhash64(w), F.lit(94)) + 33)), "")
 
 
 def similar(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two symbol strings have a word edit similarity of at least ``similarity``."""
+    """Whether two strings have an edit similarity of at least ``similarity``."""
     longer = F.greatest(F.length(a), F.length(b))
-    allowed = F.floor(longer * (1 - similarity) + 1e-9)
-    return (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.levenshtein(a, b) <= allowed)
+    allowed = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
+    # with a bound only the band that can stay within it is computed; -1: beyond it
+    return (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.call_function("levenshtein", a, b, allowed) >= 0)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 10, fuzzy_words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
@@ -62,23 +65,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``__text`` is the hash of the text: rows with the same id and text count as
     one document. Lines whose normal form has fewer than ``least_chars``
     characters stay. Equal normal forms are one line; lines of at least
-    ``fuzzy_words`` words are also linked if their SimHashes differ in at most
-    ``distance`` bits and their word edit similarity is at least
-    ``similarity``. Of each connected group the occurrence with the smallest
+    ``fuzzy_words`` distinct words are also linked if their SimHashes differ in
+    at most ``distance`` bits and the edit similarity of their words is at
+    least ``similarity``. Of each connected group the occurrence with the smallest
     id, text hash and position stays.
     """
     lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    worded = lines.select("__id", "__text", "pos", line_words(F.col("line")).alias("w")).filter(F.length(F.array_join("w", " ")) >= least_chars)
-    fuzzy = F.size("w") >= fuzzy_words
-    seen = worded.select(
-        "__id", "__text", "pos", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"),
-        F.when(fuzzy, line_simhash(F.col("w"))).alias("fp"), F.when(fuzzy, _symbols(F.col("w"))).alias("symbols"),
-    )
-    seen = materialise(seen, "lines")
+    worded = lines.select("__id", "__text", "pos", normal(F.col("line")).alias("norm")).filter(F.length("norm") >= least_chars)
+    worded = worded.select("__id", "__text", "pos", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), "norm")
+    seen = simhashes(worded, ["__id", "__text", "pos", "k1", "k2"]).withColumn("fp", F.when(F.col("n") >= fuzzy_words, F.col("fp"))).drop("n")
     distinct = materialise(seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")), "distinct")
     nodes = distinct.filter("fp is not null").groupBy(F.col("k1").alias("id")).agg(F.min("fp").alias("fp"))
-    texts = seen.filter("fp is not null").select(F.col("k1").alias("id"), F.col("symbols").alias("text"))
-    linked = hamming_components(nodes, distance, distance + 2, texts, lambda a, b: similar(a, b, similarity)).toDF("k1", "root")
+    texts = worded.select(F.col("k1").alias("id"), F.col("norm").alias("text"))
+    linked = hamming_components(nodes, distance, distance + 2, texts, lambda a, b: similar(a, b, similarity), symbols).toDF("k1", "root")
     groups = distinct.join(linked, "k1", "left").filter("n > 1 or root is not null").select("k1", "k2", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2"))
     groups = materialise(groups, "groups")
     many = materialise(seen.select("__id", "__text", "pos", "k1", "k2").join(groups, ["k1", "k2"]).select("__id", "__text", "pos", "g1", F.coalesce("g2", F.lit(0)).alias("g2"), F.col("g2").isNull().alias("g3")), "repeated")

@@ -63,11 +63,12 @@ def block_keys(fp: Column, distance: int, blocks: int) -> list[Column]:
     return keys
 
 
-def hamming_components(items: DataFrame, distance: int, blocks: int, texts: DataFrame | None = None, verify: Callable[[Column, Column], Column] | None = None, tile: int = 128) -> DataFrame:
+def hamming_components(items: DataFrame, distance: int, blocks: int, texts: DataFrame | None = None, verify: Callable[[Column, Column], Column] | None = None, digest: Callable[[Column], Column] = lambda text: text, tile: int = 128) -> DataFrame:
     """(node, root) of each ``id`` of ``items`` (id long, unique; fp long) that has a link.
 
     A link joins two ids whose fingerprints differ in at most ``distance`` bits
-    and, with ``verify``, whose ``text`` in ``texts`` (id, text; rows may repeat) passes it.
+    and, with ``verify``, whose ``text`` in ``texts`` (id, text; rows may repeat), or what
+    ``digest`` makes of it, passes it.
     Buckets of two are settled from their aggregate. Larger ones are cut into
     tiles of about ``tile`` members; in each round a member names one linked
     member of each tile that has another component so far, and rounds go on
@@ -85,7 +86,7 @@ def hamming_components(items: DataFrame, distance: int, blocks: int, texts: Data
     if verify is not None:
         two = materialise(two, "pairs")
         ids = two.select(F.col("u").alias("id")).unionByName(two.select(F.col("v").alias("id"))).unionByName(rows.select("id")).distinct()
-        texts = materialise(texts.join(ids, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
+        texts = materialise(texts.join(ids, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", digest(F.col("text")).alias("text")), "texts")
         left, right = texts.toDF("u", "a"), texts.toDF("v", "b")
         two = two.join(left, "u").join(right, "v").filter(verify(F.col("a"), F.col("b"))).select("u", "v")
         rows = rows.join(texts, "id")
