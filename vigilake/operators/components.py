@@ -1,0 +1,220 @@
+"""Risk components over strictly past behaviour, their fusion, and sequential scores."""
+
+from __future__ import annotations
+
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from vigilake.functions.scalar import clip_z, logit, normal_cdf, sigmoid
+from vigilake.operators.drift import cdf_grid, cdf_value, unpivot
+
+MIN_HISTORY, EPS, ZERO_MAD = 14, 1e-6, 1e-9
+
+
+def _median(a: Column) -> Column:
+    s = F.array_sort(a)
+    n = F.size(s)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
+
+
+def robust_z(df: DataFrame, col: str, out: str = "z", min_history: int = MIN_HISTORY, eps: float = EPS) -> DataFrame:
+    """``df`` with (x - median) / (MAD + eps) over each user's strictly earlier days; 0 with too few of them or no spread.
+
+    A user's history is bounded by the calendar; it is held as an array a row,
+    so this form suits histories of months. :func:`robust_z_grouped` is the
+    form for long ones.
+    """
+    past = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    held = df.withColumn("__h", F.collect_list(F.col(col).cast("double")).over(past)).withColumn("__m", _median(F.col("__h")))
+    held = held.withColumn("__mad", _median(F.transform("__h", lambda x: F.abs(x - F.col("__m")))))
+    z = F.when((F.size("__h") < min_history) | (F.col("__mad") < ZERO_MAD), F.lit(0.0)).otherwise((F.col(col) - F.col("__m")) / (F.col("__mad") + eps))
+    return held.withColumn(out, F.coalesce(z, F.lit(0.0))).drop("__h", "__m", "__mad")
+
+
+def robust_z_grouped(df: DataFrame, col: str, out: str = "z", min_history: int = MIN_HISTORY, eps: float = EPS) -> DataFrame:
+    """The same by one pass over each user's rows in numpy."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day", kind="stable")
+        x = pdf[col].to_numpy(float)
+        z = np.zeros(len(x))
+        for d in range(max(1, min_history), len(x)):
+            m = np.median(x[:d])
+            mad = np.median(np.abs(x[:d] - m))
+            z[d] = 0.0 if mad < ZERO_MAD else (x[d] - m) / (mad + eps)
+        return pdf.assign(**{out: z})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy("user_id").applyInPandas(run, f"{kinds}, `{out}` double")
+
+
+def behaviour_risk(df: DataFrame, features: list[str], out: str = "r_behavior", min_history: int = MIN_HISTORY) -> DataFrame:
+    """Mean over the features of Phi(min(|z|, 3))."""
+    held = df
+    for i, f in enumerate(features):
+        held = robust_z(held, f, f"__z{i}", min_history)
+    total = sum((normal_cdf(clip_z(F.col(f"__z{i}"))) for i in range(len(features))), F.lit(0.0))
+    return held.withColumn(out, total / float(len(features))).drop(*[f"__z{i}" for i in range(len(features))])
+
+
+def trust_risk(train: DataFrame, df: DataFrame, features: list[str], out: str = "r_trust", keys: tuple[str, ...] = ("user_id", "day")) -> DataFrame:
+    """Mean over the features of their training mid-rank percentile; a feature without spread in training counts 0.5.
+
+    All features go through one aggregate as (feature, value) and come back by
+    one join; only their distinct values are ordered, and these features (ratios
+    of small sets, counts) have few.
+    """
+    old = unpivot(train, [], features).filter("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    long = unpivot(df, list(keys), features)
+    asked = long.select("feature", "value").filter("value is not null").distinct().withColumn("c", F.lit(0).cast("long"))
+    values = old.unionByName(asked).groupBy("feature", "value").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    own = Window.partitionBy("feature")
+    p = (2 * F.col("hi") - F.col("c") - 1) / 2.0 / F.sum("c").over(own)
+    flat = F.count_if(F.col("c") > 0).over(own) <= 1
+    table = values.withColumn("hi", upto).select("feature", "value", F.when(flat, F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).alias("p"))
+    risk = long.join(table, ["feature", "value"], "left").groupBy(*keys).agg((F.sum(F.coalesce("p", F.lit(0.5))) / float(len(features))).alias(out))
+    return df.join(risk, list(keys))
+
+
+def risk_components(train: DataFrame, df: DataFrame, ml: str = "score") -> DataFrame:
+    """The first version: trust falls with consistency and rises with rarity, behaviour is the mean CDF of three counts."""
+    rare, acts = ["rare_device_usage_count", "rare_file_type_access_count"], ["after_hours_login_count", "unusual_access_count", "sensitive_file_access_count"]
+    held = df
+    for f in rare + acts:
+        held = held.crossJoin(F.broadcast(cdf_grid(train, f).withColumnRenamed("grid", f"__g_{f}")))  # one row
+    cdf = lambda f: cdf_value(F.col(f"__g_{f}"), F.col(f).cast("double"))
+    trust = ((1 - F.col("device_consistency_score")) + (1 - F.col("file_type_consistency_score")) + cdf(rare[0]) + cdf(rare[1])) / 4
+    held = held.withColumn("c_ml", F.col(ml)).withColumn("c_trust", trust).withColumn("c_behavior", sum((cdf(f) for f in acts[1:]), cdf(acts[0])) / 3)
+    return held.drop(*[f"__g_{f}" for f in rare + acts])
+
+
+def weighted(df: DataFrame, weights: dict[str, float], out: str = "risk") -> DataFrame:
+    return df.withColumn(out, sum((F.lit(w) * F.col(c) for c, w in weights.items()), F.lit(0.0)))
+
+
+def simplex_grid(spark, parts: int = 3, step: float = 0.1) -> DataFrame:
+    """(w_0, w_1, ...): all weights of that many parts in steps, summing to 1."""
+    n = round(1 / step)
+    rows = [()]
+    for _ in range(parts - 1):
+        rows = [(*r, k) for r in rows for k in range(n - sum(r) + 1)]
+    return spark.createDataFrame([tuple(x / n for x in (*r, n - sum(r))) for r in rows], ", ".join(f"w_{i} double" for i in range(parts)))
+
+
+def peers(roles: DataFrame, least: int = 5) -> DataFrame:
+    """(user_id, pool): the role if at least ``least`` others share it, else the department, else null."""
+    others = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) - 1
+    pool = F.when(F.col("role").isNotNull() & (others("role") >= least), F.concat(F.lit("role:"), F.col("role").cast("string"))).when(F.col("department").isNotNull() & (others("department") >= least), F.concat(F.lit("department:"), F.col("department").cast("string")))
+    return roles.select("user_id", pool.alias("pool"))
+
+
+def context_risk(df: DataFrame, pools: DataFrame, features: list[str], least: int = 20, eps: float = EPS, out: str = "r_context") -> DataFrame:
+    """Mean over the features of Phi(min(|z|, 3)) against other members of the user's pool on earlier days.
+
+    Peers' days of the same kind (weekday or weekend) count if there are
+    ``least``, else all their earlier days if those are enough, else the risk is
+    0.5. Each pool is one task: pools are the roles or departments of a firm.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["day", "user_id"], kind="stable").reset_index(drop=True)
+        if pdf["pool"].isna().any():
+            return pdf.drop(columns="pool").assign(**{out: 0.5})
+        day = pd.to_datetime(pdf["day"])
+        d, kind, who = day.to_numpy(), (day.dt.weekday < 5).to_numpy(), pdf["user_id"].to_numpy()
+        x = pdf[features].to_numpy(float)
+        risk = np.full(len(pdf), 0.5)
+        for i in range(len(pdf)):
+            past = (d < d[i]) & (who != who[i])
+            same = past & (kind == kind[i])
+            use = same if same.sum() >= least else past
+            if use.sum() < least:
+                continue
+            h = x[use]
+            m = np.median(h, axis=0)
+            mad = np.median(np.abs(h - m), axis=0)
+            z = np.where(mad < ZERO_MAD, 0.0, np.minimum(np.abs((x[i] - m) / (mad + eps)), 3.0))
+            risk[i] = np.mean([0.5 * (1 + math_erf(v / 2**0.5)) for v in z])
+        return pdf.drop(columns="pool").assign(**{out: risk})
+
+    return df.join(pools, "user_id", "left").groupBy("pool").applyInPandas(run, f"{kinds}, `{out}` double")
+
+
+def math_erf(x: float) -> float:
+    import math
+
+    return math.erf(x)
+
+
+def ewma(df: DataFrame, rho: float, score: str = "score", out: str = "smoothed") -> DataFrame:
+    """out[t] = (1 - rho) * s[t] + rho * out[t - 1] along each user's days, from the first score; a fold over the ordered days."""
+    days = df.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("day", F.col(score).cast("double").alias("s")))).alias("rows"))
+    start = F.array().cast("array<struct<day: date, o: double>>")
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))["o"]
+        return F.concat(acc, F.array(F.struct(r["day"].alias("day"), F.when(F.size(acc) == 0, r["s"]).otherwise((1 - rho) * r["s"] + rho * last).alias("o"))))
+
+    folded = days.select("user_id", F.explode(F.aggregate("rows", start, step)).alias("r")).select("user_id", "r.day", F.col("r.o").alias(out))
+    return df.join(folded, ["user_id", "day"])
+
+
+def fit_fusion(df: DataFrame, components: list[str], label: str = "is_malicious", rounds: int = 60, rate: float = 2.0, edge: float = 1e-6) -> dict[str, float]:
+    """Weights on the simplex with the least log-loss of the weighted score, by exponentiated gradient; each round is one row of sums."""
+    held = df.select(*[F.col(c).cast("double").alias(c) for c in components], F.col(label).cast("double").alias("__y")).cache()
+    w = np.full(len(components), 1 / len(components))
+    best = (np.inf, w)
+    for _ in range(rounds):
+        p = sum((F.lit(float(v)) * F.col(c) for v, c in zip(w, components, strict=True)), F.lit(0.0))
+        q = F.greatest(F.lit(edge), F.least(F.lit(1 - edge), p))
+        slope = (q - F.col("__y")) / (q * (1 - q))
+        loss = -(F.col("__y") * F.log(q) + (1 - F.col("__y")) * F.log(1 - q))
+        r = held.agg(F.avg(loss), *[F.avg(slope * F.col(c)) for c in components]).first()
+        best = min(best, (r[0], w), key=lambda x: x[0])
+        g = np.array(r[1:], float)
+        w = w * np.exp(-rate * g / (1 + np.abs(g).max()))
+        w /= w.sum()
+    held.unpersist()
+    return {c: float(v) for c, v in zip(components, best[1], strict=True)}
+
+
+def fit_binned_ratios(train: DataFrame, components: list[str], label: str = "is_malicious", bins: int = 10, prior: float = 1.0, cap: float = 5.0) -> DataFrame:
+    """(component, bin, llr): log ratio of class shares in equal-width bins of [0, 1], with a prior count, within +-cap."""
+    rows = unpivot(train, [label], components).withColumn("bin", F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int"))
+    c = rows.groupBy("feature", "bin").agg(F.sum(label).alias("pos"), (F.count(F.lit(1)) - F.sum(label)).alias("neg"))
+    own = Window.partitionBy("feature")
+    llr = F.log((F.col("pos") + prior) / (F.sum("pos").over(own) + prior * bins)) - F.log((F.col("neg") + prior) / (F.sum("neg").over(own) + prior * bins))
+    return c.select(F.col("feature").alias("component"), "bin", F.greatest(F.lit(-cap), F.least(F.lit(cap), llr)).alias("llr"))
+
+
+def score_binned_ratios(df: DataFrame, table: DataFrame, components: list[str], bins: int = 10, out: str = "fused") -> DataFrame:
+    held, total = df, F.lit(0.0)
+    for i, c in enumerate(components):
+        own = F.broadcast(table.filter(F.col("component") == c).select(F.col("bin").alias(f"__b{i}"), F.col("llr").alias(f"__l{i}")))  # at most ``bins`` rows
+        held = held.withColumn("__bin", F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("int")).join(own, F.col("__bin") == F.col(f"__b{i}"), "left").drop("__bin", f"__b{i}")
+        total = total + F.coalesce(f"__l{i}", F.lit(0.0))
+    return held.withColumn(out, sigmoid(total)).drop(*[f"__l{i}" for i in range(len(components))])
+
+
+def residual_logistic(df: DataFrame, ml: str, others: dict[str, float], out: str = "fused") -> DataFrame:
+    """Sigmoid of the model's logit plus non-negative weights on the other components."""
+    z = sum((F.lit(max(0.0, w)) * F.col(c) for c, w in others.items()), logit(F.col(ml)))
+    return df.withColumn(out, sigmoid(z))
+
+
+def equal_weights(df: DataFrame, components: list[str], out: str = "fused") -> DataFrame:
+    """What gated and sequence fusions fall back to where no deep-learning library is there."""
+    return weighted(df, {c: 1 / len(components) for c in components}, out)
+
+
+def sanity(df: DataFrame, components: list[str]) -> DataFrame:
+    """(component, n_null, n_outside): values that are not in [0, 1]."""
+    one = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(components)], *[F.count_if(F.isnan(F.col(c).cast("double")) | (F.col(c) < 0) | (F.col(c) > 1)).alias(f"o{i}") for i, c in enumerate(components)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(f"n{i}").alias("n_null"), F.col(f"o{i}").alias("n_outside")) for i, c in enumerate(components)])).alias("x")).select("x.*")
+
+

@@ -1,4 +1,8 @@
-"""Every registered query and its SQL equivalent."""
+"""Every registered query and, where SQL can express it, its SQL equivalent."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from vigilake.plans import feature_queries, metric_queries, risk_queries
+
+QUERIES = feature_queries.QUERIES | metric_queries.QUERIES | risk_queries.QUERIES
+ORACLE_SQL = feature_queries.ORACLE_SQL | metric_queries.ORACLE_SQL | risk_queries.ORACLE_SQL
