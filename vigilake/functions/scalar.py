@@ -55,7 +55,7 @@ def clip_z(z: Column, most: float = 3.0) -> Column:
 
 
 def normal_cdf(x: Column, terms: int = 40) -> Column:
-    """Standard normal distribution function, to double precision for abs(x) <= 6: its odd power series as a nested product."""
+    """Standard normal distribution function, to double precision for abs(x) <= 4: its odd power series as a nested product."""
     square = x * x
     series = reduce(lambda s, k: F.lit(1.0) + square / float(2 * k + 1) * s, range(terms, 0, -1), F.lit(1.0))
     return F.lit(0.5) + F.exp(-square / 2.0) / math.sqrt(2 * math.pi) * x * series
@@ -76,7 +76,7 @@ def wilson(k: Column, n: Column, z: float = 1.6448536269514722) -> tuple[Column,
     size = F.when(n > 0, n.cast("double"))
     p, zz = k / size, z * z
     mid, wide = (p + zz / (2 * size)) / (1 + zz / size), z * F.sqrt(p * (1 - p) / size + zz / (4 * size * size)) / (1 + zz / size)
-    return F.greatest(mid - wide, F.lit(0.0)), F.least(mid + wide, F.lit(1.0))
+    return F.when(n > 0, F.greatest(mid - wide, F.lit(0.0))), F.when(n > 0, F.least(mid + wide, F.lit(1.0)))
 
 
 def close(a: Column, b: Column, rel: float = 1e-9) -> Column:
