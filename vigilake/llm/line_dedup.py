@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import hamming_components
-from .scratch import materialise
+from .scratch import materialise, release
 
 
 #: Bits of a lane: 7 lanes of a long count up to 255 words each and leave the sign alone.
-LANE, MOST = 9, 255
+LANE, MOST, LONG = 9, 255, 4
 ONES = sum(1 << at for at in range(0, 63, LANE))
 SUMS = [f"s{j}" for j in range(LANE)]
 
@@ -29,21 +29,23 @@ def _majority(n: Column) -> Column:
 
 
 def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, n and fp of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n distinct words.
+    """``keys``, n and fp of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n long words, null if it has none.
 
-    A bit is 1 if it is set in over half of the words' hashes. Lane l of sum j
-    counts bit j + 9 * l, so a word costs 9 additions and stays in generated
-    code; lines of more words than a lane can count are added up bit by bit.
+    Words of fewer than LONG characters, marks among them, tell lines apart the
+    least and are left out. A bit is 1 if it is set in over half of the words'
+    hashes. Lane l of sum j counts bit j + 9 * l, so a word costs 9 additions
+    and stays in generated code; lines with more words than a lane can count are
+    added up bit by bit.
     """
-    words = lines.withColumn("ws", F.array_distinct(F.split("norm", " "))).select(*keys, F.size("ws").alias("n"), F.posexplode("ws").alias("at", "w"))
-    hashed = words.select(*keys, "n", F.floor(F.col("at") / MOST).alias("part"), F.xxhash64("w").alias("h"))
-    sums = hashed.groupBy(*keys, "n", "part").agg(*[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ONES))).alias(f) for j, f in enumerate(SUMS)])
-    few = F.col("n") <= MOST
-    rows = materialise(sums.select(*keys, "n", F.when(few, _majority(F.col("n"))).alias("fp"), *[F.when(~few, F.col(f)).alias(f) for f in SUMS]), "lines")
+    words = lines.withColumn("ws", F.split("norm", " ")).select(*keys, (F.size("ws") > MOST).alias("wide"), F.posexplode("ws").alias("at", "w"))
+    long = F.length("w") >= LONG
+    hashed = words.filter(long | (F.col("at") == 0)).select(*keys, "wide", F.floor(F.col("at") / MOST).alias("part"), F.when(long, F.xxhash64("w")).alias("h"))
+    sums = hashed.groupBy(*keys, "wide", "part").agg(F.count("h").alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ONES))).alias(f) for j, f in enumerate(SUMS)])
+    rows = materialise(sums.select(*keys, "wide", "n", F.when(~F.col("wide"), _majority(F.col("n"))).alias("fp"), *[F.when(F.col("wide"), F.col(f)).alias(f) for f in SUMS]), "lines")
     counters = F.array(*[F.shiftrightunsigned(SUMS[bit % LANE], LANE * (bit // LANE)).bitwiseAND(F.lit((1 << LANE) - 1)) for bit in range(63)])
-    bits = rows.filter(~few).select(*keys, "n", F.posexplode(counters).alias("bit", "c")).groupBy(*keys, "n", "bit").agg(F.sum("c").alias("c"))
-    long = bits.groupBy(*keys, "n").agg(F.bit_or(F.when(F.col("c") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("fp"))
-    return rows.filter(few).select(*keys, "n", "fp").unionByName(long)
+    bits = rows.filter("wide").select(*keys, "n", F.posexplode(counters).alias("bit", "c")).groupBy(*keys, "bit").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    added = bits.groupBy(*keys).agg(F.max("n").alias("n"), F.bit_or(F.when(F.col("c") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("fp"))
+    return rows.filter("not wide").select(*keys, "n", "fp").unionByName(added)
 
 
 def symbols(norm: Column) -> Column:
@@ -65,7 +67,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``__text`` is the hash of the text: rows with the same id and text count as
     one document. Lines whose normal form has fewer than ``least_chars``
     characters stay. Equal normal forms are one line; lines of at least
-    ``fuzzy_words`` distinct words are also linked if their SimHashes differ in
+    ``fuzzy_words`` long words are also linked if their SimHashes differ in
     at most ``distance`` bits and the edit similarity of their words is at
     least ``similarity``. Of each connected group the occurrence with the smallest
     id, text hash and position stays.
@@ -77,13 +79,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = materialise(seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")), "distinct")
     nodes = distinct.filter("fp is not null").groupBy(F.col("k1").alias("id")).agg(F.min("fp").alias("fp"))
     texts = worded.select(F.col("k1").alias("id"), F.col("norm").alias("text"))
-    linked = hamming_components(nodes, distance, distance + 2, texts, lambda a, b: similar(a, b, similarity), symbols).toDF("k1", "root")
+    linked_table = hamming_components(nodes, distance, distance + 3, texts, lambda a, b: similar(a, b, similarity), symbols)
+    linked = linked_table.toDF("k1", "root")
     groups = distinct.join(linked, "k1", "left").filter("n > 1 or root is not null").select("k1", "k2", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2"))
     groups = materialise(groups, "groups")
     many = materialise(seen.select("__id", "__text", "pos", "k1", "k2").join(groups, ["k1", "k2"]).select("__id", "__text", "pos", "g1", F.coalesce("g2", F.lit(0)).alias("g2"), F.col("g2").isNull().alias("g3")), "repeated")
     first = materialise(many.groupBy("g1", "g2", "g3").agg(F.min(F.struct("__id", "__text", "pos")).alias("first")), "first")
     gone = many.join(first, ["g1", "g2", "g3"]).filter(~F.struct("__id", "__text", "pos").eqNullSafe(F.col("first")))
-    return materialise(gone.groupBy("__id", "__text").agg(F.collect_set("pos").alias("removed")), "removed")
+    removed = materialise(gone.groupBy("__id", "__text").agg(F.collect_set("pos").alias("removed")), "removed")
+    release(distinct, groups, many, first, linked_table)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -95,14 +100,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text. Every row of the input is returned, repeated rows each with the same
     result; ids may be null; an empty table gives an empty result.
     """
-    gone = removed_lines(docs, id_col, text_col, **how)
+    gone = removed_lines(docs, id_col, text_col, **how).withColumnRenamed("removed", "__removed")
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text_col).alias("__hash"))
     joined = rows.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
     lines = F.split(text_col, "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(left)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__removed", i)), "\n")
+    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(left)
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).alias("n_removed"),
     )

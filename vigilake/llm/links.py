@@ -8,12 +8,29 @@ member reports one neighbour per tile, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import materialise, release
+
+
+#: Bits of the filter that keeps rows from being shuffled for nothing: 256 rows of 4 kB at any size.
+FILTER_BITS = 1 << 23
+#: Keys of a fingerprint that are shuffled at once.
+PASS = 5
+
+
+def _only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` less most of those whose ``key`` is not in ``wanted``, by a bitmap of the keys' hashes, so that a join shuffles few of them."""
+    bit = F.pmod(F.xxhash64(F.lit(3), key), F.lit(FILTER_BITS)) + 1
+    held = wanted.select(F.bitmap_bucket_number(bit).alias("__bucket"), F.bitmap_bit_position(bit).alias("__at")).groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    place = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(held), "__bucket")
+    at = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return place.filter(F.getbit(byte, at % 8) == 1).select(*rows.columns)
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -32,10 +49,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, materialise(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(last)
         state, before = _state(now), state
         if state == before:
             break
@@ -74,23 +92,27 @@ def hamming_components(items: DataFrame, distance: int, blocks: int, texts: Data
     member of each tile that has another component so far, and rounds go on
     until none is named, so no link is lost and none is listed twice over.
     """
-    keys = items.select("id", "fp", F.explode(F.array(*block_keys(F.col("fp"), distance, blocks))).alias("key"))
-    buckets = materialise(
-        keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("fp").alias("x")).filter("n > 1"),
-        "buckets",
-    )
+    choices, small = block_keys(F.col("fp"), distance, blocks), []
+    for at in range(0, len(choices), PASS):  # a few keys at a time, so that their shuffles don't lie side by side
+        keys = items.select("id", "fp", F.explode(F.array(*choices[at : at + PASS])).alias("key"))
+        found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("fp").alias("x"))
+        small.append(materialise(found.filter("n > 1"), "buckets"))
+    buckets = reduce(DataFrame.unionByName, small)
     near = lambda x: F.bit_count(x) <= distance
     two = buckets.filter("n = 2").filter(near(F.col("x"))).select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct()
     many = buckets.filter("n > 2").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    rows = materialise(keys.join(many, "key").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")), "members")
+    keys = items.select("id", "fp", F.explode(F.array(*choices)).alias("key"))
+    rows = rows_table = materialise(_only(keys, many, "key").join(many, "key").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")), "members")
     if verify is not None:
         two = materialise(two, "pairs")
         ids = two.select(F.col("u").alias("id")).unionByName(two.select(F.col("v").alias("id"))).unionByName(rows.select("id")).distinct()
-        texts = materialise(texts.join(ids, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", digest(F.col("text")).alias("text")), "texts")
+        ids = materialise(ids, "ids")
+        texts = materialise(_only(texts, ids, "id").join(ids, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", digest(F.col("text")).alias("text")), "texts")
         left, right = texts.toDF("u", "a"), texts.toDF("v", "b")
         two = two.join(left, "u").join(right, "v").filter(verify(F.col("a"), F.col("b"))).select("u", "v")
         rows = rows.join(texts, "id")
     edges, labels = materialise(two, "edges"), None
+    own = [edges]
     while True:
         named = rows.withColumn("label", F.col("id"))
         if labels is not None:
@@ -103,16 +125,21 @@ def hamming_components(items: DataFrame, distance: int, blocks: int, texts: Data
         right = cut.select("key", F.col("tile").alias("other"), F.col("m").alias("b"), F.col("low").alias("l2"), F.col("high").alias("h2"))
         crossed = left.join(right, ["key", "other"]).filter("least(l1, l2) < greatest(h1, h2)").select("a", "b")
 
-        def links(a: Column, b: Column) -> Column:
-            test = (a["label"] != b["label"]) & near(a["fp"].bitwiseXOR(b["fp"]))
-            return test & verify(a["text"], b["text"]) if verify is not None else test
-
         def pick(a: Column) -> Column:
-            return F.struct(a["id"].alias("u"), F.get(F.filter("b", lambda b: links(a, b)), F.lit(0))["id"].alias("v"))
+            others = F.filter("b", lambda b: (b["label"] != a["label"]) & near(a["fp"].bitwiseXOR(b["fp"])))
+            if verify is None:
+                first = F.get(others, F.lit(0))["id"]
+            else:  # no text is compared once one has passed
+                first = F.aggregate(others, F.lit(None).cast("long"), lambda got, b: F.when(got.isNotNull(), got).when(verify(a["text"], b["text"]), b["id"]))
+            return F.struct(a["id"].alias("u"), first.alias("v"))
 
         found = alone.unionByName(crossed).select(F.explode(F.filter(F.transform("a", pick), lambda e: e["v"].isNotNull())).alias("e")).select("e.u", "e.v").distinct()
         found = materialise(found, "edges")
+        release(cut)
         if labels is not None and found.isEmpty():
+            release(rows_table, found, *small, *own)
             return labels
+        own.append(found)
         edges = edges.unionByName(found)
+        release(labels)
         labels = materialise(connected_components(edges), "labels")

@@ -49,10 +49,11 @@ def fingerprints(docs: DataFrame, words: int, carry: list[str], text_col: str =
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, carry, fp, component_id) of each row of ``docs``.
+    """(id_col, carry, fp, component_id, component) of each row of ``docs``.
 
     Rows whose fingerprints differ in at most ``distance`` bits are linked;
-    ``component_id`` is the least id reachable. The 64 bits are cut into
+    ``component_id`` is the least id reachable and
+    ``component`` the least fingerprint. The 64 bits are cut into
     ``blocks`` (default: two more than ``distance``). Rows repeat as in the
     input; null or blank texts share fingerprint 0 and are linked like any
     others; null ids are carried and never name a component unless nothing else
@@ -63,20 +64,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks:
     least = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
     groups = hamming_components(least.select(F.col("fp").alias("id"), "fp"), distance, blocks or distance + 2)
     roots = groups.toDF("fp", "root").join(least, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    linked = groups.toDF("fp", "root").join(roots, "root").select("fp", "least")
-    named = materialise(least.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
-    return marked.join(named, "fp").select(id_col, *carry, "fp", "component_id")
+    linked = groups.toDF("fp", "root").join(roots, "root").select("fp", "root", "least")
+    named = materialise(least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("least", "first").alias("component_id")), "named")
+    return marked.join(named, "fp").select(id_col, *carry, "fp", "component_id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that represent their component: of each, one row of its least id (of several: the one whose text has the smallest hash).
 
-    All columns stay. Rows that repeat keep one; rows with null ids are
-    components by their links like others and keep one for each fingerprint.
+    All columns stay. Of rows that repeat one stays; rows that share an id and
+    differ, and rows with null ids, belong to components like all others.
     """
     hashed = docs.withColumn("__hash", F.xxhash64(text_col))
     found = near_duplicates(hashed, words, distance, blocks, id_col, text_col, ("__hash",))
-    stays = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min("__hash").alias("__kept"))
+    stays = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("__hash").alias("__kept"))
     stays = materialise(stays.select(F.col("component_id").alias("__id"), "__kept"), "stays")
     kept = hashed.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")))
     once = Window.partitionBy(id_col, "__hash").orderBy(F.lit(1))
