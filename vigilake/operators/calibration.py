@@ -85,8 +85,8 @@ def brier(df: DataFrame, p: str = "p", label: str = "y") -> DataFrame:
     return df.agg(F.avg((F.col(p) - F.col(label)) * (F.col(p) - F.col(label))).alias("brier"))
 
 
-def _rank_bins(df: DataFrame, p: str, keys: tuple[str, ...], bins: int, salts: int = 64) -> DataFrame:
-    """``df`` with ``bin``, as ntile over (p, keys): ranks from running counts of p; only rows with one p are ranked together, after their first key's hash range."""
+def _rank_bins(df: DataFrame, p: str, keys: tuple[str, ...], bins: int) -> DataFrame:
+    """``df`` with ``bin``, as ntile over (p, keys): ranks from running counts of p; only rows with one p are ranked together."""
     counts = df.groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
     before = running(counts, "__p", {"__upto": F.col("__c")}).withColumn("__before", F.col("__upto") - F.col("__c")).select("__p", "__before")
     n = df.agg(F.count(F.lit(1)).alias("__n"))

@@ -122,6 +122,8 @@ def context_risk(df: DataFrame, pools: DataFrame, features: list[str], least: in
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from math import erf
+
         pdf = pdf.sort_values(["day", "user_id"], kind="stable").reset_index(drop=True)
         if pdf["pool"].isna().any():
             return pdf.drop(columns="pool").assign(**{out: 0.5})
@@ -139,18 +141,12 @@ def context_risk(df: DataFrame, pools: DataFrame, features: list[str], least: in
             m = np.median(h, axis=0)
             mad = np.median(np.abs(h - m), axis=0)
             z = np.where(mad < ZERO_MAD, 0.0, np.minimum(np.abs((x[i] - m) / (mad + eps)), 3.0))
-            risk[i] = np.mean([0.5 * (1 + math_erf(v / 2**0.5)) for v in z])
+            risk[i] = np.mean([0.5 * (1 + erf(v / 2**0.5)) for v in z])
         return pdf.drop(columns="pool").assign(**{out: risk})
 
     return df.join(pools, "user_id", "left").groupBy("pool").applyInPandas(run, f"{kinds}, `{out}` double")
 
 
-def math_erf(x: float) -> float:
-    import math
-
-    return math.erf(x)
-
-
 def ewma(df: DataFrame, rho: float, score: str = "score", out: str = "smoothed") -> DataFrame:
     """out[t] = (1 - rho) * s[t] + rho * out[t - 1] along each user's days, from the first score; a fold over the ordered days."""
     days = df.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("day", F.col(score).cast("double").alias("s")))).alias("rows"))

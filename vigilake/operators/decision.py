@@ -15,8 +15,7 @@ GRAPH = ["device_consistency_score", "rare_device_usage_count", "file_type_consi
 def linear_contributions(df: DataFrame, weights: dict[str, float], means: dict[str, float]) -> DataFrame:
     """``contribution_<feature>`` = weight * (value - mean) of a linear margin, and the margin."""
     cols = {f"contribution_{f}": F.lit(w) * (F.col(f) - F.lit(means[f])) for f, w in weights.items()}
-    bias = sum(w * means[f] for f, w in weights.items())
-    return df.withColumns(cols).withColumn("margin", F.lit(bias) + sum((F.lit(w) * F.col(f) for f, w in weights.items()), F.lit(0.0)) - F.lit(bias))
+    return df.withColumns(cols).withColumn("margin", sum((F.lit(w) * F.col(f) for f, w in weights.items()), F.lit(0.0)))
 
 
 def reconstruction(df: DataFrame, features: list[str], bias: float, margin: str = "margin") -> DataFrame:

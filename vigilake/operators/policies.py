@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -205,6 +204,3 @@ def capacity_projection(df: DataFrame, mask: str = "alert", factors: tuple[float
     one = days.agg(F.avg("users").alias("users_per_day"), F.avg("alerts").alias("alerts_per_day"), F.max("alerts").alias("most_alerts"))
     return one.select("*", F.explode(F.array(*[F.lit(f) for f in factors])).alias("factor")).withColumn("projected_alerts_per_day", F.col("alerts_per_day") * F.col("factor"))
 
-
-def ceil_share(n: int, p: float) -> int:
-    return math.ceil(n * p)

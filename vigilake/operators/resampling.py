@@ -91,3 +91,35 @@ def allocate(df: DataFrame, label: str = "is_malicious") -> DataFrame:
 def disjoint(allocation: DataFrame) -> DataFrame:
     """One row: users in more than one block."""
     return allocation.groupBy("user_id").agg(F.countDistinct("block").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_shared"))
+
+
+def platt_refit(calibration: DataFrame, test: DataFrame, n: int = 100, key: tuple[str, ...] = ("user_id",), score: str = "score", label: str = "is_malicious", alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(metric, n_valid, ci_low, ci_high) of slope, intercept and test Brier score, the logistic curve refitted on every replicate.
+
+    Each replicate is one group of distinct scores with their weights.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def counts(df: DataFrame, side: str) -> DataFrame:
+        drawn = replicates(df, n, list(key), seed).groupBy("replicate", F.col(score).cast("double").alias("s"))
+        return drawn.agg(F.sum("w").cast("double").alias("n"), F.sum(F.col("w") * F.col(label)).cast("double").alias("k")).withColumn("side", F.lit(side))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        cal, new = pdf[pdf.side == "cal"], pdf[pdf.side == "test"]
+        none = pd.DataFrame({"metric": [], "value": []}).astype({"metric": str, "value": float})
+        if not 0 < cal.k.sum() < cal.n.sum() or not len(new):
+            return none
+        x, w = np.stack([cal.s.to_numpy(), np.ones(len(cal))], axis=1), np.zeros(2)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g = x.T @ (cal.n.to_numpy() * p - cal.k.to_numpy()) + np.array([w[0], 0])
+            h = (x * (cal.n.to_numpy() * p * (1 - p))[:, None]).T @ x + np.diag([1.0, 1e-9])
+            w = w - np.linalg.solve(h, g)
+        p = 1 / (1 + np.exp(-np.clip(w[0] * new.s.to_numpy() + w[1], -30, 30)))
+        brier = (new.k * (1 - p) ** 2 + (new.n - new.k) * p**2).sum() / new.n.sum()
+        return pd.DataFrame({"metric": ["slope", "intercept", "brier"], "value": [w[0], w[1], brier]})
+
+    both = counts(calibration, "cal").unionByName(counts(test, "test"))
+    values = both.groupBy("replicate").applyInPandas(fit, "metric string, value double")
+    return values.groupBy("metric").agg(F.count("value").alias("n_valid"), F.percentile("value", alpha / 2).alias("ci_low"), F.percentile("value", 1 - alpha / 2).alias("ci_high"))

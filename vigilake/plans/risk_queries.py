@@ -202,10 +202,10 @@ def simplex_grid(spark, sf):
     return components.simplex_grid(spark)
 
 
-@query("""SELECT user_id, day, round(list_sum(list_transform(h, lambda v, i: v * (CASE WHEN i = 1 THEN pow(0.5, n - 1) ELSE 0.5 * pow(0.5, n - i) END))), 6) AS smoothed
+@query("""SELECT user_id, day, round(list_sum(list_transform(h, lambda v, i: v * (CASE WHEN i = 1 THEN pow(1.0 / 3, n - 1) ELSE 2.0 / 3 * pow(1.0 / 3, n - i) END))), 9) AS smoothed
 FROM (SELECT user_id, day, list(score) OVER w AS h, count(*) OVER w AS n FROM base WINDOW w AS (PARTITION BY user_id ORDER BY day))""")
 def ewma_scores(spark, sf):
-    return rounded(components.ewma(scored(spark, sf), 0.5).select("user_id", "day", "smoothed"))
+    return rounded(components.ewma(scored(spark, sf), 1 / 3).select("user_id", "day", "smoothed"), 9)
 
 
 @query()
@@ -257,11 +257,11 @@ def level_counts(spark, sf):
     return decision.level_counts(scored(spark, sf).withColumn("risk_level", risk_level(F.col("score"), 0.6, 0.05, 0.4)))
 
 
-@query("""SELECT user_id, day, string_agg(f || '=' || printf('%.2f', v), '|' ORDER BY abs(v) DESC, i) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY abs(v) DESC, i) AS r FROM (
+@query("""SELECT user_id, day, string_agg(f || '=' || printf('%.6f', round(v, 6)), '|' ORDER BY abs(v) DESC, i) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY abs(v) DESC, i) AS r FROM (
  SELECT user_id, day, unnest([""" + ", ".join(f"'{f}'" for f in MODEL) + """]) AS f, unnest([""" + ", ".join(f"{f}::DOUBLE" for f in MODEL) + """]) AS v, unnest(range(0, """ + str(len(MODEL)) + """)) AS i FROM base)) WHERE r <= 3 GROUP BY ALL""")
 def top_reasons(spark, sf):
     df = scored(spark, sf).withColumn("r", decision.top_reasons(MODEL, 3, contributions=False))
-    return df.select("user_id", "day", F.array_join(F.transform("r", lambda x: F.concat(x["feature"], F.lit("="), F.format_string("%.2f", x["value"]))), "|").alias("reasons"))
+    return df.select("user_id", "day", F.array_join(F.transform("r", lambda x: F.concat(x["feature"], F.lit("="), F.format_string("%.6f", x["value"]))), "|").alias("reasons"))
 
 
 WEIGHTS = {"after_hours_login_count": 0.4, "unusual_access_count": 0.3, "usb_connection_count": -0.2}
@@ -320,6 +320,12 @@ def bootstrap_threshold(spark, sf):
     return rounded(resampling.threshold_ci(scored(spark, sf), 50))
 
 
+@query()
+def bootstrap_platt_refit(spark, sf):
+    p = parts(spark, sf)
+    return rounded(resampling.platt_refit(p["calibration"], p["test"], 30))
+
+
 @query()
 def gbt_scores(spark, sf):
     p = parts(spark, sf)
