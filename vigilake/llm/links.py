@@ -17,20 +17,17 @@ from pyspark.sql import functions as F
 from .scratch import materialise, release
 
 
-#: Bits of the filter that keeps rows from being shuffled for nothing: 256 rows of 4 kB at any size.
-FILTER_BITS = 1 << 23
+#: Slots of the filter that keeps rows from being shuffled for nothing; it never has more rows than that.
+SLOTS = 1 << 22
 #: Keys of a fingerprint that are shuffled at once.
 PASS = 5
 
 
 def _only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` less most of those whose ``key`` is not in ``wanted``, by a bitmap of the keys' hashes, so that a join shuffles few of them."""
-    bit = F.pmod(F.xxhash64(F.lit(3), key), F.lit(FILTER_BITS)) + 1
-    held = wanted.select(F.bitmap_bucket_number(bit).alias("__bucket"), F.bitmap_bit_position(bit).alias("__at")).groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
-    place = rows.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(held), "__bucket")
-    at = F.bitmap_bit_position(bit).cast("int")
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return place.filter(F.getbit(byte, at % 8) == 1).select(*rows.columns)
+    """``rows`` less most of those whose ``key`` is not in ``wanted``, by the slots of the keys' hashes, so that a join shuffles few of them."""
+    slot = F.pmod(F.xxhash64(F.lit(3), key), F.lit(SLOTS)).alias("__slot")
+    taken = wanted.select(slot).distinct()
+    return rows.select("*", slot).join(F.broadcast(taken), "__slot", "left_semi").select(*rows.columns)
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
