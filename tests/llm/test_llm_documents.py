@@ -84,6 +84,23 @@ def test_drop_near_duplicates(docs, empty):
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_copies_at_a_jaccard_of_08_go(spark):
+    rng = random.Random(11)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, near = [], 0
+    for i in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 150, 400]))]
+        copy = list(w)
+        for at in range(0, len(w), len(w) // (2 + len(w) // 60)):
+            copy[at] = "other"
+        j = len(sets(w) & sets(copy)) / len(sets(w) | sets(copy))
+        near += 0.8 <= j < 0.95
+        rows += [(2 * i, " ".join(w), j), (2 * i + 1, "\n".join(copy).upper(), j)]
+        rows.append((1000 + i, " ".join(w[: len(w) // 2] + [f"v{rng.randrange(10**6)}" for _ in w[len(w) // 2 :]]), 0.0))
+    got = {r[0] for r in corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, j double"), "").select("doc_id").collect()}
+    assert near > 12 and got == {i for i, _, j in rows if i >= 1000 or i % 2 == 0 or j < 0.8}
+
+
 def test_hot_buckets_are_exact(spark):
     rng = random.Random(0)
     centre = rng.getrandbits(63)

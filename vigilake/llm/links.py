@@ -84,14 +84,21 @@ def hamming_components(items: DataFrame, distance: int, blocks: int, texts: Data
     A link joins two ids whose fingerprints differ in at most ``distance`` bits
     and, with ``verify``, whose ``text`` in ``texts`` (id, text; rows may repeat), or what
     ``digest`` makes of it, passes it.
+    """
+    return keyed_components(items, block_keys(F.col("fp"), distance, blocks), distance, texts, verify, digest, tile)
+
+
+def keyed_components(items: DataFrame, choices: list[Column], distance: int, texts: DataFrame | None = None, verify: Callable[[Column, Column], Column] | None = None, digest: Callable[[Column], Column] = lambda text: text, tile: int = 128) -> DataFrame:
+    """(node, root) as of :func:`hamming_components`, over the ids that share one of the keys ``choices`` (long columns of ``items``, different for different choices; null: no key).
+
     Buckets of two are settled from their aggregate. Larger ones are cut into
     tiles of about ``tile`` members; in each round a member names one linked
     member of each tile that has another component so far, and rounds go on
     until none is named, so no link is lost and none is listed twice over.
     """
-    choices, small = block_keys(F.col("fp"), distance, blocks), []
+    small = []
     for at in range(0, len(choices), PASS):  # a few keys at a time, so that their shuffles don't lie side by side
-        keys = items.select("id", "fp", F.explode(F.array(*choices[at : at + PASS])).alias("key"))
+        keys = items.select("id", "fp", F.explode(F.array(*choices[at : at + PASS])).alias("key")).filter("key is not null")
         found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("fp").alias("x"))
         small.append(materialise(found.filter("n > 1"), "buckets"))
     buckets = reduce(DataFrame.unionByName, small)

@@ -1,25 +1,33 @@
-"""SimHash near-duplicate detection: pigeonhole blocks, join on blocks, Hamming check, connected groups."""
+"""SimHash near-duplicate detection: pigeonhole blocks, join on blocks, Hamming check, connected groups; MinHash bands with a Jaccard check add what SimHash does not reach."""
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .links import hamming_components
+from .links import connected_components, hamming_components, keyed_components
 from .scratch import materialise
 
 
-def simhash(text: bytes, words: int) -> int:
-    """SimHash of the word shingles of ``text``: a bit is 1 if it is set in over half of the shingles' XXH64."""
+#: MinHash bands: texts at a Jaccard similarity of 0.8 share at least one of them in 99.98 % of cases.
+BANDS, ROWS = 16, 4
+CHUNK = 1 << 12
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def _digests(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of ``text``, some at a time; a text of fewer words is one shingle."""
     w = text.lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not w:
-        return 0
+        return
     whole, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w]) - 1
     if len(w) <= words:
         spans = [(0, len(whole))]
@@ -27,31 +35,68 @@ def simhash(text: bytes, words: int) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         spans = list(zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True))
     digest, view = xxhash.xxh64_intdigest, memoryview(whole)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(spans), 1 << 16):
-        h = np.array([digest(view[s:e], 42) for s, e in spans[at : at + (1 << 16)]], np.uint64)
+    for at in range(0, len(spans), CHUNK):
+        yield np.array([digest(view[s:e], 42) for s, e in spans[at : at + CHUNK]], np.uint64)
+
+
+@cache
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(0).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(text: bytes, words: int, bands: bool = False) -> tuple[int, list[int] | None]:
+    """SimHash of the word shingles of ``text`` (a bit is 1 if it is set in over half of their XXH64) and, with ``bands``, the hashes of its MinHash bands; 0 and none of a text without words."""
+    ones, n, least = np.zeros(64, np.int64), 0, np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for h in _digests(text, words):
+        n += len(h)
         ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(spans)).tobytes(), "big", signed=True)
+        if bands:
+            least = np.minimum(least, (_multipliers() * (h ^ (h >> np.uint64(32)))).min(axis=1))
+    fp = int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+    if not bands or not n:
+        return fp, None
+    return fp, [int.from_bytes(xxhash.xxh64_digest(band.tobytes(), i), "big", signed=True) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def fingerprints(docs: DataFrame, words: int, carry: list[str], text_col: str = "text") -> DataFrame:
-    """``carry`` and fp (long) of each row; null text counts as empty, whose fingerprint is 0."""
+def simhash(text: bytes, words: int) -> int:
+    return signature(text, words)[0]
+
+
+def fingerprints(docs: DataFrame, words: int, carry: list[str], text_col: str = "text", bands: bool = False) -> DataFrame:
+    """``carry`` and fp (long) of each row, and bands (longs) if asked for; null text counts as empty, whose fingerprint is 0 and whose bands are null."""
     given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("__text"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("fp", T.LongType()), *([T.StructField("bands", T.ArrayType(T.LongType()))] if bands else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(carry)).cast(pa.large_binary())
-            fp = [simhash(t.as_py() or b"", words) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], names=[f.name for f in schema])
+            made = [signature(t.as_py() or b"", words, bands) for t in texts]
+            more = [pa.array([m[1] for m in made], pa.list_(pa.int64()))] if bands else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([m[0] for m in made], pa.int64()), *more], names=[f.name for f in schema])
 
     return given.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def shingle_set(text: Column, words: int) -> Column:
+    """Hashes of the distinct word shingles of a text, cut as those of :func:`signature`."""
+    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    w = F.split(F.btrim(lower, F.lit(SPACE)), "[ \\t-\\r]+")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " "))))
+
+
+def alike(a: Column, b: Column, jaccard: float) -> Column:
+    """Whether two sets have a Jaccard similarity of at least ``jaccard``."""
+    sizes, both = F.size(a) + F.size(b), F.size(F.array_intersect(a, b))
+    bounded = F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * jaccard - 1e-9
+    return bounded & (both >= (sizes - both) * jaccard - 1e-9)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), jaccard: float | None = None) -> DataFrame:
     """(id_col, carry, fp, component_id, component) of each row of ``docs``.
 
-    Rows whose fingerprints differ in at most ``distance`` bits are linked;
+    Rows whose fingerprints differ in at most ``distance`` bits are linked and,
+    with ``jaccard``, rows whose shingle sets have at least that similarity
+    and that share a MinHash band;
     ``component_id`` is the least id reachable and
     ``component`` the least fingerprint. The 64 bits are cut into
     ``blocks`` (default: two more than ``distance``). Rows repeat as in the
@@ -60,23 +105,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks:
     does. Other columns of ``docs`` are not read. An empty table gives an empty
     result.
     """
-    marked = materialise(fingerprints(docs, words, [id_col, *carry], text_col), "fingerprints")
+    given = docs if jaccard is None else docs.withColumn("__set", F.xxhash64(text_col))
+    marked = materialise(fingerprints(given, words, [id_col, *carry, *([] if jaccard is None else ["__set"])], text_col, jaccard is not None), "fingerprints")
     least = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
     groups = hamming_components(least.select(F.col("fp").alias("id"), "fp"), distance, blocks or distance + 2)
+    if jaccard is not None:
+        sets = materialise(marked.filter("bands is not null").groupBy(F.col("__set").alias("id")).agg(F.min("fp").alias("fp"), F.min("bands").alias("bands")), "sets")
+        texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("text"))
+        found = keyed_components(sets, [F.xxhash64(F.lit(i), F.get("bands", F.lit(i))) for i in range(BANDS)], 64, texts, lambda a, b: alike(a, b, jaccard), lambda t: shingle_set(t, words))
+        of = sets.select("id", "fp")
+        close = found.toDF("id", "root").join(of.toDF("id", "u"), "id").join(of.toDF("root", "v"), "root").select("u", "v")
+        groups = connected_components(groups.toDF("u", "v").unionByName(close))
     roots = groups.toDF("fp", "root").join(least, "fp").groupBy("root").agg(F.min("first").alias("least"))
     linked = groups.toDF("fp", "root").join(roots, "root").select("fp", "root", "least")
     named = materialise(least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("least", "first").alias("component_id")), "named")
     return marked.join(named, "fp").select(id_col, *carry, "fp", "component_id", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
     """The rows of ``docs`` that represent their component: of each, one row of its least id (of several: the one whose text has the smallest hash).
 
     All columns stay. Of rows that repeat one stays; rows that share an id and
     differ, and rows with null ids, belong to components like all others.
     """
     hashed = docs.withColumn("__hash", F.xxhash64(text_col))
-    found = near_duplicates(hashed, words, distance, blocks, id_col, text_col, ("__hash",))
+    found = near_duplicates(hashed, words, distance, blocks, id_col, text_col, ("__hash",), jaccard)
     stays = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("__hash").alias("__kept"))
     stays = materialise(stays.select(F.col("component_id").alias("__id"), "__kept"), "stays")
     kept = hashed.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")))
