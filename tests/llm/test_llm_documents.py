@@ -131,6 +131,19 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_at_an_edit_similarity_of_08_go(spark):
+    rng, rows, close = random.Random(6), [], set()
+    for i in range(300):
+        w = [f"word{rng.randrange(10**6)}" for _ in range(rng.choice([10, 20, 40, 300]))]
+        copy, least = list(w), i % 2 == 0  # at 0.8, or below it and never linked
+        for at in rng.sample(range(len(w)), len(w) // 5 if least else len(w) // 2):
+            copy[at] = f"other{at}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+        close |= {2 * i + 1} if least else set()
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()}
+    assert got <= close and len(got) >= 0.95 * len(close)
+
+
 def test_line_simhash_of_any_length(spark):
     rng = random.Random(2)
     lines = [words(rng, n) for n in (1, 3, 40, 254, 255, 256, 700)]

@@ -1,4 +1,4 @@
-"""Fuzzy line dedup in DataFrame operations only: SimHash, pigeonhole blocks, edit similarity, one occurrence kept."""
+"""Fuzzy line dedup in DataFrame operations only: SimHash blocks and MinHash bands, edit similarity, one occurrence kept."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import hamming_components
+from .links import block_keys, keyed_components
 from .scratch import materialise, release
 
 
@@ -15,6 +15,9 @@ from .scratch import materialise, release
 LANE, MOST, LONG = 9, 255, 4
 ONES = sum(1 << at for at in range(0, 63, LANE))
 SUMS = [f"s{j}" for j in range(LANE)]
+#: MinHash bands of two over pairs of neighbouring words: lines at an edit similarity of 0.8 share at least one of them in about 99 % of cases.
+BANDS = [f"b{i}" for i in range(24)]
+LEAST = [f"m{i}" for i in range(2 * len(BANDS))]
 
 
 def normal(line: Column) -> Column:
@@ -28,24 +31,39 @@ def _majority(n: Column) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
+def _halves(pair: Column) -> list[Column]:
+    """The 48 hash values of a pair of words: the halves of 24 rehashes of its hash."""
+    whole = [F.xxhash64(pair, F.lit(i)) for i in range(len(BANDS))]
+    return [half for h in whole for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
+
+
+def _bands() -> list[Column]:
+    return [F.hash(F.lit(i), F.col(LEAST[2 * i]), F.col(LEAST[2 * i + 1])).alias(b) for i, b in enumerate(BANDS)]
+
+
 def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, n and fp of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n long words, null if it has none.
+    """``keys``, n, fp and BANDS of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n long words, null if it has none, and the MinHash bands of its word pairs.
 
     Words of fewer than LONG characters, marks among them, tell lines apart the
-    least and are left out. A bit is 1 if it is set in over half of the words'
+    least and are left out of fp. A bit is 1 if it is set in over half of the words'
     hashes. Lane l of sum j counts bit j + 9 * l, so a word costs 9 additions
     and stays in generated code; lines with more words than a lane can count are
-    added up bit by bit.
+    added up bit by bit. The lines are dealt once, so that the many sums of a line are never shuffled.
     """
-    words = lines.withColumn("ws", F.split("norm", " ")).select(*keys, (F.size("ws") > MOST).alias("wide"), F.posexplode("ws").alias("at", "w"))
-    long = F.length("w") >= LONG
-    hashed = words.filter(long | (F.col("at") == 0)).select(*keys, "wide", F.floor(F.col("at") / MOST).alias("part"), F.when(long, F.xxhash64("w")).alias("h"))
-    sums = hashed.groupBy(*keys, "wide", "part").agg(F.count("h").alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ONES))).alias(f) for j, f in enumerate(SUMS)])
-    rows = materialise(sums.select(*keys, "wide", "n", F.when(~F.col("wide"), _majority(F.col("n"))).alias("fp"), *[F.when(F.col("wide"), F.col(f)).alias(f) for f in SUMS]), "lines")
+    ws = F.split("norm", " ")
+    words = lines.repartition(*[k for k in keys if k not in ("k1", "k2")]).withColumn("ws", ws)
+    words = words.select(*keys, (F.size("ws") > MOST).alias("wide"), F.posexplode(F.arrays_zip(F.col("ws").alias("w"), F.slice("ws", F.lit(2), F.size("ws")).alias("next"))).alias("at", "p"))
+    words = words.select(*keys, "wide", "at", F.col("p.w").alias("w"), F.col("p.next").alias("next"))
+    hashed = words.select(*keys, "wide", F.floor(F.col("at") / MOST).alias("part"), F.when(F.length("w") >= LONG, F.xxhash64("w")).alias("h"), F.when(F.col("next").isNotNull(), F.xxhash64("w", "next")).alias("pair"))
+    least = [F.min(F.when(F.col("pair").isNotNull(), x)).alias(m) for x, m in zip(_halves(F.col("pair")), LEAST, strict=True)]
+    sums = hashed.groupBy(*keys, "wide", "part").agg(F.count("h").alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ONES))).alias(f) for j, f in enumerate(SUMS)], *least)
+    rows = materialise(sums.select(*keys, "wide", "n", F.when(~F.col("wide"), _majority(F.col("n"))).alias("fp"), *[F.when(F.col("wide"), F.col(c)).alias(c) for c in SUMS + LEAST], *_bands()), "lines")
     counters = F.array(*[F.shiftrightunsigned(SUMS[bit % LANE], LANE * (bit // LANE)).bitwiseAND(F.lit((1 << LANE) - 1)) for bit in range(63)])
     bits = rows.filter("wide").select(*keys, "n", F.posexplode(counters).alias("bit", "c")).groupBy(*keys, "bit").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     added = bits.groupBy(*keys).agg(F.max("n").alias("n"), F.bit_or(F.when(F.col("c") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("fp"))
-    return rows.filter("not wide").select(*keys, "n", "fp").unionByName(added)
+    banded = rows.filter("wide").groupBy(*keys).agg(*[F.min(m).alias(m) for m in LEAST]).select(*keys, *_bands())
+    both = added.unionByName(banded, allowMissingColumns=True).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("n", "fp", *BANDS)])
+    return rows.filter("not wide").select(*keys, "n", "fp", *BANDS).unionByName(both)
 
 
 def symbols(norm: Column) -> Column:
@@ -67,9 +85,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``__text`` is the hash of the text: rows with the same id and text count as
     one document. Lines whose normal form has fewer than ``least_chars``
     characters stay. Equal normal forms are one line; lines of at least
-    ``fuzzy_words`` long words are also linked if their SimHashes differ in
-    at most ``distance`` bits and the edit similarity of their words is at
-    least ``similarity``. Of each connected group the occurrence with the smallest
+    ``fuzzy_words`` long words are also linked if the edit similarity of their
+    words is at least ``similarity``, where their SimHashes differ in at most
+    ``distance`` bits or they share a MinHash band. Of each connected group the occurrence with the smallest
     id, text hash and position stays.
     """
     lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
@@ -77,9 +95,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     worded = worded.select("__id", "__text", "pos", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), "norm")
     seen = simhashes(worded, ["__id", "__text", "pos", "k1", "k2"]).withColumn("fp", F.when(F.col("n") >= fuzzy_words, F.col("fp"))).drop("n")
     distinct = materialise(seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")), "distinct")
-    nodes = distinct.filter("fp is not null").groupBy(F.col("k1").alias("id")).agg(F.min("fp").alias("fp"))
+    nodes = materialise(seen.filter("fp is not null").groupBy(F.col("k1").alias("id")).agg(*[F.min(c).alias(c) for c in ("fp", *BANDS)]), "nodes")
+    banded = [F.lit((1000 + i) << 32).bitwiseOR(F.col(b).cast("long").bitwiseAND(F.lit((1 << 32) - 1))) for i, b in enumerate(BANDS)]
     texts = worded.select(F.col("k1").alias("id"), F.col("norm").alias("text"))
-    linked_table = hamming_components(nodes, distance, distance + 3, texts, lambda a, b: similar(a, b, similarity), symbols)
+    linked_table = keyed_components(nodes, block_keys(F.col("fp"), distance, distance + 3) + banded, 64, texts, lambda a, b: similar(a, b, similarity), symbols)
     linked = linked_table.toDF("k1", "root")
     groups = distinct.join(linked, "k1", "left").filter("n > 1 or root is not null").select("k1", "k2", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2"))
     groups = materialise(groups, "groups")
@@ -87,7 +106,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = materialise(many.groupBy("g1", "g2", "g3").agg(F.min(F.struct("__id", "__text", "pos")).alias("first")), "first")
     gone = many.join(first, ["g1", "g2", "g3"]).filter(~F.struct("__id", "__text", "pos").eqNullSafe(F.col("first")))
     removed = materialise(gone.groupBy("__id", "__text").agg(F.collect_set("pos").alias("removed")), "removed")
-    release(distinct, groups, many, first, linked_table)
+    release(distinct, nodes, groups, many, first, linked_table)
     return removed
 
 
