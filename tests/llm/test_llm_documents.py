@@ -144,6 +144,12 @@ def test_lines_at_an_edit_similarity_of_08_go(spark):
     assert got <= close and len(got) >= 0.95 * len(close)
 
 
+def test_line_white_space_and_short_words(spark):
+    rows = [(0, "alpha beta gamma"), (1, " Alpha\tbeta \x0b  gamma"), (2, "it is an old red cat on my big bed"), (3, "it  is an old red dog on my big bed"), (4, "alphabeta gamma")]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0}
+
+
 def test_line_simhash_of_any_length(spark):
     rng = random.Random(2)
     lines = [words(rng, n) for n in (1, 3, 40, 254, 255, 256, 700)]

@@ -12,7 +12,7 @@ from .scratch import materialise, release
 
 
 #: Bits of a lane: 7 lanes of a long count up to 255 words each and leave the sign alone.
-LANE, MOST, LONG = 9, 255, 4
+LANE, MOST, LONG = 9, 255, 1
 ONES = sum(1 << at for at in range(0, 63, LANE))
 SUMS = [f"s{j}" for j in range(LANE)]
 #: MinHash bands of two over pairs of neighbouring words: lines at an edit similarity of 0.8 share at least one of them in about 99 % of cases.
@@ -21,7 +21,10 @@ LEAST = [f"m{i}" for i in range(2 * len(BANDS))]
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+    """Lower case, trimmed, every run of white space one space; the expression is only for lines that have such a run."""
+    low = F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+    runs = [F.contains(low, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")]
+    return F.when(reduce(lambda x, y: x | y, runs), F.regexp_replace(low, "[ \\t\\r\\x0b\\x0c]+", " ")).otherwise(low)
 
 
 def _majority(n: Column) -> Column:
@@ -42,10 +45,9 @@ def _bands() -> list[Column]:
 
 
 def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, n, fp and BANDS of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n long words, null if it has none, and the MinHash bands of its word pairs.
+    """``keys``, n, fp and BANDS of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n words and the MinHash bands of its word pairs.
 
-    Words of fewer than LONG characters, marks among them, tell lines apart the
-    least and are left out of fp. A bit is 1 if it is set in over half of the words'
+    All words count (LONG is 1). A bit is 1 if it is set in over half of the words'
     hashes. Lane l of sum j counts bit j + 9 * l, so a word costs 9 additions
     and stays in generated code; lines with more words than a lane can count are
     added up bit by bit. The lines are dealt once, so that the many sums of a line are never shuffled.
@@ -85,7 +87,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``__text`` is the hash of the text: rows with the same id and text count as
     one document. Lines whose normal form has fewer than ``least_chars``
     characters stay. Equal normal forms are one line; lines of at least
-    ``fuzzy_words`` long words are also linked if the edit similarity of their
+    ``fuzzy_words`` words are also linked if the edit similarity of their
     words is at least ``similarity``, where their SimHashes differ in at most
     ``distance`` bits or they share a MinHash band. Of each connected group the occurrence with the smallest
     id, text hash and position stays.
