@@ -99,12 +99,14 @@ def keyed_components(items: DataFrame, choices: list[Column], distance: int, tex
     small = []
     for at in range(0, len(choices), PASS):  # a few keys at a time, so that their shuffles don't lie side by side
         keys = items.select("id", "fp", F.explode(F.array(*choices[at : at + PASS])).alias("key")).filter("key is not null")
-        found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("fp").alias("x"))
+        found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("id")).alias("y"))
         small.append(materialise(found.filter("n > 1"), "buckets"))
     buckets = reduce(DataFrame.unionByName, small)
     near = lambda x: F.bit_count(x) <= distance
     two = buckets.filter("n = 2").filter(near(F.col("x"))).select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct()
-    many = buckets.filter("n > 2").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    # buckets of the same members, as near copies make for key after key, hold the same links: one of them is enough
+    many = buckets.filter("n > 2").groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key"))
+    many = materialise(many.select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "many")
     keys = items.select("id", "fp", F.explode(F.array(*choices)).alias("key"))
     rows = rows_table = materialise(_only(keys, many, "key").join(many, "key").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")), "members")
     if verify is not None:
@@ -141,7 +143,7 @@ def keyed_components(items: DataFrame, choices: list[Column], distance: int, tex
         found = materialise(found, "edges")
         release(cut)
         if labels is not None and found.isEmpty():
-            release(rows_table, found, *small, *own)
+            release(rows_table, many, found, *small, *own)
             return labels
         own.append(found)
         edges = edges.unionByName(found)
