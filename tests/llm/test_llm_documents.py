@@ -306,6 +306,14 @@ def test_licenses(spark, docs, empty):
     assert licenses.license_scan(empty, licenses.document_path()).count() == 0
 
 
+def test_license_verdict_is_the_same_on_a_larger_table(spark):
+    notice = spark.createDataFrame([(0, "This document is released under the MIT License.")], "doc_id long, text string")
+    for n in (200, 20_000):
+        line = F.concat(F.lit("this document is number "), F.col("id").cast("string"), F.when(F.col("id") % 20 == 0, "\nreleased under the MIT license").otherwise(""))
+        found = licenses.license_lines(notice.unionByName(spark.range(1, n).select(F.col("id").alias("doc_id"), line.alias("text")))).filter("__id = 0").collect()
+        assert [r["license"] for r in found] == ["MIT"]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     from vigilake.llm.scratch import materialise
 

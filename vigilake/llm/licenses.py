@@ -39,8 +39,7 @@ def license_lines(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     """(__id, __text, pos, edge, license, score) of each line of a whole text whose cosine to a template is at least ``threshold``; ``edge``: it is the first or last line.
 
     Term weights are tf * idf with idf = ln((lines + 1) / (lines with the term +
-    1)) + 1 over all lines that have a term; a word that no template has weighs
-    as one that no line has. The best template wins, the first listed among
+    1)) + 1 over all lines that have a term, for every word. The best template wins, the first listed among
     equals. By Cauchy-Schwarz a line can only reach the threshold if the terms
     it shares hold that share of a template's length, so lines without any of
     its heaviest terms are not scored.
@@ -52,10 +51,10 @@ def license_lines(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.size(F.split(text_col, "\n")).alias("n"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     split = lines.select("__id", "__text", "pos", ((F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).alias("edge"), terms(F.col("line")).alias("terms")).filter(F.size("terms") > 0)
     every = split.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))  # "" counts the lines
-    df = {r["term"]: r["n"] for r in every.filter(F.col("term").isin(["", *vocabulary])).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = materialise(every.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
+    df = {r["term"]: r["n"] for r in counted.filter(F.col("term").isin(["", *vocabulary])).collect()}
     n = df.get("", 0)
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
-    unseen = math.log(n + 1) + 1
     weights = [{t: c * idf[t] for t, c in own.items()} for own in counts]
     lengths = [math.sqrt(sum(w * w for w in own.values())) for own in weights]
     needed: set[str] = set()
@@ -68,7 +67,8 @@ def license_lines(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     candidates = split.filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(needed)])))
     tf = candidates.select("__id", "__text", "pos", "edge", F.explode("terms").alias("term")).groupBy("__id", "__text", "pos", "edge", "term").agg(F.count(F.lit(1)).alias("tf"))
     table = spark.createDataFrame([(t, idf[t], *[own.get(t, 0.0) for own in weights]) for t in vocabulary], "term string, idf double, " + ", ".join(f"t{i} double" for i in range(len(names))))
-    weighed = tf.join(F.broadcast(table), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    common = counted.select("term", (F.log(F.lit(n + 1.0) / (F.col("n") + 1)) + 1).alias("rarity"))
+    weighed = tf.join(F.broadcast(table), "term", "left").join(common, "term").withColumn("w", F.col("tf") * F.coalesce("idf", "rarity"))
     dots = weighed.groupBy("__id", "__text", "pos", "edge").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.coalesce(f"t{i}", F.lit(0.0))).alias(f"d{i}") for i in range(len(names))])
     cosine = [F.round(F.col(f"d{i}") / (F.col("norm") * length), 6) for i, length in enumerate(lengths)]
     best = F.greatest(*cosine)
