@@ -238,6 +238,17 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+def test_unlearned_languages_go(spark):
+    d = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(d).select("doc_id", "text", "lang")
+    rng = random.Random(8)
+    odd = ["Это простой русский текст о погоде и природе. " * 5, "这是一个关于天气的简单中文文本。" * 8, "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(300))]
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(odd)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    lettered = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert not any(i >= 10**9 for i in kept) and len(lettered - kept) <= 0.002 * len(lettered) and kept <= lettered
+
+
 def test_language_scores_match_a_plain_sum():
     langs, rng = ["a", "b"], np.random.default_rng(0)
     logp = np.vstack([rng.normal(size=(language_id.BUCKETS, 2)), np.zeros((1, 2))])

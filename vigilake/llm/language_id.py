@@ -110,9 +110,13 @@ def train(rows: DataFrame, per_language: int = 20_000, smoothing: float = 0.5, i
     return langs, np.vstack([logp, np.zeros((1, len(langs)))])
 
 
-def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, carry: list[str] | None = None, text_col: str = "text", fit_col: str | None = None) -> DataFrame:
     """``carry`` (default: doc_id) with lang_pred and score of each row; ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
 
+    ``fit_col`` names one more column: the mean log-probability of the n-grams
+    in the predicted language, null for ``und``. Unlike score, it is low for
+    text of no learned language.
+
     Every n-gram of the whole text counts. Rows repeat as in the input; equal
     scores go to the first language in order; carried columns of those two
     names are replaced, and other columns are not read.
@@ -120,16 +124,17 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, carry: list[str
     table = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
     names = [c for c in (["doc_id"] if carry is None else carry) if c.lower() not in ("lang_pred", "score")]
     given = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(fit_col, T.DoubleType())] if fit_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(names)).to_pylist()
-            best, scores = [], []
+            best, scores, fits = [], [], []
             for i, j in _chunks(texts):
                 starts, has, grams = _grams(texts[i:j])
                 total = np.zeros((j - i, len(langs)))
-                full = np.flatnonzero(np.diff(np.append(starts, len(grams[0]) if grams else 0)))
+                long = np.diff(np.append(starts, len(grams[0]) if grams else 0))
+                full = np.flatnonzero(long)
                 if len(full) and langs:
                     for h in grams:
                         total[full] += np.add.reduceat(table.value[h], starts[full], axis=0, dtype=np.float64)
@@ -137,15 +142,29 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, carry: list[str
                     if not has[k] or not langs:
                         best.append("und")
                         scores.append(0.0)
+                        fits.append(None)
                         continue
                     w = int(total[k].argmax())
                     best.append(langs[w])
                     scores.append(float(1 / np.exp(np.clip(total[k] - total[k, w], -700, 0)).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema])
+                    fits.append(float(total[k, w] / sum(max(int(long[k]) - n + 1, 0) for n in ORDERS)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64()), *([pa.array(fits, pa.float64())] if fit_col else [])], names=[f.name for f in schema])
 
     return given.mapInArrow(run, schema)
 
 
+def least_fit(rows: DataFrame, langs: list[str], logp: np.ndarray, per_language: int = 2_000, least_rows: int = 200, slack: float = 1.0, id_col: str = "doc_id") -> float | None:
+    """The fit below which a text is of no learned language: ``slack`` under the 0.1 % quantile of about ``per_language`` labelled rows a language; None with fewer than ``least_rows`` labelled rows, too few to tell."""
+    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sizes.values()) < least_rows:
+        return None
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
+    chosen = rows.filter(F.pmod(F.xxhash64(id_col, F.lit("fit")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    found = predict(chosen, langs, logp, [], fit_col="fit").agg(F.percentile_approx("fit", 0.001, 10_000)).first()[0]
+    return None if found is None else found - slack
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5):
     """Whether crc32 of the id as text leaves remainder 0; true for a null id, so that it is never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
