@@ -180,3 +180,16 @@ def test_streams_match_batches(spark, tmp_path):
     kept.stop()
     batch = policies.suppress(df.select("user_id", "day").distinct().withColumn("alert", F.lit(True)), 3).filter("emitted").select("user_id", "day")
     assert sorted(map(tuple, spark.table("kept").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_registered_bootstraps_run_the_recorded_replicates():
+    import re
+    from inspect import getsource
+
+    from vigilake.plans import risk_queries
+
+    text = getsource(risk_queries)
+    for name, n in (("bootstrap_ci", 1000), ("operating_ci", 1000), ("paired_delta", 1000), ("threshold_ci", 200), ("platt_refit", 1000)):
+        call = re.search(rf"resampling\.{name}\(.*", text).group()
+        assert re.search(rf"\b{n}\b", call)
+    assert "rounds=10" not in text

@@ -302,28 +302,28 @@ def window_scores(spark, sf):
 
 @query()
 def bootstrap_auc(spark, sf):
-    return rounded(resampling.bootstrap_ci(scored(spark, sf), 50))
+    return rounded(resampling.bootstrap_ci(scored(spark, sf), 1000))
 
 
 @query()
 def bootstrap_user_blocks(spark, sf):
-    return rounded(resampling.operating_ci(scored(spark, sf), 50))
+    return rounded(resampling.operating_ci(scored(spark, sf), 1000))
 
 
 @query()
 def bootstrap_paired_delta(spark, sf):
-    return rounded(resampling.paired_delta(scored(spark, sf).withColumn("other", F.col("login_count").cast("double")), "other", "score", 50, key=("user_id",)))
+    return rounded(resampling.paired_delta(scored(spark, sf).withColumn("other", F.col("login_count").cast("double")), "other", "score", 1000, key=("user_id",)))
 
 
 @query()
 def bootstrap_threshold(spark, sf):
-    return rounded(resampling.threshold_ci(scored(spark, sf), 50))
+    return rounded(resampling.threshold_ci(scored(spark, sf), 200))
 
 
 @query()
 def bootstrap_platt_refit(spark, sf):
     p = parts(spark, sf)
-    return rounded(resampling.platt_refit(p["calibration"], p["test"], 30))
+    return rounded(resampling.platt_refit(p["calibration"], p["test"], 1000))
 
 
 @query()
@@ -343,7 +343,7 @@ def oof_scores(spark, sf):
 @query()
 def fusion_weights(spark, sf):
     df = scored(spark, sf).withColumn("a", 1 - F.col("device_consistency_score")).withColumn("b", 1 - F.col("file_type_consistency_score"))
-    w = components.fit_fusion(df, ["score", "a", "b"], rounds=10)
+    w = components.fit_fusion(df, ["score", "a", "b"])
     return spark.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "component string, weight double")
 
 
