@@ -15,7 +15,7 @@ from .scratch import materialise, release
 LANE, MOST, LONG = 9, 255, 1
 ONES = sum(1 << at for at in range(0, 63, LANE))
 SUMS = [f"s{j}" for j in range(LANE)]
-#: MinHash bands of two over pairs of neighbouring words: lines at an edit similarity of 0.8 share at least one of them in about 99 % of cases.
+#: MinHash bands of two over pairs of neighbouring words: lines at an edit similarity of 0.8 share at least one of them in 96 % (5 words) to 99.8 % of cases (20 words).
 BANDS = [f"b{i}" for i in range(24)]
 LEAST = [f"m{i}" for i in range(2 * len(BANDS))]
 
