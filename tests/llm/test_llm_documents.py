@@ -144,6 +144,58 @@ def test_lines_at_an_edit_similarity_of_08_go(spark):
     assert got <= close and len(got) >= 0.95 * len(close)
 
 
+def word_edits(a, b, most):
+    """Word edit distance, or most + 1 if it is beyond that."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Default parameters, every pair of lines; planted near lines beside those of the given documents."""
+    rng = random.Random(12)
+    given = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    pool = sorted({line for _, t in given for line in (t or "").split("\n") if 5 <= len(line.split()) <= 60})
+    for i in range(60):  # some words of each replaced, dropped or added
+        w = rng.choice(pool).split()
+        for _ in range(rng.randint(1, max(1, len(w) // 5))):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([1, 1, 0])] = rng.choice([[rng.choice(pool).split()[0]], []])
+        given.append((10_000 + i, "\n".join(rng.sample(["  ".join(w), f"only here {i} {i * i}"], 2))))
+    key = lambda line: " ".join(re.split("[ \t\r\x0b\x0c]+", line.strip(" \t\r\x0b\x0c").lower()))
+    distinct = sorted({key(line) for _, t in given for line in (t or "").split("\n")} - {""})
+    distinct = [d for d in distinct if len(d) >= 10]
+    split = [d.split(" ") for d in distinct]
+    bags = [Counter(w) for w in split]
+    label, pairs = list(range(len(distinct))), []
+    for i in range(len(distinct)):
+        for j in range(i):
+            longer = max(len(split[i]), len(split[j]))
+            most = int(longer * 0.2 + 1e-9)
+            if abs(len(split[i]) - len(split[j])) <= most and longer >= 5 and (bags[i] & bags[j]).total() >= longer - most and word_edits(split[i], split[j], most) <= most:
+                pairs.append((i, j))
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    of = dict(zip(distinct, label, strict=True))
+    first, want = {}, {}
+    for i, t in sorted(given, key=lambda r: r[0]):
+        kept = []
+        for line in (t or "").split("\n"):
+            at = first.setdefault(of.get(key(line), (i, len(kept))), (i, len(kept)))
+            kept.append(at == (i, len(kept)))
+        want[i] = [at for at, stays in enumerate(kept) if not stays]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    got = {r["__id"]: sorted(r["removed"]) for r in line_dedup.removed_lines(docs).collect()}
+    lost = sum(len(set(want[i]) - set(got.get(i, []))) for i in want)
+    more = sum(len(set(got[i]) - set(want[i])) for i in got)
+    assert len(pairs) > 50 and more == 0 and lost <= 0.01 * sum(map(len, want.values()))
+
+
 def test_line_white_space_and_short_words(spark):
     rows = [(0, "alpha beta gamma"), (1, " Alpha\tbeta \x0b  gamma"), (2, "it is an old red cat on my big bed"), (3, "it  is an old red dog on my big bed"), (4, "alphabeta gamma")]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -1,13 +1,22 @@
-"""Fuzzy line dedup in DataFrame operations only: SimHash blocks and MinHash bands, edit similarity, one occurrence kept."""
+"""Fuzzy line dedup in DataFrame operations only: blocks of rare words, SimHash, edit similarity, one occurrence kept.
+
+A fingerprint of 63 bits moves by about 13 bits between lines at an edit
+similarity of 0.8, so blocks of its bits that all such lines share would have a
+few bits only. The pigeonhole blocks are therefore cut from what the fingerprint is made
+of: a line's words in one fixed order. Lines at that similarity differ in few
+words, so most of their first words are the same, and any three of these are a
+block. The SimHash then decides which candidates are worth an edit distance.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import block_keys, keyed_components
+from .links import keyed_components, only
 from .scratch import materialise, release
 
 
@@ -15,9 +24,8 @@ from .scratch import materialise, release
 LANE, MOST, LONG = 9, 255, 1
 ONES = sum(1 << at for at in range(0, 63, LANE))
 SUMS = [f"s{j}" for j in range(LANE)]
-#: MinHash bands of two over pairs of neighbouring words: lines at an edit similarity of 0.8 share at least one of them in 96 % (5 words) to 99.8 % of cases (20 words).
-BANDS = [f"b{i}" for i in range(24)]
-LEAST = [f"m{i}" for i in range(2 * len(BANDS))]
+#: A block is BLOCK of the FIRST first words of a line: 20 blocks a line.
+FIRST, BLOCK = 6, 3
 
 
 def normal(line: Column) -> Column:
@@ -27,6 +35,19 @@ def normal(line: Column) -> Column:
     return F.when(reduce(lambda x, y: x | y, runs), F.regexp_replace(low, "[ \\t\\r\\x0b\\x0c]+", " ")).otherwise(low)
 
 
+def first_words(norm: Column, least: int) -> Column:
+    """The FIRST first words of a line of at least ``least`` words, else null: longer words, which are rarer, first, then by hash; a word is one long."""
+    words = F.split(norm, " ")
+    place = lambda w: F.shiftleft(F.lit(31) - F.least(F.length(w), F.lit(31)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 6))
+    return F.when(F.size(words) >= least, F.slice(F.sort_array(F.transform(words, place)), 1, FIRST))
+
+
+def blocks(first: Column) -> Column:
+    """The distinct keys of a line's blocks from its first words."""
+    keys = [F.when(F.size(first) > max(chosen), F.xxhash64(*[F.get(first, F.lit(i)) for i in chosen])) for chosen in combinations(range(FIRST), BLOCK)]
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
 def _majority(n: Column) -> Column:
     """The 63 bits that over half of ``n`` words have, from the sums: one addition compares all lanes of a sum."""
     over = F.lit(MOST).cast("long") - F.floor(n / 2)
@@ -34,43 +55,30 @@ def _majority(n: Column) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def _halves(pair: Column) -> list[Column]:
-    """The 48 hash values of a pair of words: the halves of 24 rehashes of its hash."""
-    whole = [F.xxhash64(pair, F.lit(i)) for i in range(len(BANDS))]
-    return [half for h in whole for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
-
-
-def _bands() -> list[Column]:
-    return [F.hash(F.lit(i), F.col(LEAST[2 * i]), F.col(LEAST[2 * i + 1])).alias(b) for i, b in enumerate(BANDS)]
-
-
 def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, n, fp and BANDS of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n words and the MinHash bands of its word pairs.
+    """``keys``, n and fp of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n words.
 
     All words count (LONG is 1). A bit is 1 if it is set in over half of the words'
     hashes. Lane l of sum j counts bit j + 9 * l, so a word costs 9 additions
     and stays in generated code; lines with more words than a lane can count are
-    added up bit by bit. The lines are dealt once, so that the many sums of a line are never shuffled.
+    added up bit by bit.
     """
-    ws = F.split("norm", " ")
-    words = lines.repartition(*[k for k in keys if k not in ("k1", "k2")]).withColumn("ws", ws)
-    words = words.select(*keys, (F.size("ws") > MOST).alias("wide"), F.posexplode(F.arrays_zip(F.col("ws").alias("w"), F.slice("ws", F.lit(2), F.size("ws")).alias("next"))).alias("at", "p"))
-    words = words.select(*keys, "wide", "at", F.col("p.w").alias("w"), F.col("p.next").alias("next"))
-    hashed = words.select(*keys, "wide", F.floor(F.col("at") / MOST).alias("part"), F.when(F.length("w") >= LONG, F.xxhash64("w")).alias("h"), F.when(F.col("next").isNotNull(), F.xxhash64("w", "next")).alias("pair"))
-    least = [F.min(F.when(F.col("pair").isNotNull(), x)).alias(m) for x, m in zip(_halves(F.col("pair")), LEAST, strict=True)]
-    sums = hashed.groupBy(*keys, "wide", "part").agg(F.count("h").alias("n"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ONES))).alias(f) for j, f in enumerate(SUMS)], *least)
-    rows = materialise(sums.select(*keys, "wide", "n", F.when(~F.col("wide"), _majority(F.col("n"))).alias("fp"), *[F.when(F.col("wide"), F.col(c)).alias(c) for c in SUMS + LEAST], *_bands()), "lines")
+    words = lines.select(*keys, F.posexplode(F.split("norm", " ")).alias("at", "w"))
+    hashed = words.select(*keys, F.floor(F.col("at") / MOST).alias("part"), F.when(F.length("w") >= LONG, F.xxhash64("w")).alias("h"))
+    sums = hashed.groupBy(*keys, "part").agg(F.count("h").alias("n"), F.max("part").alias("last"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ONES))).alias(f) for j, f in enumerate(SUMS)])
+    rows = materialise(sums, "sums")
+    wide = rows.filter("part > 0").select(*keys).distinct().withColumn("wide", F.lit(True))
+    rows = rows.join(wide, keys, "left")
     counters = F.array(*[F.shiftrightunsigned(SUMS[bit % LANE], LANE * (bit // LANE)).bitwiseAND(F.lit((1 << LANE) - 1)) for bit in range(63)])
     bits = rows.filter("wide").select(*keys, "n", F.posexplode(counters).alias("bit", "c")).groupBy(*keys, "bit").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     added = bits.groupBy(*keys).agg(F.max("n").alias("n"), F.bit_or(F.when(F.col("c") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("fp"))
-    banded = rows.filter("wide").groupBy(*keys).agg(*[F.min(m).alias(m) for m in LEAST]).select(*keys, *_bands())
-    both = added.unionByName(banded, allowMissingColumns=True).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("n", "fp", *BANDS)])
-    return rows.filter("not wide").select(*keys, "n", "fp", *BANDS).unionByName(both)
+    return rows.filter("wide is null").select(*keys, "n", _majority(F.col("n")).alias("fp")).unionByName(added)
 
 
 def symbols(norm: Column) -> Column:
-    """One printable character a word, from its hash, so that edits of words are edits of characters."""
-    return F.array_join(F.transform(F.split(norm, " "), lambda w: F.chr(F.pmod(F.xxhash64(w), F.lit(94)) + 33)), "")
+    """One character of 2^18 a word, from its hash, so that edits of words are edits of characters: the bytes of U+40000 to U+7FFFF, six bits in each of the last three."""
+    code = lambda w: F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x3F3F3F)).bitwiseOR(F.lit(0xF1808080)))
+    return F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")).cast("string")
 
 
 def similar(a: Column, b: Column, similarity: float) -> Column:
@@ -81,34 +89,53 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.call_function("levenshtein", a, b, allowed) >= 0)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 10, fuzzy_words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 10, fuzzy_words: int = 5, distance: int = 24, similarity: float = 0.8) -> DataFrame:
     """(__id, __text, removed): of each document with lines to remove, their positions (from 0) as an array.
 
     ``__text`` is the hash of the text: rows with the same id and text count as
     one document. Lines whose normal form has fewer than ``least_chars``
-    characters stay. Equal normal forms are one line; lines of at least
-    ``fuzzy_words`` words are also linked if the edit similarity of their
-    words is at least ``similarity``, where their SimHashes differ in at most
-    ``distance`` bits or they share a MinHash band. Of each connected group the occurrence with the smallest
+    characters stay. Equal normal forms are one line. Lines of at least
+    ``fuzzy_words`` words (with fewer, no word can differ at 0.8) are also linked if they share a block, their
+    SimHashes differ in at most ``distance`` bits and the edit similarity of their
+    words is at least ``similarity``. Of each connected group the occurrence with the smallest
     id, text hash and position stays.
     """
-    lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    text = F.xxhash64(text_col)
+    lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), text.alias("__text"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     worded = lines.select("__id", "__text", "pos", normal(F.col("line")).alias("norm")).filter(F.length("norm") >= least_chars)
-    worded = worded.select("__id", "__text", "pos", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), "norm")
-    seen = simhashes(worded, ["__id", "__text", "pos", "k1", "k2"]).withColumn("fp", F.when(F.col("n") >= fuzzy_words, F.col("fp"))).drop("n")
-    distinct = materialise(seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")), "distinct")
-    nodes = materialise(seen.filter("fp is not null").groupBy(F.col("k1").alias("id")).agg(*[F.min(c).alias(c) for c in ("fp", *BANDS)]), "nodes")
-    banded = [F.lit((1000 + i) << 32).bitwiseOR(F.col(b).cast("long").bitwiseAND(F.lit((1 << 32) - 1))) for i, b in enumerate(BANDS)]
-    texts = worded.select(F.col("k1").alias("id"), F.col("norm").alias("text"))
-    linked_table = keyed_components(nodes, block_keys(F.col("fp"), distance, distance + 3) + banded, 64, texts, lambda a, b: similar(a, b, similarity), symbols)
+    first = first_words(F.col("norm"), fuzzy_words)
+    seen = materialise(worded.select("__id", "__text", "pos", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), first.alias("first")), "lines")
+    firsts = [F.min(F.get("first", F.lit(i))).alias(f"f{i}") for i in range(FIRST)]  # equal lines have equal ones; longs keep the aggregate in generated code
+    distinct = materialise(seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), *firsts), "distinct")
+    nodes = distinct.filter("f0 is not null").select(F.col("k1").alias("id"), F.array_compact(F.array(*[f"f{i}" for i in range(FIRST)])).alias("first"))
+
+    def describe(ids: DataFrame) -> DataFrame:
+        """The SimHash and the symbols of each line, from one document that has it; only those documents are cut again."""
+        where = seen.select("__text", "pos", F.col("k1").alias("id"))
+        where = only(where, ids, "id").join(ids, "id").groupBy("id").agg(F.min("__text").alias("__text"))
+        at = materialise(where.join(seen.select("__text", "pos", F.col("k1").alias("id")), ["id", "__text"]).groupBy("id", "__text").agg(F.min("pos").alias("pos")), "places")
+        wanted = materialise(at.groupBy("__text").agg(F.collect_list(F.struct("id", "pos")).alias("at")), "wanted")
+        texts = docs.filter(F.col(text_col).isNotNull()).select(text.alias("__text"), F.col(text_col).alias("text"))
+        own = only(texts, wanted, "__text").groupBy("__text").agg(F.min("text").alias("text")).join(wanted, "__text")
+        cut = own.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at")).select("at.id", normal(F.get("lines", F.col("at.pos"))).alias("norm"))
+        cut = materialise(cut, "cut")
+        hashed = simhashes(cut, ["id"]).select("id", "fp")
+        return cut.join(hashed, "id").select("id", F.struct("fp", symbols(F.col("norm")).alias("symbols")).alias("about"))
+
+    def verify(a: Column, b: Column) -> Column:
+        return (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= distance) & similar(a["symbols"], b["symbols"], similarity)
+
+    most = len(list(combinations(range(FIRST), BLOCK)))
+    linked_table = keyed_components(nodes, blocks(F.col("first")), most, verify, describe)
     linked = linked_table.toDF("k1", "root")
     groups = distinct.join(linked, "k1", "left").filter("n > 1 or root is not null").select("k1", "k2", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2"))
     groups = materialise(groups, "groups")
-    many = materialise(seen.select("__id", "__text", "pos", "k1", "k2").join(groups, ["k1", "k2"]).select("__id", "__text", "pos", "g1", F.coalesce("g2", F.lit(0)).alias("g2"), F.col("g2").isNull().alias("g3")), "repeated")
-    first = materialise(many.groupBy("g1", "g2", "g3").agg(F.min(F.struct("__id", "__text", "pos")).alias("first")), "first")
-    gone = many.join(first, ["g1", "g2", "g3"]).filter(~F.struct("__id", "__text", "pos").eqNullSafe(F.col("first")))
+    many = only(seen.select("__id", "__text", "pos", "k1", "k2"), groups, "k1").join(groups, ["k1", "k2"])
+    many = materialise(many.select("__id", "__text", "pos", "g1", F.coalesce("g2", F.lit(0)).alias("g2"), F.col("g2").isNull().alias("g3")), "repeated")
+    least = materialise(many.groupBy("g1", "g2", "g3").agg(F.min(F.struct("__id", "__text", "pos")).alias("first")), "first")
+    gone = many.join(least, ["g1", "g2", "g3"]).filter(~F.struct("__id", "__text", "pos").eqNullSafe(F.col("first")))
     removed = materialise(gone.groupBy("__id", "__text").agg(F.collect_set("pos").alias("removed")), "removed")
-    release(distinct, nodes, groups, many, first, linked_table)
+    release(seen, distinct, groups, many, least, linked_table)
     return removed
 
 

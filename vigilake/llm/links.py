@@ -1,8 +1,9 @@
-"""Connected components and Hamming-distance links, in DataFrame operations only.
+"""Connected components and links between rows that share a key, in DataFrame operations only.
 
 Nothing here gathers edges or components on the driver: a round returns two
-numbers. Buckets of any size are compared in tiles of bounded size, and a
-member reports one neighbour per tile, never all pairs.
+numbers. Buckets of any size are first compared with one member of theirs and
+then, where several components are left, in tiles of bounded size; a member
+reports one neighbour per tile, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from .scratch import materialise, release
 
 #: Slots of the filter that keeps rows from being shuffled for nothing; it never has more rows than that.
 SLOTS = 1 << 22
-#: Keys of a fingerprint that are shuffled at once.
+#: Keys of a row that are shuffled at once.
 PASS = 5
 
 
-def _only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """``rows`` less most of those whose ``key`` is not in ``wanted``, by the slots of the keys' hashes, so that a join shuffles few of them."""
-    slot = F.pmod(F.xxhash64(F.lit(3), key), F.lit(SLOTS)).alias("__slot")
+    slot = F.pmod(F.xxhash64(F.lit(3), key), F.lit(SLOTS)).cast("int").alias("__slot")
     taken = wanted.select(slot).distinct()
     return rows.select("*", slot).join(F.broadcast(taken), "__slot", "left_semi").select(*rows.columns)
 
@@ -40,17 +41,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each keeps the components and
     moves every node to a smaller neighbour, until all point at their least node.
+    Each node's least neighbour is written before it is joined, so that the join
+    reads plain shuffles and a hub's edges can be split over tasks.
     """
     now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, now = now, materialise(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        release(last)
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = materialise(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        down = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, now = now, materialise(down.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(last, least, large, lower)
         state, before = _state(now), state
         if state == before:
             break
@@ -78,74 +81,87 @@ def block_keys(fp: Column, distance: int, blocks: int) -> list[Column]:
     return keys
 
 
-def hamming_components(items: DataFrame, distance: int, blocks: int, texts: DataFrame | None = None, verify: Callable[[Column, Column], Column] | None = None, digest: Callable[[Column], Column] = lambda text: text, tile: int = 128) -> DataFrame:
-    """(node, root) of each ``id`` of ``items`` (id long, unique; fp long) that has a link.
+def hamming_components(fps: DataFrame, distance: int, blocks: int, tile: int = 512) -> DataFrame:
+    """(node, root) of each fingerprint ``id`` of ``fps`` (long, unique) that differs from another in at most ``distance`` bits."""
+    choices = block_keys(F.col("id"), distance, blocks)
+    return keyed_components(fps, F.array(*choices), len(choices), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance, tile=tile)
 
-    A link joins two ids whose fingerprints differ in at most ``distance`` bits
-    and, with ``verify``, whose ``text`` in ``texts`` (id, text; rows may repeat), or what
-    ``digest`` makes of it, passes it.
-    """
-    return keyed_components(items, block_keys(F.col("fp"), distance, blocks), distance, texts, verify, digest, tile)
 
+def keyed_components(items: DataFrame, keys: Column, most: int, verify: Callable[[Column, Column], Column], describe: Callable[[DataFrame], DataFrame] | None = None, tile: int = 512) -> DataFrame:
+    """(node, root) of the ids of ``items`` (id long, unique) that have a link, root being the least id reachable.
 
-def keyed_components(items: DataFrame, choices: list[Column], distance: int, texts: DataFrame | None = None, verify: Callable[[Column, Column], Column] | None = None, digest: Callable[[Column], Column] = lambda text: text, tile: int = 128) -> DataFrame:
-    """(node, root) as of :func:`hamming_components`, over the ids that share one of the keys ``choices`` (long columns of ``items``, different for different choices; null: no key).
+    ``keys`` is an array of at most ``most`` different longs of a row. A link joins two ids that
+    share a key and pass ``verify``, which gets the two ids or, with
+    ``describe``, what that tells of them: it takes ids (id) and returns (id, about).
 
-    Buckets of two are settled from their aggregate. Larger ones are cut into
-    tiles of about ``tile`` members; in each round a member names one linked
-    member of each tile that has another component so far, and rounds go on
-    until none is named, so no link is lost and none is listed twice over.
+    Every member of a bucket is compared with the bucket's least id, which settles
+    buckets of two and groups of near copies of any size. Where members
+    are left in other components than that id, they are compared with all members in tiles of
+    about ``tile``; in each round a member names one linked member of each tile
+    that has another component so far, and rounds go on until none is named, so
+    no link is lost, no pairs are listed, and members of the leading component
+    are not compared with each other.
     """
     small = []
-    for at in range(0, len(choices), PASS):  # a few keys at a time, so that their shuffles don't lie side by side
-        keys = items.select("id", "fp", F.explode(F.array(*choices[at : at + PASS])).alias("key")).filter("key is not null")
-        found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("id")).alias("y"))
+    passes = -(-most // PASS)
+    for at in range(passes):  # a share of the keys at a time, so that their shuffles don't lie side by side
+        dealt = items.select("id", F.explode(keys).alias("key")).filter(F.pmod(F.col("key"), F.lit(passes)) == at)
+        found = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"))
         small.append(materialise(found.filter("n > 1"), "buckets"))
     buckets = reduce(DataFrame.unionByName, small)
-    near = lambda x: F.bit_count(x) <= distance
-    two = buckets.filter("n = 2").filter(near(F.col("x"))).select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct()
+    two = buckets.filter("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     # buckets of the same members, as near copies make for key after key, hold the same links: one of them is enough
-    many = buckets.filter("n > 2").groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key"))
-    many = materialise(many.select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "many")
-    keys = items.select("id", "fp", F.explode(F.array(*choices)).alias("key"))
-    rows = rows_table = materialise(_only(keys, many, "key").join(many, "key").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")), "members")
-    if verify is not None:
-        two = materialise(two, "pairs")
-        ids = two.select(F.col("u").alias("id")).unionByName(two.select(F.col("v").alias("id"))).unionByName(rows.select("id")).distinct()
-        ids = materialise(ids, "ids")
-        texts = materialise(_only(texts, ids, "id").join(ids, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", digest(F.col("text")).alias("text")), "texts")
-        left, right = texts.toDF("u", "a"), texts.toDF("v", "b")
-        two = two.join(left, "u").join(right, "v").filter(verify(F.col("a"), F.col("b"))).select("u", "v")
-        rows = rows.join(texts, "id")
-    edges, labels = materialise(two, "edges"), None
-    own = [edges]
+    many = materialise(buckets.filter("n > 2").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "lo", "n"), "many")
+    dealt = items.select("id", F.explode(keys).alias("key"))
+    rows = materialise(only(dealt, many, "key").join(many, "key").select("key", "lo", "n", "id"), "members")
+    pairs = materialise(two.unionByName(rows.filter("id <> lo").select(F.col("lo").alias("u"), F.col("id").alias("v"))).distinct(), "pairs")
+    release(*small)
+    tables = [many, rows, pairs]
+    if describe is None:
+        passed = pairs.filter(verify(F.col("u"), F.col("v")))
+    else:
+        ids = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
+        about = materialise(describe(ids), "about")
+        tables += [ids, about]
+        passed = pairs.join(about.toDF("u", "a"), "u").join(about.toDF("v", "b"), "v").filter(verify(F.col("a"), F.col("b")))
+    edges = materialise(passed.select("u", "v"), "edges")
     while True:
-        named = rows.withColumn("label", F.col("id"))
-        if labels is not None:
-            named = rows.join(labels.toDF("id", "root"), "id", "left").withColumn("label", F.coalesce("root", "id"))
-        fields = ["id", "fp", "label"] + (["text"] if verify is not None else [])
-        tiles = named.groupBy("key", "tiles", "tile").agg(F.collect_list(F.struct(*fields)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-        alone = tiles.filter("tiles = 1 and low < high").select(F.col("m").alias("a"), F.col("m").alias("b"))
-        cut = materialise(tiles.filter("tiles > 1"), "tiles")
-        left = cut.withColumn("other", F.explode(F.sequence("tile", F.col("tiles") - 1))).select("key", "other", F.col("m").alias("a"), F.col("low").alias("l1"), F.col("high").alias("h1"))
-        right = cut.select("key", F.col("tile").alias("other"), F.col("m").alias("b"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-        crossed = left.join(right, ["key", "other"]).filter("least(l1, l2) < greatest(h1, h2)").select("a", "b")
-
-        def pick(a: Column) -> Column:
-            others = F.filter("b", lambda b: (b["label"] != a["label"]) & near(a["fp"].bitwiseXOR(b["fp"])))
-            if verify is None:
-                first = F.get(others, F.lit(0))["id"]
-            else:  # no text is compared once one has passed
-                first = F.aggregate(others, F.lit(None).cast("long"), lambda got, b: F.when(got.isNotNull(), got).when(verify(a["text"], b["text"]), b["id"]))
-            return F.struct(a["id"].alias("u"), first.alias("v"))
-
-        found = alone.unionByName(crossed).select(F.explode(F.filter(F.transform("a", pick), lambda e: e["v"].isNotNull())).alias("e")).select("e.u", "e.v").distinct()
-        found = materialise(found, "edges")
-        release(cut)
-        if labels is not None and found.isEmpty():
-            release(rows_table, many, found, *small, *own)
-            return labels
-        own.append(found)
-        edges = edges.unionByName(found)
-        release(labels)
         labels = materialise(connected_components(edges), "labels")
+        of = labels.toDF("id", "label")
+        leads = many.join(of.toDF("lo", "lead"), "lo", "left").select("key", F.coalesce("lead", "lo").alias("lead"))
+        named = rows.join(of, "id", "left").join(leads, "key").select("key", "n", "id", F.coalesce("label", "id").alias("label"), "lead")
+        named = materialise(named.withColumn("other", F.col("label") != F.col("lead")).drop("lead"), "named")
+        live = materialise(named.filter("other").groupBy("key").agg(F.count(F.lit(1)).alias("others")), "live")
+        found = materialise(_crossed(named, live, verify, None if describe is None else about, tile), "edges")
+        release(named, live)
+        if found.isEmpty():
+            release(found, edges, *tables)
+            return labels
+        tables.append(edges)
+        edges = materialise(edges.unionByName(found), "edges")
+        release(labels, found)
+
+
+def _crossed(named: DataFrame, live: DataFrame, verify: Callable[[Column, Column], Column], about: DataFrame | None, tile: int) -> DataFrame:
+    """(u, v): links between different components, at least one where there is any, from rows (key, n, id, label, other) of the buckets ``live`` (key, others)."""
+    at = lambda count: F.pmod(F.xxhash64("id"), F.greatest(F.ceil(count / tile), F.lit(1))).cast("int")
+    own, rest = F.col("others"), F.col("n") - F.col("others")
+    rows = only(named, live, "key").join(live, "key").withColumn("tile", F.when(F.col("other"), at(own)).otherwise(at(rest)))
+    if about is not None:
+        rows = rows.join(about, "id")
+    told = F.col("id") if about is None else F.col("about")
+    tiles = materialise(rows.groupBy("key", "other", "tile", "n", "others").agg(F.collect_list(F.struct("id", "label", told.alias("told"))).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")), "tiles")
+    last = lambda count: F.greatest(F.ceil(count / tile), F.lit(1)).cast("int") - 1
+    others = F.transform(F.sequence("tile", last(own)), lambda t: F.struct(F.lit(True).alias("other"), t.alias("tile")))
+    leading = F.transform(F.sequence(F.lit(0), last(rest)), lambda t: F.struct(F.lit(False).alias("other"), t.alias("tile")))
+    left = tiles.filter("other").select("key", F.col("m").alias("a"), F.col("low").alias("l1"), F.col("high").alias("h1"), F.explode(F.concat(others, leading)).alias("with"))
+    left = left.select("key", "a", "l1", "h1", "with.other", "with.tile")
+    right = tiles.select("key", "other", "tile", F.col("m").alias("b"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+    both = left.join(right, ["key", "other", "tile"]).filter("least(l1, l2) < greatest(h1, h2)")
+
+    def pick(a: Column) -> Column:
+        elsewhere = F.filter("b", lambda b: b["label"] != a["label"])  # no row is verified once one has passed
+        first = F.aggregate(elsewhere, F.lit(None).cast("long"), lambda got, b: F.when(got.isNotNull(), got).when(verify(a["told"], b["told"]), b["id"]))
+        return F.struct(a["id"].alias("u"), first.alias("v"))
+
+    return both.select(F.explode(F.filter(F.transform("a", pick), lambda e: e["v"].isNotNull())).alias("e")).select("e.u", "e.v").distinct()

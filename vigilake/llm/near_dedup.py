@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .links import connected_components, hamming_components, keyed_components
+from .links import connected_components, hamming_components, keyed_components, only
 from .scratch import materialise
 
 
@@ -108,11 +108,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks:
     given = docs if jaccard is None else docs.withColumn("__set", F.xxhash64(text_col))
     marked = materialise(fingerprints(given, words, [id_col, *carry, *([] if jaccard is None else ["__set"])], text_col, jaccard is not None), "fingerprints")
     least = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    groups = hamming_components(least.select(F.col("fp").alias("id"), "fp"), distance, blocks or distance + 2)
+    groups = hamming_components(least.select(F.col("fp").alias("id")), distance, blocks or distance + 2)
     if jaccard is not None:
         sets = materialise(marked.filter("bands is not null").groupBy(F.col("__set").alias("id")).agg(F.min("fp").alias("fp"), F.min("bands").alias("bands")), "sets")
         texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("text"))
-        found = keyed_components(sets, [F.xxhash64(F.lit(i), F.get("bands", F.lit(i))) for i in range(BANDS)], 64, texts, lambda a, b: alike(a, b, jaccard), lambda t: shingle_set(t, words))
+
+        def shingles(ids: DataFrame) -> DataFrame:
+            return only(texts, ids, "id").join(ids, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", shingle_set(F.col("text"), words).alias("about"))
+
+        keys = F.array(*[F.xxhash64(F.lit(i), F.get("bands", F.lit(i))) for i in range(BANDS)])
+        found = keyed_components(sets, keys, BANDS, lambda a, b: alike(a, b, jaccard), shingles)
         of = sets.select("id", "fp")
         close = found.toDF("id", "root").join(of.toDF("id", "u"), "id").join(of.toDF("root", "v"), "root").select("u", "v")
         groups = connected_components(groups.toDF("u", "v").unionByName(close))
