@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import keyed_components, only
-from .scratch import materialise, release
+from .scratch import materialise, scope
 
 
 #: Bits of a lane: 7 lanes of a long count up to 255 words each and leave the sign alone.
@@ -35,17 +35,37 @@ def normal(line: Column) -> Column:
     return F.when(reduce(lambda x, y: x | y, runs), F.regexp_replace(low, "[ \\t\\r\\x0b\\x0c]+", " ")).otherwise(low)
 
 
-def first_words(norm: Column, least: int) -> Column:
-    """The FIRST first words of a line of at least ``least`` words, else null: longer words, which are rarer, first, then by hash; a word is one long."""
-    words = F.split(norm, " ")
-    place = lambda w: F.shiftleft(F.lit(31) - F.least(F.length(w), F.lit(31)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 6))
-    return F.when(F.size(words) >= least, F.slice(F.sort_array(F.transform(words, place)), 1, FIRST))
+def first_words(lines: DataFrame, norm: str, least: int) -> DataFrame:
+    """``lines`` with ``first`` in place of ``norm``: the FIRST first words of a line of at least ``least`` words, else null; a word is one hash.
+
+    Longer words, which are rarer, come first, then as they stand, so words that
+    two lines have in common come in the same order in both. Each step is a column of
+    its own, because what a lambda names is computed again for each element.
+    """
+    keep = [c for c in lines.columns if c != norm]
+    split = lines.select(*keep, F.split(norm, " ").alias("__ws"))
+    place = F.transform("__ws", lambda w, i: F.shiftleft(F.lit(31) - F.least(F.length(w), F.lit(31)), 26) + i)  # lines have under 2^26 words
+    placed = split.select(*keep, "__ws", F.slice(F.sort_array(place), 1, FIRST).alias("__at"))
+    first = F.transform("__at", lambda p: F.xxhash64(F.get("__ws", p.bitwiseAND(F.lit((1 << 26) - 1)))))
+    return placed.select(*keep, F.when(F.size("__ws") >= least, first).alias("first"))
 
 
-def blocks(first: Column) -> Column:
-    """The distinct keys of a line's blocks from its first words."""
-    keys = [F.when(F.size(first) > max(chosen), F.xxhash64(*[F.get(first, F.lit(i)) for i in chosen])) for chosen in combinations(range(FIRST), BLOCK)]
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+def blocks(nodes: DataFrame, first: list[str]) -> tuple[DataFrame, list[Column]]:
+    """(id and what the keys need) and the keys of each line's blocks; of equal words the earlier ones make a block, so that no key comes twice.
+
+    A key is the exclusive or of its words' hashes, turned by their place in
+    the block: little code, which the JVM compiles, for many keys.
+    """
+    turn = lambda c, by: F.shiftleft(c, by).bitwiseOR(F.shiftrightunsigned(c, 64 - by))
+    parts = [turn(F.col(f), by).alias(f"{f}_{by}") for f in first for by in (21, 42)]
+    same = [(F.col(b) == F.col(a)).alias(f"{b}_same") for a, b in zip(first, first[1:], strict=False)]
+    held = nodes.select("id", *first, *parts, *same)
+    keys = []
+    for chosen in combinations(range(FIRST), BLOCK):
+        key = reduce(lambda x, y: x.bitwiseXOR(y), [F.col(first[i] + ("" if not at else f"_{21 * at}")) for at, i in enumerate(chosen)])
+        later = [F.col(f"{first[i]}_same") for i in chosen if i and i - 1 not in chosen]
+        keys.append(F.when(~reduce(lambda x, y: x | y, later), key) if later else key)
+    return held, keys
 
 
 def _majority(n: Column) -> Column:
@@ -56,23 +76,22 @@ def _majority(n: Column) -> Column:
 
 
 def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, n and fp of each row of ``lines`` (keys, unique; norm): the 63-bit SimHash of its n words.
+    """``keys``, n and fp of each row of ``lines`` (keys; norm): the 63-bit SimHash of its n words.
 
     All words count (LONG is 1). A bit is 1 if it is set in over half of the words'
-    hashes. Lane l of sum j counts bit j + 9 * l, so a word costs 9 additions
-    and stays in generated code; lines with more words than a lane can count are
-    added up bit by bit.
+    hashes. Lane l of sum j counts bit j + 9 * l, so a word costs 9 additions;
+    lines with more words than a lane can count are counted in stretches and added up bit by bit.
     """
-    words = lines.select(*keys, F.posexplode(F.split("norm", " ")).alias("at", "w"))
-    hashed = words.select(*keys, F.floor(F.col("at") / MOST).alias("part"), F.when(F.length("w") >= LONG, F.xxhash64("w")).alias("h"))
-    sums = hashed.groupBy(*keys, "part").agg(F.count("h").alias("n"), F.max("part").alias("last"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ONES))).alias(f) for j, f in enumerate(SUMS)])
-    rows = materialise(sums, "sums")
-    wide = rows.filter("part > 0").select(*keys).distinct().withColumn("wide", F.lit(True))
-    rows = rows.join(wide, keys, "left")
-    counters = F.array(*[F.shiftrightunsigned(SUMS[bit % LANE], LANE * (bit // LANE)).bitwiseAND(F.lit((1 << LANE) - 1)) for bit in range(63)])
-    bits = rows.filter("wide").select(*keys, "n", F.posexplode(counters).alias("bit", "c")).groupBy(*keys, "bit").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    added = bits.groupBy(*keys).agg(F.max("n").alias("n"), F.bit_or(F.when(F.col("c") * 2 > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias("fp"))
-    return rows.filter("wide is null").select(*keys, "n", _majority(F.col("n")).alias("fp")).unionByName(added)
+    hashed = lines.select(*keys, F.transform(F.filter(F.split("norm", " "), lambda w: F.length(w) >= LONG), lambda w: F.xxhash64(w)).alias("hs"))
+    zero = F.struct(*[F.lit(0).cast("long").alias(s) for s in SUMS])
+    add = lambda acc, h: F.struct(*[(acc[s] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONES))).alias(s) for j, s in enumerate(SUMS)])
+    stretch = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("hs") / MOST).cast("int") - 1, F.lit(0))), lambda i: F.aggregate(F.slice("hs", i * MOST + 1, F.lit(MOST)), zero, add))
+    counted = hashed.select(*keys, F.size("hs").alias("n"), stretch.alias("cs"))
+    counted = counted.select(*keys, "n", "cs", F.col("cs")[0].alias("c")).select(*keys, "n", "cs", "c.*")
+    lane = lambda c, bit: F.shiftrightunsigned(c[SUMS[bit % LANE]], LANE * (bit // LANE)).bitwiseAND(F.lit((1 << LANE) - 1))
+    total = lambda bit: F.aggregate("cs", F.lit(0).cast("long"), lambda acc, c: acc + lane(c, bit))
+    long = reduce(lambda x, y: x.bitwiseOR(y), [F.when(total(bit) * 2 > F.col("n"), F.lit(1 << bit)).otherwise(F.lit(0).cast("long")) for bit in range(63)])
+    return counted.select(*keys, "n", F.when(F.col("n") <= MOST, _majority(F.col("n"))).otherwise(long).alias("fp"))
 
 
 def symbols(norm: Column) -> Column:
@@ -100,43 +119,43 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words is at least ``similarity``. Of each connected group the occurrence with the smallest
     id, text hash and position stays.
     """
-    text = F.xxhash64(text_col)
-    lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), text.alias("__text"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    worded = lines.select("__id", "__text", "pos", normal(F.col("line")).alias("norm")).filter(F.length("norm") >= least_chars)
-    first = first_words(F.col("norm"), fuzzy_words)
-    seen = materialise(worded.select("__id", "__text", "pos", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), first.alias("first")), "lines")
-    firsts = [F.min(F.get("first", F.lit(i))).alias(f"f{i}") for i in range(FIRST)]  # equal lines have equal ones; longs keep the aggregate in generated code
-    distinct = materialise(seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), *firsts), "distinct")
-    nodes = distinct.filter("f0 is not null").select(F.col("k1").alias("id"), F.array_compact(F.array(*[f"f{i}" for i in range(FIRST)])).alias("first"))
-
-    def describe(ids: DataFrame) -> DataFrame:
-        """The SimHash and the symbols of each line, from one document that has it; only those documents are cut again."""
-        where = seen.select("__text", "pos", F.col("k1").alias("id"))
-        where = only(where, ids, "id").join(ids, "id").groupBy("id").agg(F.min("__text").alias("__text"))
-        at = materialise(where.join(seen.select("__text", "pos", F.col("k1").alias("id")), ["id", "__text"]).groupBy("id", "__text").agg(F.min("pos").alias("pos")), "places")
-        wanted = materialise(at.groupBy("__text").agg(F.collect_list(F.struct("id", "pos")).alias("at")), "wanted")
-        texts = docs.filter(F.col(text_col).isNotNull()).select(text.alias("__text"), F.col(text_col).alias("text"))
-        own = only(texts, wanted, "__text").groupBy("__text").agg(F.min("text").alias("text")).join(wanted, "__text")
-        cut = own.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at")).select("at.id", normal(F.get("lines", F.col("at.pos"))).alias("norm"))
-        cut = materialise(cut, "cut")
-        hashed = simhashes(cut, ["id"]).select("id", "fp")
-        return cut.join(hashed, "id").select("id", F.struct("fp", symbols(F.col("norm")).alias("symbols")).alias("about"))
-
-    def verify(a: Column, b: Column) -> Column:
-        return (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= distance) & similar(a["symbols"], b["symbols"], similarity)
-
-    most = len(list(combinations(range(FIRST), BLOCK)))
-    linked_table = keyed_components(nodes, blocks(F.col("first")), most, verify, describe)
-    linked = linked_table.toDF("k1", "root")
-    groups = distinct.join(linked, "k1", "left").filter("n > 1 or root is not null").select("k1", "k2", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2"))
-    groups = materialise(groups, "groups")
-    many = only(seen.select("__id", "__text", "pos", "k1", "k2"), groups, "k1").join(groups, ["k1", "k2"])
-    many = materialise(many.select("__id", "__text", "pos", "g1", F.coalesce("g2", F.lit(0)).alias("g2"), F.col("g2").isNull().alias("g3")), "repeated")
-    least = materialise(many.groupBy("g1", "g2", "g3").agg(F.min(F.struct("__id", "__text", "pos")).alias("first")), "first")
-    gone = many.join(least, ["g1", "g2", "g3"]).filter(~F.struct("__id", "__text", "pos").eqNullSafe(F.col("first")))
-    removed = materialise(gone.groupBy("__id", "__text").agg(F.collect_set("pos").alias("removed")), "removed")
-    release(seen, distinct, groups, many, least, linked_table)
-    return removed
+    with scope() as kept:
+        text = F.xxhash64(text_col)
+        lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), text.alias("__text"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+        # no filter here: pushed down, it would make every normal form twice
+        hashed = lines.select("__id", "__text", "pos", normal(F.col("line")).alias("norm")).withColumn("norm", F.when(F.length("norm") >= least_chars, F.col("norm")))
+        seen = hashed.select("__id", "__text", "pos", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), "norm")
+        seen = materialise(first_words(seen, "norm", fuzzy_words), "lines").filter("k1 is not null")
+        names = [f"f{i}" for i in range(FIRST)]
+        firsts = [F.min(F.get("first", F.lit(i))).alias(f) for i, f in enumerate(names)]  # equal lines have equal ones; longs keep the aggregate in generated code
+        distinct = materialise(seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), *firsts), "distinct")
+        nodes = distinct.filter("f0 is not null").withColumnRenamed("k1", "id")
+
+        def describe(ids: DataFrame) -> DataFrame:
+            """The SimHash and the symbols of each line, from one document that has it; only those documents are cut again."""
+            own = seen.select("__text", "pos", F.col("k1").alias("id"))
+            at = only(own, ids, "id").join(ids, "id").groupBy("id").agg(F.min("__text").alias("__text"), F.min_by("pos", "__text").alias("pos"))
+            wanted = materialise(at.groupBy("__text").agg(F.collect_list(F.struct("id", "pos")).alias("at")), "wanted")
+            texts = docs.filter(F.col(text_col).isNotNull()).select(text.alias("__text"), F.col(text_col).alias("text"))
+            found = only(texts, wanted, "__text").dropDuplicates(["__text"]).join(wanted, "__text")
+            cut = found.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at")).select("at.id", F.get("lines", F.col("at.pos")).alias("line"))
+            cut = cut.select("id", normal(F.col("line")).alias("norm"))
+            hashed = simhashes(cut.select("id", "norm"), ["id", "norm"])
+            return hashed.select("id", F.struct("fp", symbols(F.col("norm")).alias("symbols")).alias("about"))
+
+        near = lambda a, b: F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= distance
+        verify = lambda a, b: similar(a["symbols"], b["symbols"], similarity)
+        linked_table = keyed_components(*blocks(nodes, names), near, describe, verify)
+        linked = linked_table.toDF("k1", "root")
+        groups = distinct.join(linked, "k1", "left").filter("n > 1 or root is not null").select("k1", "k2", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2"))
+        groups = materialise(groups, "groups")
+        many = only(seen.select("__id", "__text", "pos", "k1", "k2"), groups, "k1").join(groups, ["k1", "k2"])
+        many = materialise(many.select("__id", "__text", "pos", "g1", F.coalesce("g2", F.lit(0)).alias("g2"), F.col("g2").isNull().alias("g3")), "repeated")
+        least = materialise(many.groupBy("g1", "g2", "g3").agg(F.min(F.struct("__id", "__text", "pos")).alias("first")), "first")
+        gone = many.join(least, ["g1", "g2", "g3"]).filter(~F.struct("__id", "__text", "pos").eqNullSafe(F.col("first")))
+        removed = materialise(gone.groupBy("__id", "__text").agg(F.collect_set("pos").alias("removed")), "removed")
+        kept += [removed]
+        return removed
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

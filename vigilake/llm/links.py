@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from .scratch import materialise, release
 
 
+Check = Callable[[Column, Column], Column]
 #: Slots of the filter that keeps rows from being shuffled for nothing; it never has more rows than that.
 SLOTS = 1 << 22
 #: Keys of a row that are shuffled at once.
-PASS = 5
+PASS = 10
 
 
 def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -49,11 +50,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = materialise(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
-        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, now = now, materialise(down.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        release(last, least, large, lower)
+        release(last, least)
         state, before = _state(now), state
         if state == before:
             break
@@ -84,84 +85,107 @@ def block_keys(fp: Column, distance: int, blocks: int) -> list[Column]:
 def hamming_components(fps: DataFrame, distance: int, blocks: int, tile: int = 512) -> DataFrame:
     """(node, root) of each fingerprint ``id`` of ``fps`` (long, unique) that differs from another in at most ``distance`` bits."""
     choices = block_keys(F.col("id"), distance, blocks)
-    return keyed_components(fps, F.array(*choices), len(choices), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance, tile=tile)
+    return keyed_components(fps, choices, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance, tile=tile)
 
 
-def keyed_components(items: DataFrame, keys: Column, most: int, verify: Callable[[Column, Column], Column], describe: Callable[[DataFrame], DataFrame] | None = None, tile: int = 512) -> DataFrame:
+def keyed_components(items: DataFrame, keys: list[Column], near: Check, describe: Callable[[DataFrame], DataFrame] | None = None, verify: Check | None = None, tile: int = 512) -> DataFrame:
     """(node, root) of the ids of ``items`` (id long, unique) that have a link, root being the least id reachable.
 
-    ``keys`` is an array of at most ``most`` different longs of a row. A link joins two ids that
-    share a key and pass ``verify``, which gets the two ids or, with
+    ``keys`` are a row's keys, longs (null: none). A link joins two ids that
+    share a key and pass ``near`` and then ``verify``, which is the dearer check. Both get the two ids or, with
     ``describe``, what that tells of them: it takes ids (id) and returns (id, about).
 
     Every member of a bucket is compared with the bucket's least id, which settles
     buckets of two and groups of near copies of any size. Where members
     are left in other components than that id, they are compared with all members in tiles of
-    about ``tile``; in each round a member names one linked member of each tile
-    that has another component so far, and rounds go on until none is named, so
+    about ``tile``: a member names one linked member of up to MOST other components in each
+    tile, and those that named as many look again, by the components found so far. So
     no link is lost, no pairs are listed, and members of the leading component
     are not compared with each other.
     """
     small = []
-    passes = -(-most // PASS)
+    passes = -(-len(keys) // PASS)
     for at in range(passes):  # a share of the keys at a time, so that their shuffles don't lie side by side
-        dealt = items.select("id", F.explode(keys).alias("key")).filter(F.pmod(F.col("key"), F.lit(passes)) == at)
+        dealt = items.select("id", F.explode(F.array(*keys)).alias("key")).filter(F.pmod(F.col("key"), F.lit(passes)) == at)
         found = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"))
-        small.append(materialise(found.filter("n > 1"), "buckets"))
+        small.append(materialise(found.filter("lo < hi"), "buckets"))
     buckets = reduce(DataFrame.unionByName, small)
     two = buckets.filter("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     # buckets of the same members, as near copies make for key after key, hold the same links: one of them is enough
     many = materialise(buckets.filter("n > 2").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "lo", "n"), "many")
-    dealt = items.select("id", F.explode(keys).alias("key"))
+    dealt = items.select("id", F.explode(F.array(*keys)).alias("key")).filter("key is not null")
     rows = materialise(only(dealt, many, "key").join(many, "key").select("key", "lo", "n", "id"), "members")
     pairs = materialise(two.unionByName(rows.filter("id <> lo").select(F.col("lo").alias("u"), F.col("id").alias("v"))).distinct(), "pairs")
-    release(*small)
-    tables = [many, rows, pairs]
+    about = None
+    both = lambda a, b: near(a, b) if verify is None else near(a, b) & verify(a, b)
     if describe is None:
-        passed = pairs.filter(verify(F.col("u"), F.col("v")))
+        passed = pairs.filter(both(F.col("u"), F.col("v")))
     else:
         ids = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
         about = materialise(describe(ids), "about")
-        tables += [ids, about]
-        passed = pairs.join(about.toDF("u", "a"), "u").join(about.toDF("v", "b"), "v").filter(verify(F.col("a"), F.col("b")))
+        passed = pairs.join(about.toDF("u", "a"), "u").join(about.toDF("v", "b"), "v").filter(both(F.col("a"), F.col("b")))
     edges = materialise(passed.select("u", "v"), "edges")
+    # first by the least id that a member is linked to, which costs one aggregate; later, if at all, by components
+    of, active = edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("label")), None
+    led = edges.select(F.col("u").alias("lo"), F.col("v").alias("id"), F.lit(True).alias("led"))
     while True:
-        labels = materialise(connected_components(edges), "labels")
-        of = labels.toDF("id", "label")
         leads = many.join(of.toDF("lo", "lead"), "lo", "left").select("key", F.coalesce("lead", "lo").alias("lead"))
-        named = rows.join(of, "id", "left").join(leads, "key").select("key", "n", "id", F.coalesce("label", "id").alias("label"), "lead")
-        named = materialise(named.withColumn("other", F.col("label") != F.col("lead")).drop("lead"), "named")
+        named = rows.join(of, "id", "left").join(leads, "key").join(led, ["lo", "id"], "left")
+        named = named.select("key", "n", "id", F.coalesce("label", "id").alias("label"), "lead", (F.col("led").isNull() & (F.col("id") != F.col("lo"))).alias("unled"))
+        named = materialise(named.withColumn("other", F.col("unled") & (F.col("label") != F.col("lead"))).drop("lead", "unled"), "named")
         live = materialise(named.filter("other").groupBy("key").agg(F.count(F.lit(1)).alias("others")), "live")
-        found = materialise(_crossed(named, live, verify, None if describe is None else about, tile), "edges")
+        if live.isEmpty():
+            break
+        found = materialise(_crossed(named, live, active, near, verify, about, tile), "found")
+        active = found.filter("again").select("key", F.col("u").alias("id")).distinct()
         release(named, live)
-        if found.isEmpty():
-            release(found, edges, *tables)
-            return labels
-        tables.append(edges)
-        edges = materialise(edges.unionByName(found), "edges")
-        release(labels, found)
+        edges = materialise(edges.unionByName(found.select("u", "v")).distinct(), "edges")
+        if active.isEmpty():
+            break
+        of = materialise(connected_components(edges), "labels").toDF("id", "label")
+    return materialise(connected_components(edges), "labels")
+
+
+#: Links that a member names in a tile at once, to different components.
+MOST = 16
 
 
-def _crossed(named: DataFrame, live: DataFrame, verify: Callable[[Column, Column], Column], about: DataFrame | None, tile: int) -> DataFrame:
-    """(u, v): links between different components, at least one where there is any, from rows (key, n, id, label, other) of the buckets ``live`` (key, others)."""
+def _crossed(named: DataFrame, live: DataFrame, active: DataFrame | None, near: Check, verify: Check | None, about: DataFrame | None, tile: int) -> DataFrame:
+    """(key, u, v, again): links of members to other components, from rows (key, n, id, label, other) of the buckets ``live`` (key, others); ``again``: u may have more of them.
+
+    ``active`` (key, id) are the members that look; all that are not in the leading component, if None.
+    """
     at = lambda count: F.pmod(F.xxhash64("id"), F.greatest(F.ceil(count / tile), F.lit(1))).cast("int")
     own, rest = F.col("others"), F.col("n") - F.col("others")
     rows = only(named, live, "key").join(live, "key").withColumn("tile", F.when(F.col("other"), at(own)).otherwise(at(rest)))
     if about is not None:
         rows = rows.join(about, "id")
     told = F.col("id") if about is None else F.col("about")
-    tiles = materialise(rows.groupBy("key", "other", "tile", "n", "others").agg(F.collect_list(F.struct("id", "label", told.alias("told"))).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")), "tiles")
+    member = F.collect_list(F.struct("id", "label", told.alias("told")))
+    by = ["key", "other", "tile", "n", "others"]
+    tiles = materialise(rows.groupBy(*by).agg(member.alias("m"), F.min("label").alias("low"), F.max("label").alias("high")), "tiles")
+    looking = tiles.filter("other")
+    if active is not None:
+        looking = rows.filter("other").join(active, ["key", "id"], "left_semi").groupBy(*by).agg(member.alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
     last = lambda count: F.greatest(F.ceil(count / tile), F.lit(1)).cast("int") - 1
-    others = F.transform(F.sequence("tile", last(own)), lambda t: F.struct(F.lit(True).alias("other"), t.alias("tile")))
+    first = F.col("tile") if active is None else F.lit(0)  # two tiles of others meet once, unless few look
+    others = F.transform(F.sequence(first, last(own)), lambda t: F.struct(F.lit(True).alias("other"), t.alias("tile")))
     leading = F.transform(F.sequence(F.lit(0), last(rest)), lambda t: F.struct(F.lit(False).alias("other"), t.alias("tile")))
-    left = tiles.filter("other").select("key", F.col("m").alias("a"), F.col("low").alias("l1"), F.col("high").alias("h1"), F.explode(F.concat(others, leading)).alias("with"))
+    left = looking.select("key", F.col("m").alias("a"), F.col("low").alias("l1"), F.col("high").alias("h1"), F.explode(F.concat(others, leading)).alias("with"))
     left = left.select("key", "a", "l1", "h1", "with.other", "with.tile")
     right = tiles.select("key", "other", "tile", F.col("m").alias("b"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     both = left.join(right, ["key", "other", "tile"]).filter("least(l1, l2) < greatest(h1, h2)")
+    start = F.array().cast("array<struct<id: bigint, label: bigint>>")
+
+    def look(a: Column) -> Column:
+        elsewhere = F.filter("b", lambda b: (b["label"] != a["label"]) & near(a["told"], b["told"]))
+
+        def step(got: Column, b: Column) -> Column:  # no row of a component is verified once one of it has passed
+            done = (F.size(got) >= MOST) | F.exists(got, lambda g: g["label"] == b["label"])
+            more = F.concat(got, F.array(F.struct(b["id"].alias("id"), b["label"].alias("label"))))
+            return F.when(done, got).when(F.lit(True) if verify is None else verify(a["told"], b["told"]), more).otherwise(got)
 
-    def pick(a: Column) -> Column:
-        elsewhere = F.filter("b", lambda b: b["label"] != a["label"])  # no row is verified once one has passed
-        first = F.aggregate(elsewhere, F.lit(None).cast("long"), lambda got, b: F.when(got.isNotNull(), got).when(verify(a["told"], b["told"]), b["id"]))
-        return F.struct(a["id"].alias("u"), first.alias("v"))
+        return F.struct(a["id"].alias("u"), F.aggregate(elsewhere, start, step).alias("got"))
 
-    return both.select(F.explode(F.filter(F.transform("a", pick), lambda e: e["v"].isNotNull())).alias("e")).select("e.u", "e.v").distinct()
+    seen = both.select("key", F.explode(F.filter(F.transform("a", look), lambda e: F.size(e["got"]) > 0)).alias("e"))
+    return seen.select("key", "e.u", F.explode("e.got.id").alias("v"), (F.size("e.got") >= MOST).alias("again"))

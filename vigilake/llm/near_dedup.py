@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .links import connected_components, hamming_components, keyed_components, only
-from .scratch import materialise
+from .scratch import materialise, scope
 
 
 #: MinHash bands: texts at a Jaccard similarity of 0.8 share at least one of them in 99.98 % of cases.
@@ -105,26 +105,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks:
     does. Other columns of ``docs`` are not read. An empty table gives an empty
     result.
     """
-    given = docs if jaccard is None else docs.withColumn("__set", F.xxhash64(text_col))
-    marked = materialise(fingerprints(given, words, [id_col, *carry, *([] if jaccard is None else ["__set"])], text_col, jaccard is not None), "fingerprints")
-    least = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    groups = hamming_components(least.select(F.col("fp").alias("id")), distance, blocks or distance + 2)
-    if jaccard is not None:
-        sets = materialise(marked.filter("bands is not null").groupBy(F.col("__set").alias("id")).agg(F.min("fp").alias("fp"), F.min("bands").alias("bands")), "sets")
-        texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("text"))
-
-        def shingles(ids: DataFrame) -> DataFrame:
-            return only(texts, ids, "id").join(ids, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", shingle_set(F.col("text"), words).alias("about"))
-
-        keys = F.array(*[F.xxhash64(F.lit(i), F.get("bands", F.lit(i))) for i in range(BANDS)])
-        found = keyed_components(sets, keys, BANDS, lambda a, b: alike(a, b, jaccard), shingles)
-        of = sets.select("id", "fp")
-        close = found.toDF("id", "root").join(of.toDF("id", "u"), "id").join(of.toDF("root", "v"), "root").select("u", "v")
-        groups = connected_components(groups.toDF("u", "v").unionByName(close))
-    roots = groups.toDF("fp", "root").join(least, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    linked = groups.toDF("fp", "root").join(roots, "root").select("fp", "root", "least")
-    named = materialise(least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("least", "first").alias("component_id")), "named")
-    return marked.join(named, "fp").select(id_col, *carry, "fp", "component_id", "component")
+    with scope() as kept:
+        given = docs if jaccard is None else docs.withColumn("__set", F.xxhash64(text_col))
+        marked = materialise(fingerprints(given, words, [id_col, *carry, *([] if jaccard is None else ["__set"])], text_col, jaccard is not None), "fingerprints")
+        least = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
+        groups = hamming_components(least.select(F.col("fp").alias("id")), distance, blocks or distance + 2)
+        if jaccard is not None:
+            sets = materialise(marked.filter("bands is not null").groupBy(F.col("__set").alias("id")).agg(F.min("fp").alias("fp"), F.min("bands").alias("bands")), "sets")
+            texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("text"))
+
+            def shingles(ids: DataFrame) -> DataFrame:
+                return only(texts, ids, "id").join(ids, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", shingle_set(F.col("text"), words).alias("about"))
+
+            keys = [F.xxhash64(F.lit(i), F.get("bands", F.lit(i))) for i in range(BANDS)]
+            found = keyed_components(sets, keys, lambda a, b: alike(a, b, jaccard), shingles)
+            of = sets.select("id", "fp")
+            close = found.toDF("id", "root").join(of.toDF("id", "u"), "id").join(of.toDF("root", "v"), "root").select("u", "v")
+            groups = connected_components(groups.toDF("u", "v").unionByName(close))
+        roots = groups.toDF("fp", "root").join(least, "fp").groupBy("root").agg(F.min("first").alias("least"))
+        linked = groups.toDF("fp", "root").join(roots, "root").select("fp", "root", "least")
+        named = materialise(least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("least", "first").alias("component_id")), "named")
+        kept += [marked, named]
+        return marked.join(named, "fp").select(id_col, *carry, "fp", "component_id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
@@ -133,10 +135,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 6, blo
     All columns stay. Of rows that repeat one stays; rows that share an id and
     differ, and rows with null ids, belong to components like all others.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64(text_col))
-    found = near_duplicates(hashed, words, distance, blocks, id_col, text_col, ("__hash",), jaccard)
-    stays = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("__hash").alias("__kept"))
-    stays = materialise(stays.select(F.col("component_id").alias("__id"), "__kept"), "stays")
-    kept = hashed.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")))
-    once = Window.partitionBy(id_col, "__hash").orderBy(F.lit(1))
-    return kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with scope() as kept:
+        hashed = docs.withColumn("__hash", F.xxhash64(text_col))
+        found = near_duplicates(hashed, words, distance, blocks, id_col, text_col, ("__hash",), jaccard)
+        stays = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("__hash").alias("__kept"))
+        stays = materialise(stays.select(F.col("component_id").alias("__id"), "__kept"), "stays")
+        kept += [stays]
+        rest = hashed.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")))
+        once = Window.partitionBy(id_col, "__hash").orderBy(F.lit(1))
+        return rest.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

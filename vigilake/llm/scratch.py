@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables made in each open scope, innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Tables of :func:`materialise` made inside are deleted at the end, but for those put on the list it gives, which the scope around it has then."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.pop()
+        release(*[t for t in made if not any(t is k for k in kept)])
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 #: Shuffle files of a write that is done are of no more use: nothing runs it again.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -34,6 +55,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEAN, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
+    if _scopes:
+        _scopes[-1].append(table)
     return table
 
 
