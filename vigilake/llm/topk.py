@@ -8,90 +8,145 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import count_blocks, every_pair, first_rows, in_blocks, rows_of, usable, widen
-from .scratch import materialise
+from .scratch import materialise, scope
 
-SCHEMA = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
-DDL = "query long, id long, score long"
+SCHEMA = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("part", pa.int64())])
+DDL = "query long, row long, part long"
+LIMIT, CHUNK = 2.0**52, 1 << 14
 
 
-def _partials(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Partial scores (queries, rows) of each list: a run of components. Exact, as floats while they hold every sum, else as integers."""
+def _floats_do(q: np.ndarray, x: np.ndarray) -> bool:
+    return q.shape[1] * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < LIMIT
+
+
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of all pairs of rows. Exact: as floats while they hold every sum, else as integers."""
     wide = max(q.shape[1], x.shape[1])
     q, x = widen(q, wide), widen(x, wide)
-    if wide * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) >= 2.0**52:
+    if not _floats_do(q, x):
         q, x = (np.array([[int(v) for v in r] for r in a], object).reshape(a.shape) for a in (q, x))
-    cuts = np.linspace(0, wide, lists + 1).astype(int)
-    return [q[:, a:b] @ x[:, a:b].T if b > a else np.zeros((len(q), len(x))) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return q @ x.T if wide else np.zeros((len(q), len(x)))
 
 
-def _rows(query: list, ids: list, score: list) -> pa.RecordBatch:
-    cat = lambda a, kind: np.concatenate(a).astype(kind) if a else np.zeros(0, kind)
+def _held(score: np.ndarray) -> np.ndarray:
     top = np.iinfo(np.int64)
-    held = [np.array([min(max(int(v), top.min), top.max) for v in s], np.int64) if s.dtype == object else s for s in score]
-    return pa.RecordBatch.from_arrays([pa.array(cat(query, np.int64)), pa.array(cat(ids, np.int64)), pa.array(cat(held, np.int64))], schema=SCHEMA)
+    return np.array([min(max(int(v), top.min), top.max) for v in score], np.int64) if score.dtype == object else score.astype(np.int64)
+
+
+def _batch(query: list, row: list, part: list) -> pa.RecordBatch:
+    cat = lambda a: np.concatenate(a) if a else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(cat(x)) for x in (query, row, part)], schema=SCHEMA)
+
+
+def _resolve(pairs: DataFrame, rows: DataFrame, queries: DataFrame, lefts: int, rights: int) -> DataFrame:
+    """(query, row, part) of the (query, row) ``pairs`` whose whole score reaches the query's first component, from blocks of whole vectors."""
+    a = rows.select(F.col("block").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(rights - 1))).alias("r"), "ids", "data")
+    b = queries.select(F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))).alias("l"), F.col("block").alias("r"), F.col("ids").alias("who"), F.col("data").alias("of"))
+    side = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")  # noqa: E731  as in_blocks deals them
+    asked = pairs.select(side("row", lefts).alias("l"), side("query", rights).alias("r"), "query", "row").groupBy("l", "r")
+
+    def run(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not wanted.num_rows or not blocks.num_rows:
+            return SCHEMA.empty_table()
+        block = blocks.to_pylist()[0]
+        (ids, x), (who, q) = rows_of(block), rows_of({"ids": block["who"], "data": block["of"]})
+        query, row = wanted.column("query").to_numpy(), wanted.column("row").to_numpy()
+        i, j = np.searchsorted(who, query), np.searchsorted(ids, row)
+        t, q = q[:, 0], q[:, 1:]
+        wide = max(q.shape[1], x.shape[1])
+        q, x = widen(q, wide), widen(x, wide)
+        parts = [np.zeros(0, np.int64)]
+        for at in range(0, len(i), CHUNK):
+            u, v = q[i[at : at + CHUNK]], x[j[at : at + CHUNK]]
+            if _floats_do(u, v):
+                parts.append(np.einsum("nd,nd->n", u, v).astype(np.int64))
+            else:
+                parts.append(_held(np.array([sum(int(m) * int(n) for m, n in zip(f, g, strict=True)) for f, g in zip(u, v, strict=True)], object)))
+        score = np.concatenate(parts)
+        fits = score >= t[i]
+        return pa.Table.from_arrays([pa.array(query[fits]), pa.array(row[fits]), pa.array(score[fits])], schema=SCHEMA)
+
+    return asked.cogroup(a.join(b, ["l", "r"]).groupBy("l", "r")).applyInArrow(run, DDL)
 
 
-def top_scores(vectors: DataFrame, queries, k: int = 5, scale: int = 256, lists: int = 4, block_rows: int = 2048, blocks: int = 16, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id_col, score): of each row that the condition ``queries`` on ``id_col`` names, the ``k`` best other rows.
+def top_scores(vectors: DataFrame, queries, k: int = 5, scale: int = 256, lists: int = 4, block_rows: int = 8192, blocks: int = 4, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id_col, score): of each id that the condition ``queries`` on ``id_col`` names, the ``k`` best other rows.
 
     Components become floor(scale * x) and scores are their integer inner
     products; ties go to the smaller id. The components are cut into ``lists``
-    runs, each giving a list of partial scores. Phase one gathers the ``k`` top
-    entries of every list and resolves their scores; a query's k-th best is a
-    safe cutoff t, sent back with the query. Phase two collects the entries with
-    a partial score of t / lists or more: a row without one scores below t.
-    Phase three resolves those and keeps the best. Rows with a null id and
+    runs, each a list of partial scores that tasks of its own hold (at least ``blocks`` blocks of
+    about ``block_rows`` rows). Phase one gathers the ``k`` top entries of
+    every list and resolves their scores; a query's k-th best score t is a safe
+    cutoff, sent to all lists with the query. Phase two collects the
+    entries with a partial score of t / lists or more: a row without one scores below t.
+    Phase three resolves those not known yet and keeps the best. Rows with a null id and
     vectors that are null or hold a null or non-finite component take no part; a
     shorter vector counts as padded with zeros; rows that share an id count each
-    for itself, but are never a query's own candidates. Scores beyond a long are
+    for itself, but are never a query's own candidates, and the least of their
+    vectors is the query. Scores beyond a long are
     held at its limits. An empty table gives no rows.
     """
-    whole = usable(vectors, id_col, vector_col).select("id", F.transform("vector", lambda v: F.floor(v * scale).cast("double")).alias("vector"))
-    whole = materialise(whole, "integers")
-    asked = whole.withColumnRenamed("id", id_col).filter(queries).withColumnRenamed(id_col, "id").dropDuplicates(["id"])
-    asked = materialise(asked, "asked")
-    lefts, rights = count_blocks(whole.count(), block_rows, blocks), count_blocks(asked.count(), query_rows, 1)
-    held = materialise(in_blocks(whole, lefts), "blocks")
-
-    def gather(block: dict, of: dict) -> pa.RecordBatch:
-        (ids, x), (who, q) = rows_of(block), rows_of(of)
-        parts = _partials(q, x, lists)
-        total = sum(parts)
-        out: tuple[list, list, list] = ([], [], [])
-        for i, own in enumerate(who):
-            others = np.flatnonzero(ids != own)
-            keep = min(k, len(others))
-            if not keep:
-                continue
-            first = np.unique(np.concatenate([others[np.argpartition(-p[i, others], keep - 1)[:keep]] for p in parts]))
-            best = first[np.lexsort((ids[first], -total[i, first]))[:keep]]
-            for a, v in zip(out, (np.full(keep, own), ids[best], total[i, best]), strict=True):
-                a.append(v)
-        return _rows(*out)
-
-    gathered = every_pair(held, in_blocks(asked, rights), lefts, rights, gather, SCHEMA, DDL)
-    cutoff = first_rows(gathered, "query", k, F.desc("score"), "id").filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("cutoff"))
-    # the cutoff travels as the first component; a query with fewer than k entries has none
-    armed = asked.join(materialise(cutoff, "cutoffs"), "id", "left").select("id", F.concat(F.array(F.coalesce(F.col("cutoff").cast("double"), F.lit(float("-inf")))), F.col("vector")).alias("vector"))
-
-    def collect(block: dict, of: dict) -> pa.RecordBatch:
-        (ids, x), (who, q) = rows_of(block), rows_of(of)
-        t, q = q[:, 0], q[:, 1:]
-        parts = _partials(q, x, lists)
-        enough = np.zeros(parts[0].shape, bool)
-        for p in parts:
-            enough |= (p * lists >= t[:, None]).astype(bool)
-        out: tuple[list, list, list] = ([], [], [])
-        for i, own in enumerate(who):
-            rows = np.flatnonzero(enough[i])
-            score = sum(p[i, rows] for p in parts)
-            fits = (score >= t[i]).astype(bool) & (ids[rows] != own)
-            rows, score = rows[fits], score[fits]
-            best = np.lexsort((ids[rows], -score))[:k]
-            for a, v in zip(out, (np.full(len(best), own), ids[rows[best]], score[best]), strict=True):
-                a.append(v)
-        return _rows(*out)
-
-    resolved = every_pair(held, in_blocks(armed, rights), lefts, rights, collect, SCHEMA, DDL)
-    top = first_rows(resolved, "query", k, F.desc("score"), "id")
-    return top.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
+    with scope() as kept:
+        whole = usable(vectors, id_col, vector_col).select("id", F.transform("vector", lambda v: F.floor(v * scale).cast("double")).alias("vector"))
+        whole = materialise(whole.withColumn("row", F.monotonically_increasing_id()), "integers")
+        asked = whole.withColumnRenamed("id", id_col).filter(queries).withColumnRenamed(id_col, "id").groupBy("id").agg(F.min(F.struct("vector", "row")).alias("q"))
+        asked = materialise(asked.select("id", F.col("q.row").alias("row"), F.col("q.vector").alias("vector")), "asked")
+        wide = whole.agg(F.max(F.size("vector")).alias("n")).first()["n"] or 0
+        cuts = np.linspace(0, wide, lists + 1).astype(int)
+        lefts, rights = count_blocks(whole.count(), block_rows, blocks), count_blocks(asked.count(), query_rows, 1)
+        run_of = lambda rows, i: rows.select(F.col("row").alias("id"), F.slice("vector", int(cuts[i]) + 1, int(cuts[i + 1] - cuts[i])).alias("vector"))
+        held = [materialise(in_blocks(run_of(whole, i), lefts), "list") for i in range(lists)]
+
+        def best(block: dict, of: dict) -> pa.RecordBatch:
+            (rows, x), (who, q) = rows_of(block), rows_of(of)
+            part = _products(q, x)
+            keep = min(4 * k, len(rows))  # rows of the query's own id are among them and go later
+            out: tuple[list, list, list] = ([], [], [])
+            for i, own in enumerate(who):
+                first = np.argpartition(-part[i], keep - 1)[:keep] if keep < len(rows) else np.arange(len(rows))
+                for a, v in zip(out, (np.full(len(first), own), rows[first], _held(part[i, first])), strict=True):
+                    a.append(v)
+            return _batch(*out)
+
+        def gathered(i: int) -> DataFrame:
+            entries = every_pair(held[i], in_blocks(run_of(asked, i), rights), lefts, rights, best, SCHEMA, DDL)
+            return first_rows(entries, "query", 4 * k, F.desc("part"), "row").select("query", "row")
+
+        first = gathered(0)
+        for i in range(1, lists):
+            first = first.unionByName(gathered(i))
+        ids = asked.select(F.col("row").alias("query"), F.col("id").alias("own"))
+        of = whole.select("row", "id")
+        named = lambda resolved: resolved.withColumnRenamed("part", "score").join(of, "row").join(ids, "query").filter("id <> own").drop("own")
+        full = materialise(in_blocks(whole.select(F.col("row").alias("id"), "vector"), lefts), "blocks")
+
+        def armed(rows: DataFrame, cut: DataFrame | None) -> DataFrame:
+            """Blocks of queries (row, vector) with their cutoff as first component; a query with fewer than k entries has none, nor has one at a long's lower limit."""
+            none = F.lit(float("-inf"))
+            if cut is None:
+                return in_blocks(rows.select(F.col("row").alias("id"), F.concat(F.array(none), F.col("vector")).alias("vector")), rights)
+            c = F.col("cutoff").cast("double")
+            low = F.when(F.col("cutoff") > -(1 << 62), c - F.abs(c) * 1e-15 - 1).otherwise(none)  # a double of a large long may be above it
+            return in_blocks(rows.join(cut, "row", "left").select(F.col("row").alias("id"), F.concat(F.array(F.coalesce(low, none)), F.col("vector")).alias("vector")), rights)
+
+        known = materialise(named(_resolve(first.distinct(), full, armed(asked, None), lefts, rights)), "known")
+        cutoff = first_rows(known, "query", k, F.desc("score"), "id", "row").filter(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("cutoff"))
+        cutoff = materialise(cutoff, "cutoffs")
+
+        def enough(block: dict, of: dict) -> pa.RecordBatch:
+            (rows, x), (who, q) = rows_of(block), rows_of(of)
+            part = _products(q[:, 1:], x)
+            i, j = np.nonzero((part * lists >= q[:, :1]).astype(bool))
+            return _batch([who[i]], [rows[j]], [_held(part[i, j])])
+
+        def collected(i: int) -> DataFrame:
+            return every_pair(held[i], armed(run_of(asked, i).withColumnRenamed("id", "row"), cutoff), lefts, rights, enough, SCHEMA, DDL).select("query", "row")
+
+        second = collected(0)
+        for i in range(1, lists):
+            second = second.unionByName(collected(i))
+        rest = second.distinct().join(known.select("query", "row"), ["query", "row"], "left_anti")
+        resolved = named(_resolve(rest, full, armed(asked, cutoff), lefts, rights)).unionByName(known)
+        top = materialise(first_rows(resolved, "query", k, F.desc("score"), "id", "row"), "top")
+        kept += [asked, top]
+        return top.join(ids, "query").select(F.col("own").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
