@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import count_blocks, every_pair, first_rows, in_blocks, rows_of, usable, widen
-from .scratch import materialise
+from .scratch import materialise, scope
 
 CANDIDATES, CHUNK = 48, 512
+#: Starts of a search: rows of the largest norm, nearest rows of the lowest layer that has at most WHOLE rows.
+HEADS, STARTS, WHOLE = 32, 8, 1024
 
 
 def _layer(x: np.ndarray, degree: int) -> np.ndarray:
@@ -55,19 +57,36 @@ def _layer(x: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
+def _largest(x: np.ndarray, degree: int) -> np.ndarray:
+    """Array (rows, degree) of the other rows with the largest inner product to each, -1 where there are fewer."""
+    n, k = len(x), min(len(x) - 1, degree)
+    out = np.full((n, degree), -1, np.int32)
+    for at in range(0, n if k > 0 else 0, CHUNK):
+        sim = x[at : at + CHUNK] @ x.T
+        rows = np.arange(len(sim))
+        sim[rows, rows + at] = -np.inf
+        out[at : at + len(sim), :k] = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    return out
+
+
 def build_index(ids: np.ndarray, x: np.ndarray, degree: int = 32) -> bytes:
-    """Vectors, layer members and flat neighbour arrays of one shard.
+    """Vectors, layer members, starts and flat neighbour arrays of one shard.
 
     A row's top layer is drawn from a hash of its id. Inner products become
-    cosines by one more component that brings all rows to the largest norm.
+    cosines by one more component that brings all rows to the largest norm. Where norms differ
+    the largest inner products lie far from a row by that measure, so on the lowest layer a quarter of
+    the links are by it, a quarter by direction alone and half go to the largest inner products, and a search also starts at the HEADS
+    rows of the largest norm.
     """
     square = (x**2).sum(axis=1)
     even = np.concatenate([x, np.sqrt(np.maximum(square.max(initial=0) - square, 0))[:, None]], axis=1)
+    way = x / np.sqrt(np.maximum(square, 1e-300))[:, None]
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     level = (-np.log(((mixed >> np.uint64(11)).astype(float) + 1) / 2**53) / np.log(degree / 2)).astype(int)
     level[0] = max(1, level.max())
-    arrays = {"x": x, "top": np.array([level.max()]), "n0": _layer(even, degree)}
+    lowest = np.concatenate([_layer(even, degree // 4), _layer(way, degree // 4), _largest(x, degree // 2)], axis=1)
+    arrays = {"x": x, "top": np.array([level.max()]), "n0": lowest, "heads": np.argsort(-square, kind="stable")[:HEADS].astype(np.int32)}
     for i in range(1, level.max() + 1):
         members = np.flatnonzero(level >= i)
         arrays[f"m{i}"], arrays[f"n{i}"] = members.astype(np.int32), _layer(even[members], degree // 2)
@@ -80,8 +99,15 @@ def search(index: dict, q: np.ndarray, beam: int, expand: int = 4) -> np.ndarray
     """Row numbers (queries, beam) found nearest by inner product, in any order; -1 where there are fewer."""
     x = index["x"].astype(np.float32)
     q = q.astype(np.float32)
-    at = np.zeros(len(q), np.int64)
-    for i in range(int(index["top"][0]), 0, -1):  # greedy descent
+    small = next(i for i in range(1, int(index["top"][0]) + 1) if i == int(index["top"][0]) or len(index[f"m{i}"]) <= WHOLE)
+    members = index[f"m{small}"].astype(np.int64)  # few: compared whole, so that a search starts near several groups of rows
+    near_members = q @ x[members].T
+    few = min(STARTS, len(members))
+    first = np.argpartition(-near_members, few - 1, axis=1)[:, :few]
+    order = np.argsort(-np.take_along_axis(near_members, first, 1), axis=1, kind="stable")
+    starts = members[np.take_along_axis(first, order, 1)]
+    at = starts[:, 0]
+    for i in range(small - 1, 0, -1):  # greedy descent
         members, near = index[f"m{i}"], index[f"n{i}"]
         spot = np.searchsorted(members, at)  # a row of a layer is in all layers below
         best, live = np.einsum("qd,qd->q", q, x[members[spot]]), np.arange(len(q))
@@ -100,8 +126,13 @@ def search(index: dict, q: np.ndarray, beam: int, expand: int = 4) -> np.ndarray
     found = np.full((len(q), beam), n, np.int64)
     sims = np.full((len(q), beam), -np.inf, np.float32)
     done = np.ones((len(q), beam), bool)
-    found[:, 0], sims[:, 0], done[:, 0] = at, np.einsum("qd,qd->q", q, x[at]), False
-    seen[np.arange(len(q)), at] = True
+    begin = np.concatenate([at[:, None], starts, np.broadcast_to(index["heads"].astype(np.int64), (len(q), len(index["heads"])))], axis=1)[:, :beam]
+    begin = np.sort(begin, axis=1)
+    begin[:, 1:][begin[:, 1:] == begin[:, :-1]] = n
+    m = begin.shape[1]
+    sim = np.einsum("qd,qkd->qk", q, x[np.minimum(begin, n - 1)])
+    found[:, :m], sims[:, :m], done[:, :m] = begin, np.where(begin < n, sim, -np.inf), begin == n
+    np.put_along_axis(seen, begin, True, 1)
     seen[:, n] = True
     padded = np.vstack([x, np.zeros((1, x.shape[1]), np.float32)])
     live = np.arange(len(q))
@@ -130,7 +161,7 @@ def search(index: dict, q: np.ndarray, beam: int, expand: int = 4) -> np.ndarray
     return np.where(found == n, -1, found)
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, beam: int = 64, shard_rows: int = 4096, shards: int = 16, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries, k: int = 20, beam: int = 96, shard_rows: int = 4096, shards: int = 16, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id_col, score): of each row that the condition ``queries`` on ``id_col`` names, the ``k`` nearest other rows found.
 
     Nearness is the inner product, in double precision on the vectors as given;
@@ -143,39 +174,41 @@ def nearest(vectors: DataFrame, queries, k: int = 20, beam: int = 64, shard_rows
     as padded with zeros; rows that share an id and differ are all candidates.
     An empty table, or no other row, gives no rows.
     """
-    rows = usable(vectors, id_col, vector_col).filter(F.exists("vector", lambda v: v != 0))
-    copies = materialise(first_rows(rows, "vector", k + 1, "id").groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "copies")
-    nodes = copies.select(F.col("ids")[0].alias("id"), "vector")
-    asked = materialise(rows.withColumnRenamed("id", id_col).filter(queries).withColumnRenamed(id_col, "id"), "asked")
-    distinct = materialise(asked.groupBy("vector").agg(F.min("id").alias("id")), "queries")
-    lefts, rights = count_blocks(nodes.count(), shard_rows, shards), count_blocks(distinct.count(), query_rows, 1)
-    index = materialise(in_blocks(nodes, lefts, build_index), "index")
-    schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("score", pa.float64())])
-
-    def run(shard: dict, block: dict) -> pa.RecordBatch:
-        ids = np.frombuffer(shard["ids"], np.int64)
-        arrays = dict(np.load(io.BytesIO(shard["data"])))
-        who, q = rows_of(block)
-        wide = max(q.shape[1], arrays["x"].shape[1])
-        q, arrays["x"] = widen(q, wide), widen(arrays["x"], wide)
-        out = []
-        for at in range(0, len(q), CHUNK):
-            part = q[at : at + CHUNK]
-            hits = search(arrays, part, min(beam, len(ids)))
-            score = np.einsum("qd,qkd->qk", part, arrays["x"][np.maximum(hits, 0)])
-            score[hits < 0] = -np.inf
-            named = np.where(hits < 0, np.iinfo(np.int64).max, ids[np.maximum(hits, 0)])
-            order = np.lexsort((named, -score), axis=1)[:, : k + 1]
-            score, named = np.take_along_axis(score, order, 1), np.take_along_axis(named, order, 1)
-            r, c = np.nonzero(np.isfinite(score))
-            out.append((who[at + r], named[r, c], score[r, c]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out, strict=True)], schema=schema)
-
-    found = every_pair(index, in_blocks(distinct, rights), lefts, rights, run, schema, "query long, node long, score double")
-    best = first_rows(found, "query", k + 1, F.desc("score"), "node").drop("rank")
-    spread = best.join(copies.select(F.col("ids")[0].alias("node"), "ids"), "node").select("query", "score", F.explode("ids").alias("id"))
-    top = first_rows(spread, "query", k + 1, F.desc("score"), "id")
-    hits = materialise(top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("hits")), "hits")
-    named = distinct.withColumnRenamed("id", "query").join(hits, "query").select("vector", "hits")
-    own = asked.join(named, "vector").select(F.col("id").alias("query_id"), F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, k).alias("hits"))
-    return own.select("query_id", F.posexplode("hits").alias("p", "h")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("h.id").alias(id_col), F.col("h.score").alias("score"))
+    with scope() as kept:
+        rows = usable(vectors, id_col, vector_col).filter(F.exists("vector", lambda v: v != 0))
+        copies = materialise(first_rows(rows, "vector", k + 1, "id").groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "copies")
+        nodes = copies.select(F.col("ids")[0].alias("id"), "vector")
+        asked = materialise(rows.withColumnRenamed("id", id_col).filter(queries).withColumnRenamed(id_col, "id"), "asked")
+        distinct = materialise(asked.groupBy("vector").agg(F.min("id").alias("id")), "queries")
+        lefts, rights = count_blocks(nodes.count(), shard_rows, shards), count_blocks(distinct.count(), query_rows, 1)
+        index = materialise(in_blocks(nodes, lefts, build_index), "index")
+        schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("score", pa.float64())])
+
+        def run(shard: dict, block: dict) -> pa.RecordBatch:
+            ids = np.frombuffer(shard["ids"], np.int64)
+            arrays = dict(np.load(io.BytesIO(shard["data"])))
+            who, q = rows_of(block)
+            wide = max(q.shape[1], arrays["x"].shape[1])
+            q, arrays["x"] = widen(q, wide), widen(arrays["x"], wide)
+            out = []
+            for at in range(0, len(q), CHUNK):
+                part = q[at : at + CHUNK]
+                hits = search(arrays, part, min(beam, len(ids)))
+                score = np.einsum("qd,qkd->qk", part, arrays["x"][np.maximum(hits, 0)])
+                score[hits < 0] = -np.inf
+                named = np.where(hits < 0, np.iinfo(np.int64).max, ids[np.maximum(hits, 0)])
+                order = np.lexsort((named, -score), axis=1)[:, : k + 1]
+                score, named = np.take_along_axis(score, order, 1), np.take_along_axis(named, order, 1)
+                r, c = np.nonzero(np.isfinite(score))
+                out.append((who[at + r], named[r, c], score[r, c]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out, strict=True)], schema=schema)
+
+        found = every_pair(index, in_blocks(distinct, rights), lefts, rights, run, schema, "query long, node long, score double")
+        best = first_rows(found, "query", k + 1, F.desc("score"), "node").drop("rank")
+        spread = best.join(copies.select(F.col("ids")[0].alias("node"), "ids"), "node").select("query", "score", F.explode("ids").alias("id"))
+        top = first_rows(spread, "query", k + 1, F.desc("score"), "id")
+        hits = materialise(top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("hits")), "hits")
+        kept += [asked, distinct, hits]
+        named = distinct.withColumnRenamed("id", "query").join(hits, "query").select("vector", "hits")
+        own = asked.join(named, "vector").select(F.col("id").alias("query_id"), F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, k).alias("hits"))
+        return own.select("query_id", F.posexplode("hits").alias("p", "h")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("h.id").alias(id_col), F.col("h.score").alias("score"))
