@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise, partitions
+from .scratch import materialise, partitions, scope
 
 DIMENSIONS, BITS, HASHED = 4, 10, 512
-#: Characters below this: both libraries split them alike. Texts with others go to the reference tokenizer.
+#: Characters below this: both libraries split them alike. Texts with others, or with an added token's own text, go to the reference tokenizer.
 PLAIN = 0x250
 
 
@@ -25,7 +25,7 @@ def _encoder(model: str, ranks: str | None):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path(model))
-    exact.encode_special_tokens = True
+    added = [t.content for t in exact.get_added_tokens_decoder().values()]
     slow = lambda t: exact.encode(t, add_special_tokens=False).ids
     if ranks is None:
         return slow
@@ -34,7 +34,8 @@ def _encoder(model: str, ranks: str | None):
     with open(public_tokenizers.path(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return lambda t: fast.encode_ordinary(t) if t.isascii() or ord(max(t)) < PLAIN else slow(t)
+    plain = lambda t: (t.isascii() or ord(max(t)) < PLAIN) and not any(a in t for a in added)
+    return lambda t: fast.encode_ordinary(t) if plain(t) else slow(t)
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -88,68 +89,70 @@ def pack(docs: DataFrame, model: str = "byte_bpe_50k.json", ranks: str | None =
     share an id, are packed each for itself; a null id is carried. Other columns
     are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(model, ranks)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                ids, sizes = [], []
-                vectors = np.zeros((b.num_rows, HASHED))
-                for i, t in enumerate(b.column(2)):
-                    own = np.array([*encode(t.as_py() or ""), end_id], np.uint32)
-                    vectors[i] = np.bincount((own * np.uint32(0x9E3779B1)) >> np.uint32(23), minlength=HASHED)
-                    sizes.append(len(own))
-                    ids.append((own.astype("<u2") if own.max() < 1 << 16 else own.astype("<u4")).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_key(vectors), pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["row", "id", "key", "n", "ids"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), F.col(text_col))
-    known = materialise(rows.mapInArrow(tokens, f"`__row` long, `__id` {kind}, `__key` long, `__n` long, `__ids` binary"), "tokens")
-
-    sorted_keys = known.select("__row", "__key", "__n").repartitionByRange(partitions(spark), "__key", "__row").sortWithinPartitions("__key", "__row")
-    line = materialise(sorted_keys.withColumn("__part", F.spark_partition_id()), "curve")
-    sums = {r["__part"]: r["n"] for r in line.groupBy("__part").agg(F.sum("__n").alias("n")).collect()}  # one number a partition
-    base, run = {}, 0
-    for part in sorted(sums):
-        base[part], run = run, run + sums[part]
-
-    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = None, 0
-        for b in batches:
-            part_ids, n = b.column(3).to_numpy(), b.column(2).to_numpy()
-            begins = np.empty(len(n), np.int64)
-            for own in np.unique(part_ids):
-                here = np.flatnonzero(part_ids == own)
-                if own != part:
-                    part, at = own, base[own]
-                before = np.cumsum(n[here]) - n[here]
-                begins[here] = at + before
-                at += int(n[here].sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(begins)], names=["row", "begin"])
-
-    ordered = line.repartition(partitions(spark), "__part").sortWithinPartitions("__part", "__key", "__row").select("__row", "__key", "__n", "__part")
-    begins = materialise(ordered.mapInArrow(offsets, "`__row` long, `__begin` long"), "begins")
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                out: list[list] = [[] for _ in range(6)]
-                of = []
-                for i, (n, raw, begin) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                    own = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
-                    s = 0
-                    while s < n:
-                        place = (begin + s) % length
-                        size = min(n - s, length - place)
-                        for col, v in zip(out, (s, size, own[4 * s : 4 * (s + size)], n, (begin + s) // length, place), strict=True):
-                            col.append(v)
-                        of.append(i)
-                        s += size
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    cut = known.join(begins, "__row").select("__id", "__n", "__ids", "__begin")
-    return cut.mapInArrow(pieces, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    with scope() as kept:
+        spark = docs.sparkSession
+        kind = docs.schema[id_col].dataType.simpleString()
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encode = _encoder(model, ranks)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    b = batch.slice(at, 512)
+                    ids, sizes = [], []
+                    vectors = np.zeros((b.num_rows, HASHED))
+                    for i, t in enumerate(b.column(2)):
+                        own = np.array([*encode(t.as_py() or ""), end_id], np.uint32)
+                        vectors[i] = np.bincount((own * np.uint32(0x9E3779B1)) >> np.uint32(23), minlength=HASHED)
+                        sizes.append(len(own))
+                        ids.append((own.astype("<u2") if own.max() < 1 << 16 else own.astype("<u4")).tobytes())
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_key(vectors), pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["row", "id", "key", "n", "ids"])
+
+        rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), F.col(text_col))
+        known = materialise(rows.mapInArrow(tokens, f"`__row` long, `__id` {kind}, `__key` long, `__n` long, `__ids` binary"), "tokens")
+
+        sorted_keys = known.select("__row", "__key", "__n").repartitionByRange(partitions(spark), "__key", "__row").sortWithinPartitions("__key", "__row")
+        line = materialise(sorted_keys.withColumn("__part", F.spark_partition_id()), "curve")
+        sums = {r["__part"]: r["n"] for r in line.groupBy("__part").agg(F.sum("__n").alias("n")).collect()}  # one number a partition
+        base, run = {}, 0
+        for part in sorted(sums):
+            base[part], run = run, run + sums[part]
+
+        def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, at = None, 0
+            for b in batches:
+                part_ids, n = b.column(3).to_numpy(), b.column(2).to_numpy()
+                begins = np.empty(len(n), np.int64)
+                for own in np.unique(part_ids):
+                    here = np.flatnonzero(part_ids == own)
+                    if own != part:
+                        part, at = own, base[own]
+                    before = np.cumsum(n[here]) - n[here]
+                    begins[here] = at + before
+                    at += int(n[here].sum())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(begins)], names=["row", "begin"])
+
+        ordered = line.repartition(partitions(spark), "__part").sortWithinPartitions("__part", "__key", "__row").select("__row", "__key", "__n", "__part")
+        begins = materialise(ordered.mapInArrow(offsets, "`__row` long, `__begin` long"), "begins")
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    b = batch.slice(at, 1024)
+                    out: list[list] = [[] for _ in range(6)]
+                    of = []
+                    for i, (n, raw, begin) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                        own = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
+                        s = 0
+                        while s < n:
+                            place = (begin + s) % length
+                            size = min(n - s, length - place)
+                            for col, v in zip(out, (s, size, own[4 * s : 4 * (s + size)], n, (begin + s) // length, place), strict=True):
+                                col.append(v)
+                            of.append(i)
+                            s += size
+                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+        kept += [known, begins]
+        cut = known.join(begins, "__row").select("__id", "__n", "__ids", "__begin")
+        return cut.mapInArrow(pieces, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
