@@ -240,7 +240,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter(tuple([*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]) for r in docs.collect())
     got = packing.pack(docs).collect()
     laid = sorted((r["sequence_id"], r["offset"], r) for r in got)
@@ -271,6 +270,7 @@ def test_tokenizers_agree():
     slow, fast = packing._encoder("byte_bpe_50k.json", None), packing._encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     for t in ("", "Hello  world\n\n x<|endoftext|>", "naïve ÉÈ 12,345's", "日本語 ١٢", "\t\t a" * 9, "é ẞ"):
         assert list(slow(t)) == list(fast(t))
+    assert list(fast("a <|endoftext|> b")) == [64, 220, 50256, 275]
 
 
 def test_language(spark, docs, empty):
@@ -360,6 +360,21 @@ def test_poisson_steps(spark):
         assert steps[k] == pytest.approx(sum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(k + 1)), abs=1e-9) and steps[-1] == pytest.approx(1, abs=1e-9)
 
 
+def test_poisson_tables_of_large_rates(spark):
+    import math
+
+    rates = [(f"r{r}", float(r)) for r in (3, 1001, 50_000, 3_000_000)]
+    got = {r["__source"]: r for r in mixing.poisson_tables(spark.createDataFrame(rates, "__source string, __rate double")).collect()}
+    for name, rate in rates:
+        base, steps = got[name]["__base"], got[name]["__steps"]
+        assert len(steps) <= 24 * math.sqrt(rate) + 60 and steps == sorted(steps) and steps[-1] == pytest.approx(1, abs=1e-8)
+        pmf = [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(base, base + len(steps))]
+        assert np.allclose(np.cumsum(pmf), steps, atol=1e-7)
+    df = spark.range(40_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "rare").otherwise("hot").alias("source"))
+    sizes = {r["source"]: r["count"] for r in mixing.mix(df).groupBy("source").count().collect()}
+    assert all(abs(n - 20_000) < 6 * 20_000**0.5 for n in sizes.values()) and len(sizes) == 2
+
+
 def test_licenses(spark, docs, empty):
     rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.txt", "some words\nmore words"), ("a/b/c/y.txt", "Licensed under CC BY-NC 4.0.\nmore"), ("a/b/c/z.txt", "nothing"), ("q/r.txt", "nothing"), (None, "nothing"), ("top.txt", None)]
     df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
