@@ -1,12 +1,14 @@
 """Operators on documents: contracts against brute force, and awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -312,6 +314,47 @@ def test_language_scores_match_a_plain_sum():
         assert np.allclose(w, sum(logp[h].sum(axis=0) for h in own) if own else 0)
 
 
+def test_long_texts_in_pieces_give_the_same(spark, monkeypatch):
+    rng = random.Random(21)
+    texts_ = [words(rng, 3000), "ab " * 2000, "x" * 9000, words(rng, 3) + " " * 5000, words(rng, 4), "", "İstanbul " * 400]
+    rows = [(i, t, ["en", "de"][i % 2]) for i, t in enumerate(texts_)] + [(10, texts_[0][500:] + " tail", "en"), (11, texts_[2][:4000], "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+
+    def results():
+        fps = [near_dedup.signature(t.encode(), 4, True) for t in texts_]
+        data = [t.encode() for _, t, _ in rows]
+        named = set()
+        for i, t in enumerate(substrings._pieces(data)[0]):
+            of = int(substrings._pieces(data)[1][i])
+            named |= {(of, int(n)) for n in substrings._runs([t])[4]}
+        total = np.zeros(language_id.BUCKETS + 1, np.int64)
+        batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array(["en"] * len(rows))], names=["text", "lang"])
+        for b in language_id._count(iter([batch])):
+            total[: language_id.BUCKETS] += np.concatenate([np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()])
+        return fps, named, total.tolist()
+
+    whole = results()
+    monkeypatch.setattr(near_dedup, "PIECE", 100)
+    monkeypatch.setattr(substrings, "CHUNK", 700)
+    monkeypatch.setattr(language_id, "CHUNK", 64)
+    assert results() == whole
+
+
+def test_texts_of_tens_of_megabytes(spark):
+    """Texts far longer than a piece, through the whole operators."""
+    rng = random.Random(5)
+    big = words(rng, 40_000) * 40
+    rows = [(0, big, "en"), (1, "short text of its own", "de"), (2, big + " x", "en"), (3, "!" * 3_000_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert len(big) > 8_000_000
+    groups = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 4, 4).collect()}
+    assert groups[0] == groups[2] == 0 and groups[1] == 1
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.repeated_substrings(df).collect()}
+    assert got[0] == 0 and got[1] == 0 and got[2] >= len(big.encode()) and got[3] == 0
+    langs, logp = language_id.train(df)
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, langs, logp).collect()}[3] == "und"
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(3)
     rows = [(i, words(rng, 40) if i % 4 else words(rng, 40).upper().replace(" ", "!! ")) for i in range(500)]
@@ -392,6 +435,49 @@ def test_license_verdict_is_the_same_on_a_larger_table(spark):
         assert [r["license"] for r in found] == ["MIT"]
 
 
+def test_license_files_and_wrapped_headers(spark):
+    body = next(t for n, t in licenses.TEMPLATES if n == "MIT" and "MERCHANTABILITY" in t)
+    wrapped = body.replace("\n", "\n\n").replace(", to deal", ",\n to deal").replace("LIABLE FOR", "LIABLE\nFOR")
+    header = "\n".join("# " + h for h in ("Copyright 2020 The Somebody Authors", 'Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at",
+                                          "    http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software", 'distributed under the License is distributed on an "AS IS" BASIS,', "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."))
+    gnu = "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nint main"
+    rows = [("p/LICENSE", f"MIT License\n\nCopyright (c) 2021 Some Person\n\n{wrapped}"), ("p/src/a.py", "import os\n\nprint(os.name)"), ("q/b.py", header + "\n\nimport sys\nprint(sys.path)"),
+            ("q/c.c", "This program is free software: you can redistribute it and/or modify\n" + gnu), ("r/d.rs", "// SPDX-License-Identifier: BSD-3-Clause\nfn main() {}"), ("r/e.txt", "plain words\nand other words\n\nmore of them")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)] + [(100 + i, f"x/{i}.txt", f"common filler text number {i} with the software and the use of it") for i in range(60)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"], r["license_dir"]) for r in licenses.license_scan(df, F.col("path")).filter("doc_id < 100").collect()}
+    assert got == {0: ("MIT", "own", None), 1: ("MIT", "inherited", "p"), 2: ("Apache-2.0", "own", None), 3: ("GPL-3.0", "own", None), 4: ("BSD-3-Clause", "own", None), 5: ("BSD-3-Clause", "inherited", "r")}
+
+
+def test_license_units_against_brute_force(spark):
+    """Every unit scored against every template, without the filters."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {(r["__id"], r["kind"], r["pos"]): (r["license"], r["score"]) for r in licenses.license_units(rows).collect()}
+    terms = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
+    units, lines = {}, []
+    for i, t in rows.collect():
+        if t is None:
+            continue
+        own = t.lower().split("\n")
+        units |= {(i, 0, p): terms(x) for p, x in enumerate(own)}
+        blocks = re.split("\n[^a-z0-9]*\n", t.lower())
+        units |= {(i, 1, p): terms(x) for p, x in enumerate(blocks) if "\n" in x}
+        units |= {(i, 2, 0): terms(t)} if len(blocks) > 1 else {}
+        lines += [set(terms(x)) for x in own if terms(x)]
+    df = Counter(w for x in lines for w in x)
+    idf = lambda w: math.log((len(lines) + 1) / (df[w] + 1)) + 1
+    vector = lambda x: {w: c * idf(w) for w, c in Counter(x).items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    temps = [(n, v, length(v)) for n, v in ((n, vector(terms(t))) for n, t in licenses.TEMPLATES)]
+    want = {}
+    for k, x in units.items():
+        v = vector(x)
+        if v:
+            scores = [round(sum(w * v.get(t, 0.0) for t, w in tv.items()) / (length(v) * n), 6) for _, tv, n in temps]
+            if max(scores) >= 0.7:
+                want[k] = (temps[scores.index(max(scores))][0], max(scores))
+    assert set(got) == set(want) and len(want) > 5 and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     from vigilake.llm.scratch import materialise
 

@@ -60,6 +60,13 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.nda
     return starts, has, out
 
 
+def _pieces(text: str) -> Iterator[tuple[str, int]]:
+    """A text in pieces of CHUNK characters, each with what its last n-grams reach into, and its own length; so memory doesn't grow with a text."""
+    more = max(ORDERS) - 1
+    for at in range(0, len(text), CHUNK):
+        yield text[at : at + CHUNK + more], min(CHUNK, len(text) - at)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, np.ndarray] = {}
     for b in batches:
@@ -70,6 +77,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, own in by.items():
             total = found.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
             for i, j in _chunks(own):
+                if j - i == 1 and own[i] and len(own[i]) > CHUNK:
+                    for piece, n in _pieces(own[i].lower()):
+                        for h in _grams([piece])[2]:
+                            total += np.bincount(h[:n], minlength=BUCKETS + 1)
+                    continue
                 for h in _grams(own[i:j])[2]:
                     total += np.bincount(h, minlength=BUCKETS + 1)
     for lang, total in found.items():
@@ -117,9 +129,9 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, carry: list[str
     in the predicted language, null for ``und``. Unlike score, it is low for
     text of no learned language.
 
-    Every n-gram of the whole text counts. Rows repeat as in the input; equal
+    Every n-gram of the whole text counts; a long text is read in pieces. Rows repeat as in the input; equal
     scores go to the first language in order; carried columns of those two
-    names are replaced, and other columns are not read.
+    names are replaced, and other columns are not read. An empty table gives an empty result.
     """
     table = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
     names = [c for c in (["doc_id"] if carry is None else carry) if c.lower() not in ("lang_pred", "score")]
@@ -131,13 +143,22 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, carry: list[str
             texts = b.column(len(names)).to_pylist()
             best, scores, fits = [], [], []
             for i, j in _chunks(texts):
-                starts, has, grams = _grams(texts[i:j])
                 total = np.zeros((j - i, len(langs)))
-                long = np.diff(np.append(starts, len(grams[0]) if grams else 0))
-                full = np.flatnonzero(long)
-                if len(full) and langs:
-                    for h in grams:
-                        total[full] += np.add.reduceat(table.value[h], starts[full], axis=0, dtype=np.float64)
+                if j - i == 1 and texts[i] and len(texts[i]) > CHUNK:
+                    low = texts[i].lower()
+                    long, has = np.array([len(low)]), np.zeros(1, bool)
+                    for piece, n in _pieces(low):
+                        _, some, grams = _grams([piece])
+                        has |= some
+                        for h in grams if langs else []:
+                            total[0] += table.value[h[:n]].sum(axis=0, dtype=np.float64)
+                else:
+                    starts, has, grams = _grams(texts[i:j])
+                    long = np.diff(np.append(starts, len(grams[0]) if grams else 0))
+                    full = np.flatnonzero(long)
+                    if len(full) and langs:
+                        for h in grams:
+                            total[full] += np.add.reduceat(table.value[h], starts[full], axis=0, dtype=np.float64)
                 for k in range(j - i):
                     if not has[k] or not langs:
                         best.append("und")

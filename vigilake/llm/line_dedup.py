@@ -145,7 +145,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         near = lambda a, b: F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= distance
         verify = lambda a, b: similar(a["symbols"], b["symbols"], similarity)
-        linked_table = keyed_components(*blocks(nodes, names), near, describe, verify)
+        linked_table = keyed_components(*blocks(nodes, names), near, describe, verify, anywhere=True)
         linked = linked_table.toDF("k1", "root")
         groups = distinct.join(linked, "k1", "left").filter("n > 1 or root is not null").select("k1", "k2", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2"))
         groups = materialise(groups, "groups")

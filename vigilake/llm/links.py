@@ -88,10 +88,11 @@ def hamming_components(fps: DataFrame, distance: int, blocks: int, tile: int = 5
     return keyed_components(fps, choices, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance, tile=tile)
 
 
-def keyed_components(items: DataFrame, keys: list[Column], near: Check, describe: Callable[[DataFrame], DataFrame] | None = None, verify: Check | None = None, tile: int = 512) -> DataFrame:
+def keyed_components(items: DataFrame, keys: list[Column], near: Check, describe: Callable[[DataFrame], DataFrame] | None = None, verify: Check | None = None, tile: int = 512, anywhere: bool = False) -> DataFrame:
     """(node, root) of the ids of ``items`` (id long, unique) that have a link, root being the least id reachable.
 
-    ``keys`` are a row's keys, longs (null: none). A link joins two ids that
+    ``keys`` are a row's keys, longs (null: none); with ``anywhere`` one key may stand at different places in two
+    rows, else different places have different keys. A link joins two ids that
     share a key and pass ``near`` and then ``verify``, which is the dearer check. Both get the two ids or, with
     ``describe``, what that tells of them: it takes ids (id) and returns (id, about).
 
@@ -106,7 +107,8 @@ def keyed_components(items: DataFrame, keys: list[Column], near: Check, describe
     small = []
     passes = -(-len(keys) // PASS)
     for at in range(passes):  # a share of the keys at a time, so that their shuffles don't lie side by side
-        dealt = items.select("id", F.explode(F.array(*keys)).alias("key")).filter(F.pmod(F.col("key"), F.lit(passes)) == at)
+        some = F.lit(True) if not anywhere else F.pmod(F.col("key"), F.lit(passes)) == at
+        dealt = items.select("id", F.explode(F.array(*(keys if anywhere else keys[at::passes]))).alias("key")).filter(F.col("key").isNotNull() & some)
         found = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"))
         small.append(materialise(found.filter("lo < hi"), "buckets"))
     buckets = reduce(DataFrame.unionByName, small)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 from functools import cache
@@ -21,22 +22,36 @@ from .scratch import materialise, scope
 BANDS, ROWS = 16, 4
 CHUNK = 1 << 12
 SPACE = " \t\n\x0b\x0c\r"
+PIECE, SPACES = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about PIECE bytes that end between words, so memory doesn't grow with a text."""
+    at = 0
+    while at < len(text):
+        gap = SPACES.search(text, at + PIECE) if at + PIECE < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 def _digests(text: bytes, words: int) -> Iterator[np.ndarray]:
     """XXH64 of the word shingles of ``text``, some at a time; a text of fewer words is one shingle."""
-    w = text.lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not w:
-        return
-    whole, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w]) - 1
-    if len(w) <= words:
-        spans = [(0, len(whole))]
-    else:
+    digest, held, any_whole = xxhash.xxh64_intdigest, [], False
+    for piece in _pieces(text):
+        w = held + piece.lower().split()  # bytes: only A-Z change, only ASCII white space splits
+        if len(w) < words:
+            held = w
+            continue
+        whole, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w]) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         spans = list(zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True))
-    digest, view = xxhash.xxh64_intdigest, memoryview(whole)
-    for at in range(0, len(spans), CHUNK):
-        yield np.array([digest(view[s:e], 42) for s, e in spans[at : at + CHUNK]], np.uint64)
+        view, any_whole = memoryview(whole), True
+        held = w[len(w) - words + 1 :] if words > 1 else []
+        for at in range(0, len(spans), CHUNK):
+            yield np.array([digest(view[s:e], 42) for s, e in spans[at : at + CHUNK]], np.uint64)
+    if held and not any_whole:
+        yield np.array([digest(b" ".join(held), 42)], np.uint64)
 
 
 @cache
@@ -77,18 +92,26 @@ def fingerprints(docs: DataFrame, words: int, carry: list[str], text_col: str =
     return given.mapInArrow(run, schema)
 
 
-def shingle_set(text: Column, words: int) -> Column:
-    """Hashes of the distinct word shingles of a text, cut as those of :func:`signature`."""
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    w = F.split(F.btrim(lower, F.lit(SPACE)), "[ \\t-\\r]+")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " "))))
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, about) of (id, text): hashes of the distinct word shingles of a text, cut as those of :func:`signature`.
+
+    The words are a column of their own, because what a lambda names is computed again for each element.
+    """
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    cut = texts.select("id", F.split(F.btrim(lower, F.lit(SPACE)), "[ \\t-\\r]+").alias("w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1)))
+    return cut.select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))).alias("about"))
+
+
+def bounded(a: Column, b: Column, jaccard: float) -> Column:
+    """Whether the sizes of two sets allow a Jaccard similarity of ``jaccard``."""
+    return F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * jaccard - 1e-9
 
 
 def alike(a: Column, b: Column, jaccard: float) -> Column:
     """Whether two sets have a Jaccard similarity of at least ``jaccard``."""
     sizes, both = F.size(a) + F.size(b), F.size(F.array_intersect(a, b))
-    bounded = F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * jaccard - 1e-9
-    return bounded & (both >= (sizes - both) * jaccard - 1e-9)
+    return bounded(a, b, jaccard) & (both >= (sizes - both) * jaccard - 1e-9)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), jaccard: float | None = None) -> DataFrame:
@@ -115,10 +138,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, blocks:
             texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("text"))
 
             def shingles(ids: DataFrame) -> DataFrame:
-                return only(texts, ids, "id").join(ids, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", shingle_set(F.col("text"), words).alias("about"))
+                return shingle_sets(only(texts, ids, "id").join(ids, "id").groupBy("id").agg(F.min("text").alias("text")), words)
 
             keys = [F.xxhash64(F.lit(i), F.get("bands", F.lit(i))) for i in range(BANDS)]
-            found = keyed_components(sets, keys, lambda a, b: alike(a, b, jaccard), shingles)
+            found = keyed_components(sets, keys, lambda a, b: bounded(a, b, jaccard), shingles, lambda a, b: alike(a, b, jaccard))
             of = sets.select("id", "fp")
             close = found.toDF("id", "root").join(of.toDF("id", "u"), "id").join(of.toDF("root", "v"), "root").select("u", "v")
             groups = connected_components(groups.toDF("u", "v").unionByName(close))

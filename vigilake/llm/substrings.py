@@ -94,6 +94,17 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+def _pieces(datas: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The texts, long ones in pieces of CHUNK bytes that overlap by a window less one byte; each piece's text and where it begins there."""
+    pieces, of, begin = [], [], []
+    for i, d in enumerate(datas):
+        for at in range(0, max(1, len(d) - SPAN + 1) if len(d) > CHUNK else 1, CHUNK):
+            pieces.append(d[at : at + CHUNK + SPAN - 1] if len(d) > CHUNK else d)
+            of.append(i)
+            begin.append(at)
+    return pieces, np.array(of, np.int64), np.array(begin, np.int64)
+
+
 def _starts(ordered: np.ndarray, *more: np.ndarray) -> np.ndarray:
     new = np.ones(len(ordered), bool)
     new[1:] = False
@@ -117,7 +128,9 @@ def _named(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for b in batches:
-            uids, datas = b.column(0).to_numpy(), b.column(1).to_pylist()
+            uids = b.column(0).to_numpy()
+            datas, of, _ = _pieces(b.column(1).to_pylist())
+            uids = uids[of]
             for i, j in _chunks([len(d) for d in datas]):
                 _, text, _, _, name = _runs(datas[i:j])
                 order = np.lexsort((text, name))
@@ -178,7 +191,8 @@ def _contexts(texts: pa.Table, shared: pa.Table) -> pa.Table:
     known: dict[int, list[np.ndarray]] = {}
     for u, x in zip(shared.column("uid").to_pylist(), shared.column("names").to_pylist(), strict=True):
         known.setdefault(u, []).append(np.frombuffer(x, np.uint64))
-    uids, docs, datas = texts.column("uid").to_pylist(), texts.column("doc").to_numpy(), texts.column("data").to_pylist()
+    datas, of, offset = _pieces(texts.column("data").to_pylist())
+    uids, docs = texts.column("uid").to_numpy()[of].tolist(), texts.column("doc").to_numpy()[of]
     kept = [i for i, u in enumerate(uids) if u in known and len(datas[i]) >= SPAN]
     parts, contexts = [], []
     for i, j in _chunks([len(datas[k]) for k in kept]):
@@ -195,7 +209,7 @@ def _contexts(texts: pa.Table, shared: pa.Table) -> pa.Table:
         begin = np.concatenate(([0], np.cumsum([len(datas[k]) for k in own])))[text]
         rows = np.array(own)[text]
         digest = np.array([xxhash.xxh3_64_intdigest(c) for c in own_contexts], np.uint64)
-        parts.append((name, digest, rows, first - begin, last - begin))
+        parts.append((name, digest, rows, first - begin + offset[rows], last - begin + offset[rows]))
     if not contexts:
         return _CONTEXT.empty_table()
     name, digest, rows, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
