@@ -1,4 +1,4 @@
-"""Licence scans in DataFrame operations only: TF-IDF cosine of lines to templates, then inheritance from directories."""
+"""Licence scans in DataFrame operations only: TF-IDF cosine of lines, headers and whole files to templates, then inheritance from directories."""
 
 from __future__ import annotations
 
@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 from .scratch import materialise
 
-#: The notices that are looked for, by SPDX name (or all-rights-reserved).
+#: SPDX names that tags and titles are made for, with the titles of their texts.
+TITLES = [
+    ("MIT", "MIT License"), ("Apache-2.0", "Apache License Version 2.0"), ("GPL-3.0", "GNU General Public License Version 3"), ("GPL-2.0", "GNU General Public License Version 2"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3"), ("AGPL-3.0", "GNU Affero General Public License Version 3"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"), ("ISC", "ISC License"), ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"), ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+]
+#: The notices, headers and licence texts that are looked for, by SPDX name (or all-rights-reserved).
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -23,8 +30,47 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("all-rights-reserved", "All rights reserved"),
+    (
+        "MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "GPL-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    ),
+    (
+        "ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *TITLES,
+    *[(name, f"SPDX-License-Identifier: {name}") for name, _ in TITLES],
 ]
 THRESHOLD = 0.7
+#: Lines without a term part the blocks of a text.
+GAP = "\\n[^a-z0-9]*\\n"
 
 
 def terms(line: Column) -> Column:
@@ -35,22 +81,37 @@ def _terms(line: str) -> list[str]:
     return [t for t in re.split("[^a-z0-9]+", line.lower()) if t]
 
 
-def license_lines(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __text, pos, edge, license, score) of each line of a whole text whose cosine to a template is at least ``threshold``; ``edge``: it is the first or last line.
+def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __text, kind, pos, edge, terms) of what is compared with templates: each line, each block of several lines and each whole text of several blocks.
+
+    ``edge`` marks what makes a file a licence file: its first or last line, its first block, its whole text.
+    """
+    held = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.lower(text_col).alias("low"))
+    lines = held.select("__id", "__text", F.split("low", "\n").alias("ls")).select("__id", "__text", F.size("ls").alias("n"), F.posexplode("ls").alias("pos", "body"))
+    lines = lines.select("__id", "__text", F.lit(0).alias("kind"), "pos", ((F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).alias("edge"), "body")
+    cut = held.filter(F.contains("low", F.lit("\n"))).select("__id", "__text", "low", F.split("low", GAP).alias("bs"))
+    blocks = cut.select("__id", "__text", F.posexplode("bs").alias("pos", "body")).filter(F.contains("body", F.lit("\n")))
+    blocks = blocks.select("__id", "__text", F.lit(1).alias("kind"), "pos", (F.col("pos") == 0).alias("edge"), "body")
+    whole = cut.filter(F.size("bs") > 1).select("__id", "__text", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.lit(True).alias("edge"), F.col("low").alias("body"))
+    every = lines.unionByName(blocks).unionByName(whole)
+    return every.select("__id", "__text", "kind", "pos", "edge", terms(F.col("body")).alias("terms")).filter(F.size("terms") > 0)
+
+
+def license_units(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__id, __text, kind, pos, edge, license, score) of each of :func:`units` whose cosine to a template is at least ``threshold``; kind 0: line, 1: block, 2: text.
 
     Term weights are tf * idf with idf = ln((lines + 1) / (lines with the term +
     1)) + 1 over all lines that have a term, for every word. The best template wins, the first listed among
-    equals. By Cauchy-Schwarz a line can only reach the threshold if the terms
-    it shares hold that share of a template's length, so lines without any of
-    its heaviest terms are not scored.
+    equals. By Cauchy-Schwarz a unit can only reach the threshold if the terms
+    it shares hold that share of a template's length, so units without any of
+    a template's heaviest terms, or with fewer of its terms than its heaviest ones that would do, are not scored.
     """
     spark = docs.sparkSession
     names = TEMPLATES if templates is None else templates
     counts = [Counter(_terms(t)) for _, t in names]
     vocabulary = sorted(set().union(*counts))
-    lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.size(F.split(text_col, "\n")).alias("n"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    split = lines.select("__id", "__text", "pos", ((F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).alias("edge"), terms(F.col("line")).alias("terms")).filter(F.size("terms") > 0)
-    every = split.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))  # "" counts the lines
+    split = units(docs, id_col, text_col)
+    every = split.filter("kind = 0").select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))  # "" counts the lines
     counted = materialise(every.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
     df = {r["term"]: r["n"] for r in counted.filter(F.col("term").isin(["", *vocabulary])).collect()}
     n = df.get("", 0)
@@ -58,31 +119,45 @@ def license_lines(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     weights = [{t: c * idf[t] for t, c in own.items()} for own in counts]
     lengths = [math.sqrt(sum(w * w for w in own.values())) for own in weights]
     needed: set[str] = set()
+    fewest: dict[int, list[tuple[str, ...]]] = {}
     for own, length in zip(weights, lengths, strict=True):
         light = 0.0
         for t, w in sorted(own.items(), key=lambda x: (x[1], x[0])):
             light += w * w
             if light >= threshold**2 * length**2 * (1 - 1e-9):
                 needed.add(t)
-    candidates = split.filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(needed)])))
-    tf = candidates.select("__id", "__text", "pos", "edge", F.explode("terms").alias("term")).groupBy("__id", "__text", "pos", "edge", "term").agg(F.count(F.lit(1)).alias("tf"))
+        heavy, least = 0.0, 0
+        for w in sorted(own.values(), reverse=True):
+            if heavy < threshold**2 * length**2 * (1 - 1e-9):
+                heavy, least = heavy + w * w, least + 1
+        fewest.setdefault(least, []).append(tuple(sorted(own)))
+    some = split.filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(needed)])))
+    enough = [F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in own]))) >= least for least, group in sorted(fewest.items()) for own in sorted(set(group))]
+    known = F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in vocabulary]))) >= min(fewest, default=0)
+    candidates = some.filter(known & reduce(lambda a, b: a | b, enough, F.lit(False)))
+    tf = candidates.select("__id", "__text", "kind", "pos", "edge", F.explode("terms").alias("term")).groupBy("__id", "__text", "kind", "pos", "edge", "term").agg(F.count(F.lit(1)).alias("tf"))
     table = spark.createDataFrame([(t, idf[t], *[own.get(t, 0.0) for own in weights]) for t in vocabulary], "term string, idf double, " + ", ".join(f"t{i} double" for i in range(len(names))))
     common = counted.select("term", (F.log(F.lit(n + 1.0) / (F.col("n") + 1)) + 1).alias("rarity"))
     weighed = tf.join(F.broadcast(table), "term", "left").join(common, "term").withColumn("w", F.col("tf") * F.coalesce("idf", "rarity"))
-    dots = weighed.groupBy("__id", "__text", "pos", "edge").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.coalesce(f"t{i}", F.lit(0.0))).alias(f"d{i}") for i in range(len(names))])
-    cosine = [F.round(F.col(f"d{i}") / (F.col("norm") * length), 6) for i, length in enumerate(lengths)]
-    best = F.greatest(*cosine)
-    name = reduce(lambda rest, i: F.when(cosine[i] == best, F.lit(names[i][0])).otherwise(rest), range(len(names) - 1, -1, -1), F.lit(None).cast("string"))
-    return dots.select("__id", "__text", "pos", "edge", name.alias("license"), best.alias("score")).filter(F.col("score") >= threshold)
+    dots = weighed.groupBy("__id", "__text", "kind", "pos", "edge").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.coalesce(f"t{i}", F.lit(0.0))).alias(f"d{i}") for i in range(len(names))])
+    cosine = F.array(*[F.round(F.col(f"d{i}") / (F.col("norm") * length), 6) for i, length in enumerate(lengths)])
+    scored = dots.select("__id", "__text", "kind", "pos", "edge", cosine.alias("cos")).withColumn("score", F.array_max("cos")).filter(F.col("score") >= threshold)
+    place = F.array_position("cos", F.col("score")).cast("int")
+    return scored.select("__id", "__text", "kind", "pos", "edge", F.element_at(F.array(*[F.lit(x) for x, _ in names]), place).alias("license"), "score")
+
+
+def license_lines(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The single lines of :func:`license_units`."""
+    return license_units(docs, templates, threshold, id_col, text_col).filter("kind = 0")
 
 
 def license_scan(docs: DataFrame, path: Column, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, path, license, score, origin, license_dir) of each row of ``docs``.
 
-    ``origin`` is ``own`` if a line of the text matches a template (the best
-    line wins; then the first template by name, then the first line). Else it is
+    ``origin`` is ``own`` if a line of the text, a block of its lines or the whole text matches a template (the best
+    wins; then the first template by name). Else it is
     ``inherited`` if the row's directory or an ancestor has a licence file, a
-    file whose first or last line matches: the nearest such directory counts, and in it
+    file whose first or last line, first block or whole text matches: the nearest such directory counts, and in it
     the best score, then the smallest name. Else it is ``none`` with a null
     license and score. ``license_dir`` is the directory inherited from. Paths
     are split at "/"; the root directory is "". A null text has no line; a null
@@ -90,8 +165,8 @@ def license_scan(docs: DataFrame, path: Column, templates: list[tuple[str, str]]
     id, text and those of the path are not read. An empty table gives an empty
     result.
     """
-    found = materialise(license_lines(docs, templates, threshold, id_col, text_col), "licences")
-    order = F.struct((-F.col("score")).alias("s"), "license", "pos")
+    found = materialise(license_units(docs, templates, threshold, id_col, text_col), "licences")
+    order = F.struct((-F.col("score")).alias("s"), "license")
     own = found.groupBy("__id", "__text").agg(F.min(order).alias("best")).select("__id", "__text", F.col("best.license").alias("own"), (-F.col("best.s")).alias("own_score"))
     places = docs.select(F.col(id_col).alias("__own_id"), F.xxhash64(text_col).alias("__own_text"), path.alias("path"))
     places = places.withColumn("dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
@@ -121,25 +196,28 @@ def document_path(id_col: str = "doc_id", source_col: str = "source") -> Column:
 
 def license_sql(threshold: float = THRESHOLD) -> str:
     """The scan of documents by :func:`document_path`, for DuckDB."""
-    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''").replace("\n", " ")) for i, (name, text) in enumerate(TEMPLATES))
     return f"""
 WITH tpl(i, license, body) AS (VALUES {rows}),
      tt AS (SELECT i, license, term, count(*) AS tf FROM (SELECT i, license, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS term FROM tpl) WHERE term <> '' GROUP BY ALL),
-     lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
-     words AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) AS term FROM lines) WHERE term <> '' GROUP BY ALL),
-     total AS (SELECT count(*)::DOUBLE AS n FROM (SELECT DISTINCT doc_id, pos FROM words)),
-     idf AS (SELECT v.term, ln((SELECT n + 1 FROM total) / (count(w.doc_id) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN words w USING (term) GROUP BY v.term),
+     low AS (SELECT doc_id, lower(text) AS t, string_split_regex(lower(text), '{GAP}') AS bs FROM documents WHERE text IS NOT NULL),
+     lines AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS pos, unnest(string_split(t, chr(10))) AS body, len(string_split(t, chr(10))) AS n FROM low),
+     blocks AS (SELECT doc_id, generate_subscripts(bs, 1) - 1 AS pos, unnest(bs) AS body FROM low),
+     units AS (SELECT doc_id, 0 AS kind, pos, pos = 0 OR pos = n - 1 AS edge, body FROM lines UNION ALL SELECT doc_id, 1, pos, pos = 0, body FROM blocks WHERE contains(body, chr(10)) UNION ALL SELECT doc_id, 2, 0, true, t FROM low WHERE len(bs) > 1),
+     words AS MATERIALIZED (SELECT doc_id, kind, pos, edge, term, count(*) AS tf FROM (SELECT doc_id, kind, pos, edge, unnest(string_split_regex(body, '[^a-z0-9]+')) AS term FROM units) WHERE term <> '' GROUP BY ALL),
+     total AS (SELECT count(*)::DOUBLE AS n FROM (SELECT DISTINCT doc_id, pos FROM words WHERE kind = 0)),
+     idf AS MATERIALIZED (SELECT term, ln((SELECT n + 1 FROM total) / (sum(c) + 1)) + 1 AS idf FROM (SELECT term, 1 AS c FROM words WHERE kind = 0 UNION ALL SELECT DISTINCT term, 0 FROM tt) GROUP BY term),
      tw AS (SELECT i, license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
      tn AS (SELECT i, license, sqrt(sum(w * w)) AS norm FROM tw GROUP BY ALL),
-     ww AS (SELECT doc_id, pos, term, tf * coalesce(idf, (SELECT ln(n + 1) + 1 FROM total)) AS w FROM words LEFT JOIN idf USING (term)),
-     wn AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm FROM ww GROUP BY ALL),
-     dots AS (SELECT doc_id, pos, i, license, sum(ww.w * tw.w) AS d FROM ww JOIN tw USING (term) GROUP BY ALL),
-     cos AS (SELECT doc_id, pos, i, d.license, round(d / (wn.norm * tn.norm), 6) AS score FROM dots d JOIN wn USING (doc_id, pos) JOIN tn USING (i)),
-     found AS (SELECT doc_id, pos, arg_min(license, (-score, i)) AS license, max(score) AS score FROM cos GROUP BY ALL HAVING max(score) >= {threshold}),
-     own AS (SELECT doc_id, arg_min(license, (-score, license, pos)) AS own, max(score) AS own_score FROM found GROUP BY ALL),
+     ww AS (SELECT doc_id, kind, pos, edge, term, tf * idf AS w FROM words JOIN idf USING (term)),
+     wn AS (SELECT doc_id, kind, pos, sqrt(sum(w * w)) AS norm FROM ww GROUP BY ALL),
+     dots AS (SELECT doc_id, kind, pos, edge, i, license, sum(ww.w * tw.w) AS d FROM ww JOIN tw USING (term) GROUP BY ALL),
+     cos AS (SELECT doc_id, kind, pos, edge, i, d.license, round(d / (wn.norm * tn.norm), 6) AS score FROM dots d JOIN wn USING (doc_id, kind, pos) JOIN tn USING (i)),
+     found AS (SELECT doc_id, kind, pos, edge, arg_min(license, (-score, i)) AS license, max(score) AS score FROM cos GROUP BY ALL HAVING max(score) >= {threshold}),
+     own AS (SELECT doc_id, arg_min(license, (-score, license)) AS own, max(score) AS own_score FROM found GROUP BY ALL),
      places AS (SELECT doc_id, concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CASE WHEN doc_id % 10 <> 0 THEN CAST(doc_id // 10 AS VARCHAR) END) AS dir,
                 concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CASE WHEN doc_id % 10 <> 0 THEN CAST(doc_id // 10 AS VARCHAR) END, doc_id || '.txt') AS path FROM documents),
-     declared AS (SELECT dir AS license_dir, arg_min(license, (-score, license)) AS theirs, max(score) AS their_score FROM places JOIN found USING (doc_id) JOIN (SELECT doc_id, max(pos) AS last FROM lines GROUP BY ALL) USING (doc_id) WHERE pos = 0 OR pos = last GROUP BY ALL),
+     declared AS (SELECT dir AS license_dir, arg_min(license, (-score, license)) AS theirs, max(score) AS their_score FROM places JOIN found USING (doc_id) WHERE edge GROUP BY ALL),
      near AS (SELECT p.dir, arg_max(license_dir, length(license_dir)) AS license_dir, arg_max(theirs, length(license_dir)) AS theirs, arg_max(their_score, length(license_dir)) AS their_score
               FROM (SELECT DISTINCT dir FROM places) p JOIN declared d ON p.dir = license_dir OR starts_with(p.dir, license_dir || '/') GROUP BY ALL)
 SELECT doc_id, path, coalesce(own, theirs) AS license, CASE WHEN own IS NOT NULL THEN own_score ELSE their_score END AS score,
