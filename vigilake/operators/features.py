@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,9 +98,16 @@ def label_days(grid: DataFrame, incidents: DataFrame) -> DataFrame:
     return grid.join(days, KEY, "left").select(*grid.columns, F.coalesce("__hit", F.lit(0)).alias("is_malicious"))
 
 
+def _day(value) -> date:
+    """A boundary given as a date, a timestamp or ISO text."""
+    if isinstance(value, datetime):
+        return value.date()
+    return value if isinstance(value, date) else date.fromisoformat(str(value)[:10])
+
+
 def split_of(day: Column, train_end, calibration_end) -> Column:
     """train, calibration or test, by two inclusive boundaries."""
-    if str(train_end) >= str(calibration_end):
+    if _day(train_end) >= _day(calibration_end):
         raise ValueError("train_end must be before calibration_end")
     return F.when(day <= F.lit(train_end).cast("date"), "train").when(day <= F.lit(calibration_end).cast("date"), "calibration").otherwise("test")
 
@@ -110,7 +118,7 @@ def split_table(df: DataFrame, train_end, calibration_end) -> dict[str, DataFram
 
 
 def split_summary(df: DataFrame, train_end, calibration_end, label: str = "is_malicious") -> DataFrame:
-    """Rows, days, users and malicious rows of each split; fails if a split is empty."""
+    """Rows, days, users and malicious rows of each split that has rows; :func:`check_splits` fails where one has none."""
     found = df.withColumn("split", split_of(F.col("day"), train_end, calibration_end)).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("day").alias("n_days"), F.countDistinct("user_id").alias("n_users"),
         F.sum(label).cast("long").alias("n_malicious"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
@@ -118,6 +126,19 @@ def split_summary(df: DataFrame, train_end, calibration_end, label: str = "is_ma
     return found
 
 
+def check_splits(df: DataFrame, train_end, calibration_end) -> None:
+    """Fails if a split has no row."""
+    found = {r["split"] for r in df.select(split_of(F.col("day"), train_end, calibration_end).alias("split")).distinct().collect()}  # three values at most
+    empty = [s for s in ("train", "calibration", "test") if s not in found]
+    if empty:
+        raise ValueError(f"empty splits: {empty}")
+
+
+def point_lookup(df: DataFrame, user, day) -> DataFrame:
+    """The row of one user-day; both conditions reach the scan."""
+    return df.filter((F.col("user_id") == F.lit(user)) & (F.col("day") == F.lit(day).cast("date")))
+
+
 def align(base: DataFrame, extra: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """One row: rows, repeated keys and keys missing on either side."""
     a = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("a"))

@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, value: str, sums: dict[str, Column], descending: bool = False, parts: int = 64) -> DataFrame:
+SAMPLE = 4000
+
+
+def running(df: DataFrame, value: str, sums: dict[str, Column], descending: bool = False, parts: int | None = None) -> DataFrame:
     """``df`` with, for each name, the sum up to and including the row in the order of ``value``.
 
-    ``value`` is numeric and unique. Approximate quantiles cut the table into
-    ``parts`` ranges; the ranges' totals (``parts`` + 1 rows) are summed in one
+    ``value`` is unique and of any type that has an order (descending: numeric).
+    A sample of bounded size, the values with the least hashes, cuts the table into ``parts`` ranges
+    (default: the shuffle partitions, 64 at least); the ranges' totals are summed in one
     task and sent back, and the rest of each sum is taken within its range.
     """
+    parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     v = -F.col(value) if descending else F.col(value)
-    cuts = df.agg(F.percentile_approx(v, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(2000)).alias("__cuts"))
+    sample = df.filter(v.isNotNull()).select(v.alias("v")).orderBy(F.xxhash64("v")).limit(SAMPLE)
+    cuts = sample.agg(F.sort_array(F.collect_list("v")).alias("s"))
+    every = F.greatest(F.ceil(F.size("s") / parts), F.lit(1))
+    cuts = cuts.select(F.filter("s", lambda x, i: (i + 1) % every == 0).alias("__cuts"))
     held = df.withColumns({f"__{n}": c for n, c in sums.items()}).crossJoin(F.broadcast(cuts))  # one row
-    held = held.withColumn("__part", F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < v))).drop("__cuts")
+    held = held.withColumn("__part", F.size(F.filter("__cuts", lambda c: c < v))).drop("__cuts")
     totals = held.groupBy("__part").agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in sums])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("__part", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums])

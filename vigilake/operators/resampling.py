@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilake.sources.scratch import written
+
 
 def poisson_weight(key: list[str], replicate: str, seed: int = 42, most: int = 12) -> Column:
     """A Poisson(1) count from a hash of the key and replicate: one key has one count in a replicate on every run."""
@@ -79,6 +81,7 @@ def allocate(df: DataFrame, label: str = "is_malicious") -> DataFrame:
     from vigilake.operators.ordered import running
 
     users = df.groupBy("user_id").agg(F.max(label).alias("malicious"), F.min(F.when(F.col(label) == 1, F.col("day"))).alias("onset"))
+    users = written(users, "users")
     good = running(users.filter("malicious = 0").select("user_id"), "user_id", {"r": F.lit(1)}).select("user_id", F.lit(0).alias("malicious"), ((F.col("r") - 1) % 10).alias("m"))
     bad = users.filter("malicious = 1")
     days = running(bad.groupBy(F.datediff("onset", F.lit("1970-01-01").cast("date")).alias("d")).agg(F.count(F.lit(1)).alias("c")), "d", {"upto": F.col("c")}).select("d", (F.col("upto") - F.col("c")).alias("before"))

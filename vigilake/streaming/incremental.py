@@ -25,7 +25,7 @@ def user_day_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
 def suppress_alerts(alerts: DataFrame, days: int) -> DataFrame:
     """(user_id, day) of the alerts that stay: a user's next one comes at least ``days`` days after the last that stayed.
 
-    The state is one day a user. Days of one user must arrive in order across
+    The state is one day a user, whose id may be of any type. Days of one user must arrive in order across
     batches; within a batch they are sorted.
     """
 
@@ -41,4 +41,4 @@ def suppress_alerts(alerts: DataFrame, days: int) -> DataFrame:
             state.update((last,))
         yield pd.DataFrame({"user_id": [key[0]] * len(out), "day": out})
 
-    return alerts.select("user_id", "day").groupBy("user_id").applyInPandasWithState(run, "user_id long, day date", "last int", "append", GroupStateTimeout.NoTimeout)
+    return alerts.select("user_id", "day").groupBy("user_id").applyInPandasWithState(run, f"user_id {alerts.schema['user_id'].dataType.simpleString()}, day date", "last int", "append", GroupStateTimeout.NoTimeout)
