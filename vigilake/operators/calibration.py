@@ -45,18 +45,20 @@ def confidence(category: Column, alpha: float) -> Column:
 
 
 def coverage(df: DataFrame, alphas: tuple[float, ...] = ALPHAS, label: str = "is_malicious") -> DataFrame:
-    """(alpha, n, coverage, coverage_pos, coverage_neg, n_single, n_both, n_empty) of a frame with p1 and p0."""
-    parts = []
-    for alpha in alphas:
+    """(alpha, n, coverage, coverage_pos, coverage_neg, n_single, n_both, n_empty) of a frame with p1 and p0, all alphas in one pass."""
+    y = F.col(label) == 1
+    stats = []
+    for i, alpha in enumerate(alphas):
         c = set_category(F.col("p1"), F.col("p0"), alpha)
-        y = F.col(label) == 1
-        hit = F.when(y, F.col("p1") > alpha).otherwise(F.col("p0") > alpha)
-        rows = df.withColumn("c", c).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(hit.cast("int")).alias("coverage"), F.avg(F.when(y, hit.cast("int"))).alias("coverage_pos"), F.avg(F.when(~y, hit.cast("int"))).alias("coverage_neg"),
-            F.count_if(F.col("c").isin("{0}", "{1}")).alias("n_single"), F.count_if(F.col("c") == "{0,1}").alias("n_both"), F.count_if(F.col("c") == "{}").alias("n_empty"),
-        )
-        parts.append(rows.select(F.lit(alpha).alias("alpha"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+        hit = F.when(y, F.col("p1") > alpha).otherwise(F.col("p0") > alpha).cast("int")
+        stats += [
+            F.avg(hit).alias(f"coverage_{i}"), F.avg(F.when(y, hit)).alias(f"coverage_pos_{i}"), F.avg(F.when(~y, hit)).alias(f"coverage_neg_{i}"),
+            F.count_if(c.isin("{0}", "{1}")).alias(f"n_single_{i}"), F.count_if(c == "{0,1}").alias(f"n_both_{i}"), F.count_if(c == "{}").alias(f"n_empty_{i}"),
+        ]
+    names = ["coverage", "coverage_pos", "coverage_neg", "n_single", "n_both", "n_empty"]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *stats)
+    each = [F.struct(F.lit(a).alias("alpha"), F.col("n"), *[F.col(f"{x}_{i}").alias(x) for x in names]) for i, a in enumerate(alphas)]
+    return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
 def crosstab(df: DataFrame, alpha: float = 0.05, mask: str = "alert", label: str = "is_malicious") -> DataFrame:

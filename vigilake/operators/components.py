@@ -52,10 +52,21 @@ def robust_z_grouped(df: DataFrame, col: str, out: str = "z", min_history: int =
 
 
 def behaviour_risk(df: DataFrame, features: list[str], out: str = "r_behavior", min_history: int = MIN_HISTORY) -> DataFrame:
-    """Mean over the features of Phi(min(|z|, 3))."""
-    held = df
-    for i, f in enumerate(features):
-        held = robust_z(held, f, f"__z{i}", min_history)
+    """Mean over the features of Phi(min(|z|, 3)); one pass over each user's days makes the z of all features."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day", kind="stable")
+        x = pdf[features].to_numpy(float)
+        z = np.zeros(x.shape)
+        for d in range(max(1, min_history), len(x)):
+            m = np.median(x[:d], axis=0)
+            mad = np.median(np.abs(x[:d] - m), axis=0)
+            z[d] = np.where(mad < ZERO_MAD, 0.0, (x[d] - m) / (mad + EPS))
+        return pdf[["user_id", "day"]].assign(**{f"__z{i}": z[:, i] for i in range(len(features))})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select("user_id", "day").schema.fields)
+    made = df.select("user_id", "day", *features).groupBy("user_id").applyInPandas(run, kinds + "".join(f", `__z{i}` double" for i in range(len(features))))
+    held = df.join(made, ["user_id", "day"])
     total = sum((normal_cdf(clip_z(F.col(f"__z{i}"))) for i in range(len(features))), F.lit(0.0))
     return held.withColumn(out, total / float(len(features))).drop(*[f"__z{i}" for i in range(len(features))])
 

@@ -18,9 +18,9 @@ def linear_contributions(df: DataFrame, weights: dict[str, float], means: dict[s
     return df.withColumns(cols).withColumn("margin", sum((F.lit(w) * F.col(f) for f, w in weights.items()), F.lit(0.0)))
 
 
-def reconstruction(df: DataFrame, features: list[str], bias: float, margin: str = "margin") -> DataFrame:
+def reconstruction(df: DataFrame, features: list[str], bias: float | Column, margin: str = "margin") -> DataFrame:
     """One row: the largest gap between margin and bias plus contributions."""
-    total = sum((F.col(f"contribution_{f}") for f in features), F.lit(bias))
+    total = sum((F.col(f"contribution_{f}") for f in features), bias if isinstance(bias, Column) else F.lit(bias))
     return df.agg(F.max(F.abs(F.col(margin) - total)).alias("max_gap"))
 
 

@@ -18,6 +18,14 @@ def check_features(df: DataFrame, features: list[str]) -> list[str]:
     return features
 
 
+def check_order(df: DataFrame, features: list[str], keys: tuple[str, ...] = ("user_id", "day")) -> list[str]:
+    """The features, if they are all that ``df`` has besides ``keys``, in that order; else an error names what differs."""
+    have = [c for c in df.columns if c not in keys]
+    if have != features:
+        raise ValueError(f"missing: {[f for f in features if f not in have]}, extra: {[c for c in have if c not in features]}, order: {have}")
+    return features
+
+
 def _with_weights(df: DataFrame, label: str) -> DataFrame:
     """Positives weigh as many rows as there are negatives to each."""
     ratio = F.broadcast(df.agg(((F.count(F.lit(1)) - F.sum(label)) / F.greatest(F.sum(label), F.lit(1))).alias("__ratio")))
@@ -41,6 +49,13 @@ def predict(model, df: DataFrame, out: str = "score") -> DataFrame:
     return fitted.transform(assembler.transform(df)).withColumn(out, vector_to_array("probability")[1]).drop(*made)
 
 
+def margin(model, df: DataFrame, out: str = "margin") -> DataFrame:
+    """``df`` with the trees' summed and weighted predictions for class 1."""
+    assembler, fitted = model
+    made = {"rawPrediction", "probability", "prediction", "__x"}
+    return fitted.transform(assembler.transform(df)).withColumn(out, vector_to_array("rawPrediction")[1]).drop(*made)
+
+
 def importances(model, features: list[str]) -> dict[str, float]:
     """Each feature's share of the gain."""
     gain = model[1].featureImportances.toArray()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from vigilake.functions.scalar import wilson
 from vigilake.operators.ordered import by_score, running
 
 
-def binary_metrics(df: DataFrame, alert: Column, label: Column, by: list[str] | None = None) -> DataFrame:
-    """Confusion counts and their ratios; degenerate ratios are 0."""
+def binary_metrics(df: DataFrame, alert: Column, label: Column, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Confusion counts and their ratios; degenerate ratios are 0. ``weight`` names a column of how many rows a row stands for."""
     y, a = label == 1, F.coalesce(alert, F.lit(False))
+    count = F.count_if if weight is None else (lambda c: F.sum(F.when(c, F.col(weight)).otherwise(0)))
     c = df.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(y).alias("n_positives"), F.count_if(a & y).alias("tp"), F.count_if(a & ~y).alias("fp"), F.count_if(~a & y).alias("fn"), F.count_if(~a & ~y).alias("tn")
+        count(F.lit(True)).alias("n"), count(y).alias("n_positives"), count(a & y).alias("tp"), count(a & ~y).alias("fp"), count(~a & y).alias("fn"), count(~a & ~y).alias("tn")
     )
     d = {k: F.col(k).cast("double") for k in ("tp", "fp", "fn", "tn", "n")}
     least = lambda x: F.greatest(x, F.lit(1.0))
@@ -59,6 +62,20 @@ def ranking_metrics(df: DataFrame, score: str = "score", label: str = "y") -> Da
     return sums.select("n", "n_positives", F.when(both, F.col("won") / F.when(both, p.cast("double") * m)).alias("roc_auc"), F.when(p > 0, F.col("area") / F.when(p > 0, p)).alias("pr_auc"))
 
 
+def ranking_by(df: DataFrame, by: list[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
+    """(by, n, n_positives, roc_auc, pr_auc) of each group, all groups in one running sum over their distinct scores."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    counts = df.filter(F.col(score).isNotNull()).groupBy(*by, (-F.col(score)).alias("__s")).agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).alias("pos"))
+    held = running(counts.withColumn("__k", F.struct(*by, "__s")), "__k", {"tp": F.col("pos"), "at": F.col("n")})
+    base = held.groupBy(*by).agg(F.min(F.col("tp") - F.col("pos")).alias("__tp"), F.min(F.col("at") - F.col("n")).alias("__at"))
+    points = held.join(base, by).withColumn("tp", F.col("tp") - F.col("__tp")).withColumn("at", F.col("at") - F.col("__at"))
+    neg = (F.col("n") - F.col("pos")).cast("double")
+    sums = points.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_positives"), F.sum(neg * (F.col("tp") - F.col("pos")) + neg * F.col("pos") / 2).alias("won"), F.sum(F.col("pos").cast("double") * F.col("tp") / F.col("at")).alias("area"))
+    p, m = F.col("n_positives"), F.col("n") - F.col("n_positives")
+    both = (p > 0) & (m > 0)
+    return sums.select(*by, "n", "n_positives", F.when(both, F.col("won") / F.when(both, p.cast("double") * m)).alias("roc_auc"), F.when(p > 0, F.col("area") / F.when(p > 0, p)).alias("pr_auc"))
+
+
 def top_k_metrics(df: DataFrame, ks: tuple[int, ...] = (10, 30, 50, 100), score: str = "score", label: str = "is_malicious", keys: tuple[str, ...] = ("user_id", "day")) -> DataFrame:
     """(k, precision, recall) of the k highest scores; ties by key; k is held to the rows there are."""
     top = df.orderBy(F.desc(score), *keys).limit(max(ks)).select(score, *keys, label)
@@ -126,12 +143,27 @@ def gini(counts: DataFrame, col: str) -> DataFrame:
 
 
 def user_diagnostics(df: DataFrame, high: float = 0.5, score: str = "score", label: str = "is_malicious", mask: str = "alert") -> DataFrame:
-    """Of each user: days, highest, mean and top-three mean score, days over ``high``, alerts, label."""
-    top = F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 3)  # a user has one score a day
+    """Of each user: days, highest, mean and top-three mean score, days over ``high``, alerts, label.
+
+    Scores are added up as decimals of nine digits, so a mean doesn't depend on the order of its rows.
+    """
+    exact = F.col(score).cast("decimal(18,9)")
+    top = F.slice(F.sort_array(F.collect_list(exact), asc=False), 1, 3)  # a user has one score a day
     return df.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_days"), F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), F.aggregate(top, F.lit(0.0), lambda a, x: a + x).alias("__top"),
+        F.count(F.lit(1)).alias("n_days"), F.max(score).alias("max_score"), F.sum(exact).cast("double").alias("__sum"),
+        F.aggregate(top, F.lit(0).cast("decimal(28,9)"), lambda a, x: (a + x).cast("decimal(28,9)")).cast("double").alias("__top"),
         F.count_if(F.col(score) >= high).alias("high_days"), F.count_if(F.col(mask)).alias("n_alerts"), F.max(label).alias("label"),
-    ).withColumn("top3_mean", F.col("__top") / F.least("n_days", F.lit(3))).drop("__top")
+    ).withColumn("mean_score", F.col("__sum") / F.col("n_days")).withColumn("top3_mean", F.col("__top") / F.least("n_days", F.lit(3))).drop("__top", "__sum")
+
+
+USER_SCORES = ["max_score", "mean_score", "top3_mean", "high_days", "n_alerts"]
+
+
+def user_level_auc(users: DataFrame) -> DataFrame:
+    """(statistic, roc_auc) of each statistic of :func:`user_diagnostics` as a score of the user's label, and as ``precision_at_5`` the share of malicious users among the five with the highest score (ties to the smaller user)."""
+    parts = [ranking_metrics(users.select(F.col(s).cast("double").alias("score"), "label"), label="label").select(F.lit(s).alias("statistic"), "roc_auc") for s in USER_SCORES]
+    top = users.orderBy(F.desc("max_score"), "user_id").limit(5).agg(F.avg("label").alias("roc_auc")).select(F.lit("precision_at_5").alias("statistic"), "roc_auc")
+    return reduce(DataFrame.unionByName, parts).unionByName(top)
 
 
 def detection(df: DataFrame, label: str = "is_malicious", mask: str = "alert") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.scalar import ALERT_AT
 from vigilake.operators.metrics import best_f1, binary_metrics, gini
+from vigilake.sources.scratch import written
 
 #: The candidate policies.
 CAPACITIES, PERCENTILES = [5, 10, 20, 30, 50, 100], [0.0005, 0.001, 0.0025, 0.005, 0.01]
@@ -59,10 +60,41 @@ def candidates(t_frozen: float = ALERT_AT, t_p50: float | None = None) -> dict[s
     return found | {f"CAP_{k}": ("capacity", k) for k in CAPACITIES} | {f"PCT_{p}": ("percentile", p) for p in PERCENTILES}
 
 
-def evaluate(df: DataFrame, policies: Mapping[str, tuple[str, float]], label: str = "is_malicious") -> DataFrame:
-    """The metrics of each policy, by ``candidate``."""
-    parts = [binary_metrics(policy(df, kind, param), F.col("alert"), F.col(label)).select(F.lit(name).alias("candidate"), F.lit(kind).alias("kind"), "*") for name, (kind, param) in policies.items()]
-    return reduce(DataFrame.unionByName, parts)
+def masks(df: DataFrame, policies: Mapping[str, tuple[str, float]], score: str = "score") -> DataFrame:
+    """``df`` with ``candidates``, an array of (candidate, kind, alert): all policies as columns of one frame.
+
+    The capacities share one rank a day, and the percentiles one cut each from
+    the running counts of the distinct scores; only rows tied at a cut are ranked.
+    """
+    from vigilake.operators.ordered import running
+
+    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc(score), "user_id"))
+    held = df.withColumn("__day_rank", rank) if any(k == "capacity" for k, _ in policies.values()) else df
+    shares = sorted({p for k, p in policies.values() if k == "percentile"})
+    if shares:
+        counts = df.groupBy(F.col(score).alias("__s")).agg(F.count(F.lit(1)).alias("__c"))
+        upto = running(counts, "__s", {"__upto": F.col("__c")}, descending=True).select("__s", (F.col("__upto") - F.col("__c")).alias("__before"))
+        n = df.agg(F.count(F.lit(1)).alias("__n"))
+        held = held.join(upto, F.col(score) == F.col("__s")).crossJoin(F.broadcast(n))  # one row
+        cut = reduce(lambda a, b: a | b, [(F.col("__before") < F.ceil(F.col("__n") * F.lit(p))) & (F.col("__before") + F.col("__ties") > F.ceil(F.col("__n") * F.lit(p))) for p in shares])
+        held = held.withColumn("__ties", F.count(F.lit(1)).over(Window.partitionBy(score)))
+        tied = F.row_number().over(Window.partitionBy(F.when(cut, F.col(score)), F.when(~cut, F.struct("user_id", "day"))).orderBy("user_id", "day"))
+        held = held.withColumn("__rank", F.col("__before") + F.when(cut, tied).otherwise(F.lit(1)))
+    alert = {"threshold": lambda p: F.col(score) >= F.lit(p), "capacity": lambda p: F.col("__day_rank") <= int(p), "percentile": lambda p: F.col("__rank") <= F.ceil(F.col("__n") * F.lit(p))}
+    each = [F.struct(F.lit(name).alias("candidate"), F.lit(kind).alias("kind"), alert[kind](param).alias("alert")) for name, (kind, param) in policies.items()]
+    return held.select(*[F.col(f"`{c}`") for c in df.columns], F.array(*each).alias("candidates"))
+
+
+def by_candidate(df: DataFrame, policies: Mapping[str, tuple[str, float]], label: str = "is_malicious", by: list[str] | None = None) -> DataFrame:
+    """(candidate, kind, by, alert, label, n): rows counted before they are multiplied by the candidates' number."""
+    held = masks(df, policies).withColumnRenamed(label, "__y")
+    few = held.groupBy(*(by or []), "__y", "candidates").agg(F.count(F.lit(1)).alias("__w"))
+    return few.select(*(by or []), F.col("__y").alias(label), "__w", F.explode("candidates").alias("x")).select(*(by or []), label, "__w", "x.candidate", "x.kind", "x.alert")
+
+
+def evaluate(df: DataFrame, policies: Mapping[str, tuple[str, float]], label: str = "is_malicious", by: list[str] | None = None) -> DataFrame:
+    """The metrics of each policy, by ``candidate`` and ``kind`` (and ``by``), in one pass over ``df``."""
+    return binary_metrics(by_candidate(df, policies, label, by), F.col("alert"), F.col(label), ["candidate", "kind", *(by or [])], weight="__w")
 
 
 def day_windows(df: DataFrame, n: int | None = None, days: int | None = None) -> DataFrame:
@@ -121,7 +153,7 @@ def user_concentration(df: DataFrame, mask: str = "alert") -> DataFrame:
 def policy_metrics(df: DataFrame, label: str = "is_malicious", mask: str = "alert", days: int = 7) -> DataFrame:
     """One row: metrics, alerts by user over all users, Gini, weeks without an alert."""
     users = df.groupBy("user_id").agg(F.count_if(F.col(mask)).alias("n"))
-    spread = users.agg(F.count_if(F.col("n") > 0).alias("n_users_alerted"), F.max("n").alias("most_by_user"), F.avg("n").alias("mean_by_user"))
+    spread = users.agg(F.count_if(F.col("n") > 0).alias("n_users_alerted"), F.max("n").alias("most_by_user"), F.avg("n").alias("mean_by_user"), (F.sum("n") / F.greatest(F.count_if(F.col("n") > 0), F.lit(1))).alias("mean_by_alerted"))
     return binary_metrics(df, F.col(mask), F.col(label)).crossJoin(spread).crossJoin(gini(users, "n")).crossJoin(zero_alert_chunks(df, days, mask).select("n_zero"))
 
 
@@ -133,6 +165,7 @@ def rolling_thresholds(df: DataFrame, days: int, frozen: float = ALERT_AT, label
     counts = day_windows(df, days=days).groupBy("window", F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
     windows = counts.select(F.col("window").alias("at")).distinct()
     past = windows.join(counts, F.col("window") < F.col("at")).groupBy("at", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    past = written(past, "past")
     fitted = best_f1(past, by=["at"]).select(F.col("at").alias("window"), F.when(F.col("f1") > 0, F.col("threshold")).alias("threshold"))
     return windows.select(F.col("at").alias("window")).join(fitted, "window", "left").select("window", F.coalesce("threshold", F.lit(frozen)).alias("threshold"))
 

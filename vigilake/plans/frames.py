@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilake.functions.scalar import SENSITIVE_PREFIXES
 from vigilake.operators import features, graph
 from vigilake.sources import adapters
+from vigilake.sources.scratch import written
 
 WINDOW, TRAIN_END, CALIBRATION_END, AT = 7, "2024-01-18", "2024-01-24", 0.5
 
@@ -28,7 +29,7 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User-days with counts, graph features, label, surrogate score, split and alert."""
+    """User-days with counts, graph features, label, surrogate score, split and alert, written once for the query that asks."""
     held = logs(spark, sf_dir)
     base = user_days(spark, sf_dir)
     base = graph.graph_features(held["logon"], held["file"], adapters.departments(held["events"]), base)
@@ -36,7 +37,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: F.least(F.col(c), F.lit(4)) / F.lit(4.0)
     score = 0.25 * part("after_hours_login_count") + 0.25 * part("unusual_access_count") + 0.25 * (1 - F.col("device_consistency_score")) + 0.25 * part("usb_connection_count")
     base = base.withColumn("score", F.round(F.least(F.lit(1.0), score), 6)).withColumn("split", features.split_of(F.col("day"), TRAIN_END, CALIBRATION_END))
-    return base.withColumn("alert", F.col("score") >= AT)
+    return written(base.withColumn("alert", F.col("score") >= AT), "scored")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigilake.functions import scalar
 from vigilake.operators import drift, features, metrics, policies
 from vigilake.plans.frames import SCORED_SQL, rounded, scored
 from vigilake.sources import adapters
@@ -39,6 +40,7 @@ def best_sql(source: str, score: str = "score", label: str = "is_malicious") ->
 FROM (SELECT DISTINCT {score} AS t FROM {source}) s CROSS JOIN {source} b GROUP BY s.t"""
 
 
+WIN = "win AS (SELECT *, CAST((dense_rank() OVER (ORDER BY day) - 1) // 7 AS INTEGER) AS w FROM base)"
 ROC = """pts AS (SELECT score AS threshold, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, n, pos FROM (SELECT score, count(*) AS n, sum(is_malicious) AS pos FROM base GROUP BY ALL) WINDOW w AS (ORDER BY score DESC))"""
 #: Users in thirds by activity are the strata that the reports compare.
 FOUND = """bad AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS rk FROM base WHERE is_malicious = 1),
@@ -118,10 +120,13 @@ def detection_by_user(spark, sf):
 
 
 @query("""SELECT 'scenario' AS field, CAST(scenario AS VARCHAR) AS value, count(*) AS n_users, count(*) FILTER (detected) AS n_detected FROM det2 JOIN incidents USING (user_id) GROUP BY scenario
-UNION ALL SELECT 'first_week', CAST(first_week AS VARCHAR), count(*), count(*) FILTER (detected) FROM det2 GROUP BY first_week""", SCORED_SQL + ",\n" + FOUND)
+UNION ALL SELECT 'first_week', CAST(first_week AS VARCHAR), count(*), count(*) FILTER (detected) FROM det2 GROUP BY first_week
+UNION ALL SELECT 'length', CASE WHEN n_days <= 2 THEN 'short' WHEN n_days >= 4 THEN 'long' ELSE 'middle' END AS l, count(*), count(*) FILTER (detected) FROM det2 GROUP BY l
+UNION ALL SELECT 'department', CAST(user_id % 5 AS VARCHAR) AS l, count(*), count(*) FILTER (detected) FROM det2 GROUP BY l""", SCORED_SQL + ",\n" + FOUND)
 def strata_grouping_sets(spark, sf):
     found = metrics.detection(scored(spark, sf)).join(adapters.incidents(adapters.events(spark, sf)).select("user_id", "scenario"), "user_id")
-    return metrics.coverage_by_strata(found, ["scenario", "first_week"])
+    found = found.withColumns({"length": scalar.length_class(F.col("n_days"), 2, 4), "department": F.col("user_id") % 5})
+    return metrics.coverage_by_strata(found, ["scenario", "first_week", "length", "department"])
 
 
 @query("""SELECT b.bucket, coalesce(n_users, 0) AS n_users, coalesce(n_detected, 0) AS n_detected, CAST(coalesce(missed, 0) AS BIGINT) AS missed_days, CAST(coalesce(alerts, 0) AS BIGINT) AS n_alerts
@@ -145,8 +150,8 @@ def user_concentration(spark, sf):
     return rounded(policies.user_concentration(scored(spark, sf)))
 
 
-@query("""SELECT user_id, count(*) AS n_days, max(score) AS max_score, round(avg(score), 6) AS mean_score, count(*) FILTER (score >= 0.5) AS high_days, count(*) FILTER (alert) AS n_alerts, max(is_malicious) AS label,
-round(list_sum(list(score ORDER BY score DESC)[1:3]) / least(count(*), 3), 6) AS top3_mean FROM base GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS n_days, max(score) AS max_score, round(sum(CAST(score AS DECIMAL(18, 9)))::DOUBLE / count(*), 6) AS mean_score, count(*) FILTER (score >= 0.5) AS high_days, count(*) FILTER (alert) AS n_alerts, max(is_malicious) AS label,
+round(list_sum(list(CAST(score AS DECIMAL(18, 9)) ORDER BY score DESC)[1:3])::DOUBLE / least(count(*), 3), 6) AS top3_mean FROM base GROUP BY user_id""")
 def user_diagnostics(spark, sf):
     return rounded(metrics.user_diagnostics(scored(spark, sf)))
 
@@ -177,10 +182,11 @@ def mask_percentile(spark, sf):
     return policies.top_share(scored(spark, sf), 0.01).filter("alert").select("user_id", "day", "score")
 
 
-CANDIDATES = {"T_FROZEN": ("threshold", 0.5), "CAP_5": ("capacity", 5), "PCT_0.01": ("percentile", 0.01)}
-CAND = """cand AS (SELECT 'T_FROZEN' AS candidate, 'threshold' AS kind, user_id, day, is_malicious, score >= 0.5 AS hit FROM base
-UNION ALL SELECT 'CAP_5', 'capacity', user_id, day, is_malicious, row_number() OVER (PARTITION BY day ORDER BY score DESC, user_id) <= 5 FROM base
-UNION ALL SELECT 'PCT_0.01', 'percentile', user_id, day, is_malicious, row_number() OVER (ORDER BY score DESC, user_id, day) <= ceil(0.01 * (SELECT count(*) FROM base)) FROM base)"""
+CANDIDATES = policies.candidates(0.5, 0.6)
+_HITS = {
+    "threshold": "score >= {p}", "capacity": "row_number() OVER (PARTITION BY day ORDER BY score DESC, user_id) <= {p}", "percentile": "row_number() OVER (ORDER BY score DESC, user_id, day) <= ceil({p}::DOUBLE * (SELECT count(*) FROM base))",
+}
+CAND = "cand AS (" + "\nUNION ALL ".join(f"SELECT '{n}' AS candidate, '{k}' AS kind, user_id, day, is_malicious, {_HITS[k].format(p=p)} AS hit FROM base" for n, (k, p) in CANDIDATES.items()) + ")"
 
 
 @query(metrics_sql("cand", "candidate, kind", "hit"), SCORED_SQL + ",\n" + CAND)
@@ -194,15 +200,10 @@ def policy_candidates(spark, sf):
 def policy_selected(spark, sf):
     df = scored(spark, sf)
     overall = policies.evaluate(df, CANDIDATES)
-    parts = None
-    for name, (kind, param) in CANDIDATES.items():
-        m = policies.day_windows(policies.policy(df, kind, param), n=4)
-        own = metrics.binary_metrics(m, F.col("alert"), F.col("is_malicious"), ["window"]).select(F.lit(name).alias("candidate"), "window", "alert_rate", "recall")
-        parts = own if parts is None else parts.unionByName(own)
+    parts = policies.evaluate(policies.day_windows(df, n=4), CANDIDATES, by=["window"])
     return policies.select_policy(policies.screens(overall, parts)).select("candidate")
 
 
-WIN = "win AS (SELECT *, CAST((dense_rank() OVER (ORDER BY day) - 1) // 7 AS INTEGER) AS w FROM base)"
 
 
 @query(f"""SELECT m.*, score_min, score_max, score_p50, score_p90, score_p99 FROM (SELECT w AS window, * EXCLUDE (w) FROM ({metrics_sql("win", "w")})) m JOIN (
@@ -252,9 +253,11 @@ def dedup_alerts(spark, sf):
     return policies.suppress(scored(spark, sf), 3).filter("emitted").select("user_id", "day")
 
 
-@query("""SELECT policy, n_alerts, round(f1, 6) AS f1 FROM (SELECT 'P0' AS policy, count(*) FILTER (alert) AS n_alerts, 2.0 * count(*) FILTER (alert AND is_malicious = 1) / greatest(count(*) FILTER (alert) + sum(is_malicious), 1e-9) AS f1 FROM base)""")
+@query(f"""SELECT 'P0' AS policy, m.*, u.*, (SELECT round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*)::DOUBLE, 6) FROM (SELECT n::DOUBLE AS n, row_number() OVER (ORDER BY n) AS i FROM (SELECT count(*) FILTER (alert) AS n FROM base GROUP BY user_id))) AS gini,
+(SELECT count(*) FILTER (a = 0) FROM (SELECT w, count(*) FILTER (alert) AS a FROM win GROUP BY w)) AS n_zero FROM ({metrics_sql("base")}) m CROSS JOIN (SELECT count(*) FILTER (n > 0) AS n_users_alerted, max(n) AS most_by_user, round(avg(n), 6) AS mean_by_user, round(sum(n)::DOUBLE / greatest(count(*) FILTER (n > 0), 1), 6) AS mean_by_alerted
+FROM (SELECT count(*) FILTER (alert) AS n FROM base GROUP BY user_id)) u""", SCORED_SQL + ",\n" + WIN)
 def policy_metrics_base(spark, sf):
-    return rounded(policies.policy_metrics(scored(spark, sf)).select(F.lit("P0").alias("policy"), "n_alerts", "f1"))
+    return rounded(policies.policy_metrics(scored(spark, sf)).select(F.lit("P0").alias("policy"), "*"))
 
 
 @query()

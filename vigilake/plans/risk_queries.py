@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from vigilake.operators import calibration, components, decision, drift, learned, metrics, policies, resampling
+from vigilake.operators import calibration, components, decision, drift, learned, metrics, policies, resampling, treeshap
 from vigilake.operators.features import COUNTS
 from vigilake.plans.frames import SCORED_SQL, rounded, scored
 from vigilake.plans.metric_queries import WIN
@@ -108,10 +108,12 @@ def ecdf_map(spark, sf):
     return rounded(drift.ecdf(p["train"], p["test"], "score").select("user_id", "day", "p"))
 
 
-@query("""SELECT round(max(abs(a / na - b / nb)), 6) AS ks, max(na)::BIGINT AS n_a, max(nb)::BIGINT AS n_b FROM (SELECT score, sum(count(*) FILTER (split = 'train')) OVER (ORDER BY score)::DOUBLE AS a, sum(count(*) FILTER (split = 'test')) OVER (ORDER BY score)::DOUBLE AS b FROM base GROUP BY score)
-CROSS JOIN (SELECT count(*) FILTER (split = 'train')::DOUBLE AS na, count(*) FILTER (split = 'test')::DOUBLE AS nb FROM base)""")
+@query("""SELECT round(ks, 6) AS ks, n_a, n_b, round(CASE WHEN lam < 0.3 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam))))) END, 6) AS p_value
+FROM (SELECT *, (sqrt(n_a * n_b / (n_a + n_b)::DOUBLE) + 0.12 + 0.11 / sqrt(n_a * n_b / (n_a + n_b)::DOUBLE)) * ks AS lam FROM (
+SELECT max(abs(a / na - b / nb)) AS ks, max(na)::BIGINT AS n_a, max(nb)::BIGINT AS n_b FROM (SELECT score, sum(count(*) FILTER (split = 'train')) OVER (ORDER BY score)::DOUBLE AS a, sum(count(*) FILTER (split = 'test')) OVER (ORDER BY score)::DOUBLE AS b FROM base GROUP BY score)
+CROSS JOIN (SELECT count(*) FILTER (split = 'train')::DOUBLE AS na, count(*) FILTER (split = 'test')::DOUBLE AS nb FROM base)))""")
 def ks_stat(spark, sf):
-    return rounded(drift.ks(scored(spark, sf), "score", "split", "train", "test").drop("p_value"))
+    return rounded(drift.ks(scored(spark, sf), "score", "split", "train", "test"))
 
 
 @query("""SELECT round(sum((o - e) * ln(o / e)), 6) AS psi FROM (SELECT greatest(coalesce(r, 0) / (SELECT count(*) FROM base WHERE split = 'train')::DOUBLE, 1e-6) AS e, greatest(coalesce(a, 0) / (SELECT count(*) FROM base WHERE split = 'test')::DOUBLE, 1e-6) AS o
@@ -176,9 +178,10 @@ def expanding_robust_z_grouped(spark, sf):
     return rounded(components.robust_z_grouped(scored(spark, sf).select("user_id", "day", "login_count"), "login_count").select("user_id", "day", "z"))
 
 
-@query(f"SELECT user_id, day, round(({phi_sql('least(abs(a.z), 3.0)')} + {phi_sql('least(abs(b.z), 3.0)')}) / 2.0, 6) AS r_behavior FROM z1 a JOIN z2 b USING (user_id, day)", SCORED_SQL + ",\n" + z_sql("login_count", "z1") + ",\n" + z_sql("http_activity_count", "z2"))
+@query(f"SELECT user_id, day, round(({' + '.join(phi_sql(f'least(abs(z{i}.z), 3.0)') for i in range(len(COUNTS)))}) / {len(COUNTS)}.0, 6) AS r_behavior FROM z0 {' '.join(f'JOIN z{i} USING (user_id, day)' for i in range(1, len(COUNTS)))}",
+       SCORED_SQL + "".join(",\n" + z_sql(f, f"z{i}") for i, f in enumerate(COUNTS)))
 def behaviour_risk(spark, sf):
-    return rounded(components.behaviour_risk(scored(spark, sf), ["login_count", "http_activity_count"]).select("user_id", "day", "r_behavior"))
+    return rounded(components.behaviour_risk(scored(spark, sf), COUNTS).select("user_id", "day", "r_behavior"))
 
 
 def _mid(f: str) -> str:
@@ -208,11 +211,21 @@ def ewma_scores(spark, sf):
     return rounded(components.ewma(scored(spark, sf), 1 / 3).select("user_id", "day", "smoothed"), 9)
 
 
-@query()
+PEERS = "bp a JOIN bp b ON b.pool = a.pool AND b.user_id <> a.user_id AND b.day < a.day"
+CONTEXT = f"""roles AS (SELECT DISTINCT user_id, user_id % 3 AS role, user_id % 2 AS department FROM base),
+pools AS (SELECT user_id, CASE WHEN count(*) OVER (PARTITION BY role) > 3 THEN 'r' || role WHEN count(*) OVER (PARTITION BY department) > 3 THEN 'd' || department END AS pool FROM roles),
+bp AS MATERIALIZED (SELECT base.*, pool, dayofweek(day) BETWEEN 1 AND 5 AS wk FROM base JOIN pools USING (user_id)),
+usable AS MATERIALIZED (SELECT user_id, day, CASE WHEN ns >= 20 THEN 1 ELSE 2 END AS kind FROM (SELECT a.user_id, a.day, count(*) FILTER (b.wk = a.wk) AS ns, count(*) AS na FROM {PEERS} GROUP BY ALL) WHERE na >= 20),
+md AS MATERIALIZED (SELECT a.user_id, a.day, any_value(kind) AS kind, {', '.join(f'median(b.{f}) AS m{i}' for i, f in enumerate(MODEL))} FROM {PEERS} JOIN usable u ON u.user_id = a.user_id AND u.day = a.day WHERE kind = 2 OR b.wk = a.wk GROUP BY a.user_id, a.day),
+dv AS (SELECT a.user_id, a.day, {', '.join(f'CASE WHEN median(abs(b.{f} - m{i})) < 1e-9 THEN 0.0 ELSE least(abs(any_value(a.{f}) - any_value(m{i})) / (median(abs(b.{f} - m{i})) + 1e-6), 3.0) END AS z{i}' for i, f in enumerate(MODEL))}
+  FROM {PEERS} JOIN md u ON u.user_id = a.user_id AND u.day = a.day WHERE kind = 2 OR b.wk = a.wk GROUP BY a.user_id, a.day)"""
+
+
+@query(f"SELECT user_id, day, round(CASE WHEN z0 IS NULL THEN 0.5 ELSE ({' + '.join(phi_sql(f'z{i}') for i in range(len(MODEL)))}) / {len(MODEL)}.0 END, 6) AS r_context FROM base LEFT JOIN dv USING (user_id, day)", SCORED_SQL.replace("sc AS (", "sc AS MATERIALIZED (") + ",\n" + CONTEXT)
 def context_risk(spark, sf):
-    df = scored(spark, sf).select("user_id", "day", *COUNTS)
+    df = scored(spark, sf).select("user_id", "day", *MODEL)
     roles = df.select("user_id").distinct().select("user_id", (F.col("user_id") % 3).alias("role"), (F.col("user_id") % 2).alias("department"))
-    return rounded(components.context_risk(df, components.peers(roles, 3), COUNTS[:3]).select("user_id", "day", "r_context"))
+    return rounded(components.context_risk(df, components.peers(roles, 3), MODEL).select("user_id", "day", "r_context"))
 
 
 @query("""SELECT component, CAST(bin AS INTEGER) AS bin, round(greatest(-5.0, least(5.0, ln((pos + 1) / (sum(pos) OVER (PARTITION BY component) + 10)) - ln((neg + 1) / (sum(neg) OVER (PARTITION BY component) + 10)))), 6) AS llr
@@ -221,7 +234,17 @@ def binned_ratios(spark, sf):
     return rounded(components.fit_binned_ratios(parts(spark, sf)["train"], ["score", "device_consistency_score"]))
 
 
-@query()
+CDF_OF = ["rare_device_usage_count", "rare_file_type_access_count", "after_hours_login_count", "unusual_access_count", "sensitive_file_access_count"]
+GRIDS = f"gr AS MATERIALIZED (SELECT {', '.join(f'quantile_cont({f}, [{", ".join(str(i / 1000) for i in range(1001))}]) AS g{j}' for j, f in enumerate(CDF_OF))} FROM base WHERE split = 'train')"
+
+
+def _cdf(j: int) -> str:
+    below = f"len(list_filter(g{j}, lambda v: v <= {CDF_OF[j]}))"
+    return f"CASE WHEN {below} = 0 THEN 0.0 WHEN {below} > 1000 THEN 1.0 ELSE ({below} - 1 + ({CDF_OF[j]} - g{j}[{below}]) / (g{j}[{below} + 1] - g{j}[{below}])) / 1000.0 END"
+
+
+@query(f"""SELECT user_id, day, score AS c_ml, round((1 - device_consistency_score + 1 - file_type_consistency_score + {_cdf(0)} + {_cdf(1)}) / 4, 6) AS c_trust, round(({_cdf(2)} + {_cdf(3)} + {_cdf(4)}) / 3, 6) AS c_behavior
+FROM base CROSS JOIN gr WHERE split = 'test'""", SCORED_SQL.replace("sc AS (", "sc AS MATERIALIZED (") + ",\n" + GRIDS)
 def risk_components_v1(spark, sf):
     p = parts(spark, sf)
     return rounded(components.risk_components(p["train"], p["test"]).select("user_id", "day", "c_ml", "c_trust", "c_behavior"))
@@ -242,12 +265,16 @@ CASE WHEN device_consistency_score < 0.5 THEN 'low_device_consistency' END, CASE
 CASE l WHEN 'ALERT' THEN 'escalate_to_incident_response' WHEN 'BORDERLINE' THEN 'queue_for_analyst_review' WHEN 'MONITOR' THEN 'add_to_watchlist' ELSE 'no_action_required' END AS recommended_action,
 CASE l WHEN 'ALERT' THEN 'immediate' WHEN 'BORDERLINE' THEN 'within_24h' WHEN 'MONITOR' THEN 'weekly' ELSE 'none' END AS urgency,
 'Score ' || printf('%.4f', round_even(score, 4)) || CASE l WHEN 'ALERT' THEN ' >= frozen alert threshold 0.6000' WHEN 'BORDERLINE' THEN ' in borderline zone [0.5500, 0.6000)' WHEN 'MONITOR' THEN ' in monitor zone [0.4000, 0.5500)' ELSE ' < conformal threshold 0.4000' END
- || CASE WHEN len(fl) > 0 THEN '; ' || len(fl) || ' trust flag(s) active' ELSE '' END AS rationale, array_to_string(fl, '|') AS trust_flags, CAST(len(fl) AS INTEGER) AS n_trust_flags
-FROM (SELECT pv.*, {LEVEL.replace("score", "pv.score")} AS l, {CATEGORY.format(a=0.05)} AS c, {FLAGS} AS fl FROM pv JOIN base USING (user_id, day))""", SCORED_SQL + ",\n" + CONF)
+ || CASE WHEN len(fl) > 0 THEN '; ' || len(fl) || ' trust flag(s) active' ELSE '' END AS rationale, array_to_string(fl, '|') AS trust_flags, CAST(len(fl) AS INTEGER) AS n_trust_flags,
+{' || \'|\' || '.join(f"'{f}=' || printf('%.6f', {f}::DOUBLE)" for f in decision.GRAPH)} AS graph_features,
+(SELECT string_agg(f || '=' || printf('%.6f', round(v, 6)), '|' ORDER BY abs(v) DESC, i) FROM (SELECT *, row_number() OVER (ORDER BY abs(v) DESC, i) AS r FROM (SELECT unnest([{", ".join(f"'{f}'" for f in MODEL)}]) AS f, unnest([{", ".join(f"{f}::DOUBLE" for f in MODEL)}]) AS v, unnest(range(0, {len(MODEL)})) AS i)) WHERE r <= 3) AS top_reasons
+FROM (SELECT pv.*, {', '.join(f'base.{f}' for f in MODEL)}, {LEVEL.replace("score", "pv.score")} AS l, {CATEGORY.format(a=0.05)} AS c, {FLAGS} AS fl FROM pv JOIN base USING (user_id, day))""", SCORED_SQL + ",\n" + CONF)
 def decision_table(spark, sf):
     p = parts(spark, sf)
     df = decision.decision_table(p["test"], p["calibration"], MODEL, alert=0.6, monitor=0.4)
-    return rounded(df.withColumn("trust_flags", F.array_join("trust_flags", "|")).drop("graph_features", "top_reasons"))
+    values = F.array_join(F.transform(F.map_entries("graph_features"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"]))), "|")
+    reasons = F.array_join(F.transform("top_reasons", lambda x: F.concat(x["feature"], F.lit("="), F.format_string("%.6f", x["value"]))), "|")
+    return rounded(df.withColumns({"trust_flags": F.array_join("trust_flags", "|"), "graph_features": values, "top_reasons": reasons}))
 
 
 @query(f"SELECT {LEVEL} AS risk_level, count(*) AS n FROM base GROUP BY ALL")
@@ -275,17 +302,21 @@ def global_importance(spark, sf):
     return rounded(decision.global_importance(decision.linear_contributions(scored(spark, sf), WEIGHTS, MEANS), list(WEIGHTS)))
 
 
-@query("SELECT true AS exact", "")
+@query()
 def contribution_reconstruction(spark, sf):
-    df = decision.linear_contributions(scored(spark, sf), WEIGHTS, MEANS)
-    return decision.reconstruction(df, list(WEIGHTS), sum(WEIGHTS[f] * MEANS[f] for f in WEIGHTS)).select((F.col("max_gap") < 1e-6).alias("exact"))
+    """The margin that the fitted trees give themselves against the bias and contributions of their export."""
+    df = scored(spark, sf)
+    model = learned.fit_trees(df.filter("split = 'train'"), MODEL, rounds=10, depth=4)
+    made = treeshap.tree_contributions(model, df, MODEL, ["user_id", "day"]).drop("margin")
+    own = learned.margin(model, df).select("user_id", "day", "margin")
+    return decision.reconstruction(made.join(own, ["user_id", "day"]), MODEL, F.col("bias")).select((F.col("max_gap") < 1e-6).alias("exact"), F.lit(len(MODEL)).alias("n_features"))
 
 
 @query("""SELECT user_id, day, score, category FROM (SELECT *, CASE WHEN score >= 0.6 THEN 'alert' WHEN score >= 0.55 THEN 'borderline' WHEN score >= 0.4 THEN 'monitor' END AS category FROM base) WHERE category IS NOT NULL UNION ALL
 SELECT user_id, day, score, 'sample' FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY day, user_id) AS r FROM (SELECT b.*, (SELECT count(*) FROM (SELECT unnest(q) AS c) WHERE c < b.score) AS d FROM base b
- CROSS JOIN (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM base WHERE score < 0.4) WHERE b.score < 0.4)) WHERE r <= 5""")
+ CROSS JOIN (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM base WHERE score < 0.4) WHERE b.score < 0.4)) WHERE r <= 50""")
 def explanation_selection(spark, sf):
-    return decision.explanation_selection(scored(spark, sf), 0.4, 0.6, 0.05, 5)
+    return decision.explanation_selection(scored(spark, sf), 0.4, 0.6, 0.05, 50)
 
 
 @query("""SELECT feature, round(avg(d), 6) AS mean_delta, count(*) FILTER ((round(m + d, 9) >= 0.5) <> (round(m, 9) >= 0.5)) AS n_flips FROM (SELECT 0.4 * after_hours_login_count + 0.3 * unusual_access_count - 0.2 * usb_connection_count AS m, unnest(['after_hours_login_count', 'unusual_access_count', 'usb_connection_count']) AS feature, unnest([0.4, 0.3, -0.2]) AS d
@@ -329,15 +360,15 @@ def bootstrap_platt_refit(spark, sf):
 @query()
 def gbt_scores(spark, sf):
     p = parts(spark, sf)
-    model = learned.fit_trees(p["train"], MODEL, validation=p["calibration"], rounds=5, depth=3)
+    model = learned.fit_trees(p["train"], MODEL, validation=p["calibration"], rounds=20, depth=4)
     return rounded(learned.predict(model, p["test"].drop("score")).select("user_id", "day", "is_malicious", "score"))
 
 
 @query()
 def oof_scores(spark, sf):
-    df = scored(spark, sf).drop("score").cache()
-    folds = resampling.round_robin(df, 3)
-    return rounded(learned.out_of_fold(df, folds, 3, lambda t: learned.fit_logistic(t, MODEL)).select("user_id", "day", "fold", "oof"))
+    df = scored(spark, sf).drop("score")
+    folds = resampling.round_robin(df, 4)  # with five, all malicious users of these tables, every fifth, would be in one
+    return rounded(learned.out_of_fold(df, folds, 4, lambda t: learned.fit_trees(t, MODEL, rounds=5, depth=4)).select("user_id", "day", "fold", "oof"))
 
 
 @query()
@@ -347,7 +378,14 @@ def fusion_weights(spark, sf):
     return spark.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "component string, weight double")
 
 
-@query()
+NEWTON = """cn AS MATERIALIZED (SELECT score AS s, count(*)::DOUBLE AS n, sum(alert::INT)::DOUBLE AS k FROM base WHERE split = 'train' GROUP BY score),
+nw AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+  SELECT i + 1, a - (ga * hbb - gb * hab) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+    SELECT i, a, b, sum((n * p - k) * s) + a AS ga, sum(n * p - k) AS gb, sum(n * p * (1 - p) * s * s) + 1.0 AS haa, sum(n * p * (1 - p) * s) AS hab, sum(n * p * (1 - p)) + 1e-9 AS hbb
+    FROM (SELECT *, 1.0 / (1.0 + exp(-greatest(-30.0, least(30.0, a * s + b)))) AS p FROM nw CROSS JOIN cn WHERE i < 25) GROUP BY i, a, b))"""
+
+
+@query("SELECT user_id, day, round(1.0 / (1.0 + exp(-greatest(-30.0, least(30.0, a * score + b)))), 6) AS p FROM base CROSS JOIN (SELECT a, b FROM nw WHERE i = 25) WHERE split = 'test'", "RECURSIVE " + SCORED_SQL.replace("sc AS (", "sc AS MATERIALIZED (").strip() + ",\n" + NEWTON)
 def platt_calibrated(spark, sf):
     p = parts(spark, sf)
     a, b = calibration.fit_platt(p["train"].withColumn("y", F.col("alert").cast("int")), "score", "y")
