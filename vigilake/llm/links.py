@@ -127,33 +127,36 @@ def keyed_components(items: DataFrame, keys: list[Column], near: Check, describe
         about = materialise(describe(ids), "about")
         passed = pairs.join(about.toDF("u", "a"), "u").join(about.toDF("v", "b"), "v").filter(both(F.col("a"), F.col("b")))
     edges = materialise(passed.select("u", "v"), "edges")
-    # first by the least id that a member is linked to, which costs one aggregate; later, if at all, by components
-    of, active = edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("label")), None
-    led = edges.select(F.col("u").alias("lo"), F.col("v").alias("id"), F.lit(True).alias("led"))
+    labels, active = materialise(connected_components(edges), "labels"), None
     while True:
+        of = labels.toDF("id", "label")
         leads = many.join(of.toDF("lo", "lead"), "lo", "left").select("key", F.coalesce("lead", "lo").alias("lead"))
-        named = rows.join(of, "id", "left").join(leads, "key").join(led, ["lo", "id"], "left")
-        named = named.select("key", "n", "id", F.coalesce("label", "id").alias("label"), "lead", (F.col("led").isNull() & (F.col("id") != F.col("lo"))).alias("unled"))
-        named = materialise(named.withColumn("other", F.col("unled") & (F.col("label") != F.col("lead"))).drop("lead", "unled"), "named")
+        named = rows.join(of, "id", "left").join(leads, "key").select("key", "n", "id", F.coalesce("label", "id").alias("label"), "lead")
+        named = materialise(named.withColumn("other", F.col("label") != F.col("lead")).drop("lead"), "named")
         live = materialise(named.filter("other").groupBy("key").agg(F.count(F.lit(1)).alias("others")), "live")
         if live.isEmpty():
-            break
+            return labels
         found = materialise(_crossed(named, live, active, near, verify, about, tile), "found")
-        active = found.filter("again").select("key", F.col("u").alias("id")).distinct()
         release(named, live)
-        edges = materialise(edges.unionByName(found.select("u", "v")).distinct(), "edges")
+        if found.isEmpty():
+            return labels
+        # the components that the links join are few beside their members
+        roots = materialise(connected_components(found.select("u", "v")), "roots")
+        joined = labels.join(roots.toDF("root", "over"), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+        alone = roots.join(labels, "node", "left_anti")
+        last, labels = labels, materialise(joined.unionByName(alone), "labels")
+        active = materialise(found.filter("again").select("key", "id").distinct(), "active")
+        release(last, found, roots)
         if active.isEmpty():
-            break
-        of = materialise(connected_components(edges), "labels").toDF("id", "label")
-    return materialise(connected_components(edges), "labels")
+            return labels
 
 
 #: Links that a member names in a tile at once, to different components.
-MOST = 16
+MOST = 4
 
 
 def _crossed(named: DataFrame, live: DataFrame, active: DataFrame | None, near: Check, verify: Check | None, about: DataFrame | None, tile: int) -> DataFrame:
-    """(key, u, v, again): links of members to other components, from rows (key, n, id, label, other) of the buckets ``live`` (key, others); ``again``: u may have more of them.
+    """(key, id, u, v, again): links of members to other components, as those components u and v, from rows (key, n, id, label, other) of the buckets ``live`` (key, others); ``again``: the member may have more of them.
 
     ``active`` (key, id) are the members that look; all that are not in the leading component, if None.
     """
@@ -177,17 +180,16 @@ def _crossed(named: DataFrame, live: DataFrame, active: DataFrame | None, near:
     left = left.select("key", "a", "l1", "h1", "with.other", "with.tile")
     right = tiles.select("key", "other", "tile", F.col("m").alias("b"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     both = left.join(right, ["key", "other", "tile"]).filter("least(l1, l2) < greatest(h1, h2)")
-    start = F.array().cast("array<struct<id: bigint, label: bigint>>")
+    start = F.array().cast("array<bigint>")
 
     def look(a: Column) -> Column:
         elsewhere = F.filter("b", lambda b: (b["label"] != a["label"]) & near(a["told"], b["told"]))
 
         def step(got: Column, b: Column) -> Column:  # no row of a component is verified once one of it has passed
-            done = (F.size(got) >= MOST) | F.exists(got, lambda g: g["label"] == b["label"])
-            more = F.concat(got, F.array(F.struct(b["id"].alias("id"), b["label"].alias("label"))))
-            return F.when(done, got).when(F.lit(True) if verify is None else verify(a["told"], b["told"]), more).otherwise(got)
+            done = (F.size(got) >= MOST) | F.array_contains(got, b["label"])
+            return F.when(done, got).when(F.lit(True) if verify is None else verify(a["told"], b["told"]), F.concat(got, F.array(b["label"]))).otherwise(got)
 
-        return F.struct(a["id"].alias("u"), F.aggregate(elsewhere, start, step).alias("got"))
+        return F.struct(a["id"].alias("id"), a["label"].alias("u"), F.aggregate(elsewhere, start, step).alias("got"))
 
     seen = both.select("key", F.explode(F.filter(F.transform("a", look), lambda e: F.size(e["got"]) > 0)).alias("e"))
-    return seen.select("key", "e.u", F.explode("e.got.id").alias("v"), (F.size("e.got") >= MOST).alias("again"))
+    return seen.select("key", "e.id", "e.u", F.explode("e.got").alias("v"), (F.size("e.got") >= MOST).alias("again"))
