@@ -65,11 +65,6 @@ def _linear(weights: dict[str, float], inputs: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(w) * inputs[n] for n, w in weights.items()], F.lit(0.0))
 
 
-def _products(columns: list[str]) -> dict[str, Column]:
-    single = {c: F.col(c) for c in columns}
-    return single | {f"{a}*{b}": F.col(a) * F.col(b) for i, a in enumerate(columns) for b in columns[i + 1 :]}
-
-
 def apply_family(train: DataFrame, df: DataFrame, family: str, setting: float | None = None, out: str = "fused", label: str = "is_malicious") -> DataFrame:
     """``df`` (user_id, day, PARTS) with the score of a family fitted on ``train``.
 
@@ -89,9 +84,10 @@ def apply_family(train: DataFrame, df: DataFrame, family: str, setting: float |
         w, b = _logistic(train, inputs, 1 / (1.0 if setting is None else setting), label)
         return df.withColumn(out, sigmoid(_linear(w, inputs) + b))
     if family in ("D", "E"):
-        inputs = {c: F.col(c) for c in others} if family == "D" else _products(others)
-        w, _ = _logistic(train, inputs, 0.1 if setting is None else setting, label)
-        return df.withColumn(out, sigmoid(ml_logit(F.col(ml)) + _linear({n: max(0.0, v) for n, v in w.items()}, inputs)))
+        more = (lambda rows: (rows, others)) if family == "D" else (lambda rows: learned.with_interactions(rows, others))
+        (rows, names), (held, _) = more(train), more(df)
+        w, _ = _logistic(rows, {c: F.col(c) for c in names}, 0.1 if setting is None else setting, label)
+        return components.residual_logistic(held, ml, w, out).select(*df.columns, out)
     if family in ("F1", "F2"):
         once = apply_family(train, df, "D" if family == "F1" else "E", 0.1, "__once", label)
         return components.ewma(once, setting, "__once", out).drop("__once") if setting else once.withColumnRenamed("__once", out)

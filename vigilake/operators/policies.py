@@ -232,8 +232,9 @@ def verdict(checks: DataFrame) -> DataFrame:
 
 
 def capacity_projection(df: DataFrame, mask: str = "alert", factors: tuple[float, ...] = (1.0, 2.0, 5.0)) -> DataFrame:
-    """Alerts a day now and when the users grow by each factor, and the day's busiest share."""
+    """Alerts a day now and when the users grow by each factor, the busiest day, and the shares of the busiest user and of the top 1 % of the users with alerts."""
     days = df.groupBy("day").agg(F.countDistinct("user_id").alias("users"), F.count_if(F.col(mask)).alias("alerts"))
     one = days.agg(F.avg("users").alias("users_per_day"), F.avg("alerts").alias("alerts_per_day"), F.max("alerts").alias("most_alerts"))
-    return one.select("*", F.explode(F.array(*[F.lit(f) for f in factors])).alias("factor")).withColumn("projected_alerts_per_day", F.col("alerts_per_day") * F.col("factor"))
+    shares = user_concentration(df, mask).select((F.col("most") / F.greatest("n_alerts", F.lit(1))).alias("top_user_share"), "top_1pct_share")
+    return one.crossJoin(shares).select("*", F.explode(F.array(*[F.lit(f) for f in factors])).alias("factor")).withColumn("projected_alerts_per_day", F.col("alerts_per_day") * F.col("factor"))
 

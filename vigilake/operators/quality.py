@@ -85,6 +85,22 @@ def file_battery(df: DataFrame, name: str, checks: Mapping[str, Column]) -> Data
     return one.select(F.lit(name).alias("file"), F.explode(rows).alias("x")).select("file", "x.check", "x.value", (F.col("x.value") == 0).alias("ok"))
 
 
+def standard_checks(df: DataFrame) -> dict[str, Column]:
+    """The checks of a raw log by the columns it has: rows that are wrong."""
+    wrong = lambda c, regex: ~F.coalesce(F.col(c).rlike(regex), F.lit(False))
+    every = {
+        "id": ("bad_id", lambda c: wrong(c, ID_PATTERN)), "ts": ("bad_date", lambda c: F.col(c).isNull()), "user": ("bad_user", lambda c: wrong(c, USER_PATTERN)), "pc": ("bad_pc", lambda c: wrong(c, PC_PATTERN)),
+        "activity": ("unknown_activity", lambda c: ~F.coalesce(F.col(c).isin("Logon", "Logoff", "Connect", "Disconnect"), F.lit(False))), "size": ("bad_size", lambda c: F.coalesce(F.col(c) < 0, F.lit(True))),
+    }
+    return {name: check(c) for c, (name, check) in every.items() if c in df.columns}
+
+
+def run_validation(logs: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Every check of every log given by name (logon, device, file, http, email, psychometric), and their summary."""
+    batteries = [file_battery(df, name, standard_checks(df)) for name, df in logs.items()]
+    return reduce(DataFrame.unionByName, batteries), summary(batteries)
+
+
 def summary(batteries: list[DataFrame]) -> DataFrame:
     """(file, n_checks, n_failed, ok), and a row with a null file for all."""
     rows = reduce(DataFrame.unionByName, batteries)

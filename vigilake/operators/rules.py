@@ -46,6 +46,16 @@ def at_path(record: Any, path: str) -> Any:
     return reduce(lambda r, k: r.get(k) if isinstance(r, Mapping) else None, path.split("."), record)
 
 
+def reconcile(record: Any, measured: Mapping[str, float], tolerance: float) -> list[dict[str, Any]]:
+    """For each dotted path: what a report records, what was measured, their difference and whether it is within the tolerance; a missing record is not."""
+    rows = []
+    for path, value in measured.items():
+        old = at_path(record, path)
+        gap = None if old is None else abs(value - old)
+        rows.append({"path": path, "recorded": old, "measured": value, "difference": gap, "ok": gap is not None and gap <= tolerance})
+    return rows
+
+
 def adaptive(base: Mapping[str, float], arms: Mapping[str, Mapping[str, float]], ml_weight: float) -> str:
     """ADOPT, INCONCLUSIVE or NO: the arm with the best average precision against the base; each has pr_auc, roc_auc, precision_at_10."""
     best = max(arms.values(), key=lambda m: m["pr_auc"])

@@ -240,7 +240,9 @@ def bounds_check(spark, sf):
     return policies.bounds(stats.withColumn("alerts_per_day", F.col("n_alerts") / F.col("d")), REFERENCE)
 
 
-@query("""SELECT round(avg(u), 6) AS users_per_day, round(avg(a), 6) AS alerts_per_day, max(a) AS most_alerts, f::DOUBLE AS factor, round(avg(a) * f::DOUBLE, 6) AS projected_alerts_per_day
+@query("""SELECT round(avg(u), 6) AS users_per_day, round(avg(a), 6) AS alerts_per_day, max(a) AS most_alerts, f::DOUBLE AS factor, round(avg(a) * f::DOUBLE, 6) AS projected_alerts_per_day,
+(SELECT round(max(n) / sum(n)::DOUBLE, 6) FROM (SELECT count(*) AS n FROM base WHERE alert GROUP BY user_id)) AS top_user_share,
+(SELECT round(sum(n) FILTER (i <= ceil(0.01 * m))::DOUBLE / sum(n), 6) FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS i, count(*) OVER () AS m FROM (SELECT count(*) AS n FROM base WHERE alert GROUP BY user_id))) AS top_1pct_share
 FROM (SELECT day, count(DISTINCT user_id) AS u, count(*) FILTER (alert) AS a FROM base GROUP BY day) CROSS JOIN (SELECT unnest([1.0, 2.0, 5.0]) AS f) GROUP BY f""")
 def capacity_projection(spark, sf):
     return rounded(policies.capacity_projection(scored(spark, sf)))
