@@ -178,3 +178,16 @@ def test_splits_and_order_are_checked(spark, table):
     assert learned.check_order(table.select("user_id", "day", *NAMES), NAMES) == NAMES
     with pytest.raises(ValueError, match="extra"):
         learned.check_order(table.select("user_id", "day", "q", *NAMES[:1]), NAMES)
+
+
+def test_refitted_maps():
+    s, n, k = np.array([0.9, 0.1, 0.5, 0.3]), np.array([2.0, 4.0, 2.0, 2.0]), np.array([2.0, 0.0, 0.0, 1.0])
+    p = resampling._bin_rates(s, n, k, np.array([0.05, 0.3, 0.5, 0.95]), 4)
+    assert list(p) == [0.0, 0.25, 0.25, 1.0] and (np.diff(p) >= 0).all()
+    assert list(resampling._mid_ranks(s, n, k, np.array([0.0, 0.1, 0.4, 1.0]))) == [0.0, 0.15, 0.55, 0.95]
+
+
+def test_map_refit_intervals(spark, table):
+    df = table.withColumn("score", F.round(F.col("p") / 6, 2))
+    got = {r["metric"]: r for r in resampling.map_refit(df.filter("split = 'train'"), df.filter("split = 'test'"), "bins", 40).collect()}
+    assert set(got) == {"brier", "mean_p"} and all(r["n_valid"] == 40 and 0 <= r["ci_low"] <= r["ci_high"] <= 1 for r in got.values())

@@ -143,3 +143,17 @@ def onset_ordinal(df: DataFrame, activity: Column, label: str = "is_malicious")
     w = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("__a", F.sum(activity.cast("int")).over(w))
     return rows.filter(F.col(label) == 1).groupBy("user_id").agg(F.min("day").alias("onset"), F.min_by("__a", "day").alias("ordinal"))
+
+
+def temporal_analysis(df: DataFrame, found: DataFrame, activity: Column, label: str = "is_malicious") -> DataFrame:
+    """(half_year, early, n_users, n_detected, mean_ordinal, mean_delay) of malicious users by onset; ``early``: not after the median onset.
+
+    ``found`` is what :func:`vigilake.operators.metrics.detection` gives; the median is the onset at half the number of users, rounded down.
+    """
+    users = onset_ordinal(df, activity, label).join(found.select("user_id", "delay", "detected"), "user_id")
+    middle = users.groupBy("onset").agg(F.count(F.lit(1)).alias("c"))  # a row a day
+    ranked = middle.withColumn("upto", F.sum("c").over(Window.orderBy("onset").rowsBetween(Window.unboundedPreceding, 0)))
+    median = ranked.crossJoin(users.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))).filter("upto > half").agg(F.min("onset").alias("__median"))  # one row each
+    half = F.concat(F.year("onset").cast("string"), F.when(F.month("onset") <= 6, "H1").otherwise("H2"))
+    named = users.crossJoin(F.broadcast(median)).withColumns({"half_year": half, "early": F.col("onset") <= F.col("__median")})
+    return named.groupBy("half_year", "early").agg(F.count(F.lit(1)).alias("n_users"), F.count_if("detected").alias("n_detected"), F.avg("ordinal").alias("mean_ordinal"), F.avg("delay").alias("mean_delay"))

@@ -212,3 +212,15 @@ def kendall_tau(a: DataFrame, b: DataFrame, item: str = "item", value: str = "va
     l, r = both.toDF("i", "x1", "y1"), both.toDF("j", "x2", "y2")
     pairs = l.join(r, F.col("i") < F.col("j"))  # pairs of a fixed list of features
     return pairs.agg((F.sum(F.signum(F.col("x1") - F.col("x2")) * F.signum(F.col("y1") - F.col("y2"))) / F.count(F.lit(1))).alias("tau"))
+
+
+def raw_threshold(df: DataFrame, t: float, mapped: str = "p", raw: str = "score") -> DataFrame:
+    """One row: the smallest raw score whose mapped score reaches the threshold; null if none does."""
+    return df.filter(F.col(mapped) >= t).agg(F.min(raw).alias("raw_threshold"))
+
+
+def window_intervals(df: DataFrame, label: str = "is_malicious", mask: str = "alert") -> DataFrame:
+    """(window, n_alerts, n_positives, tp, and Wilson intervals of precision and recall) of each window; null without alerts or positives."""
+    rows = binary_metrics(df, F.col(mask), F.col(label), ["window"]).select("window", "n_alerts", "n_positives", "tp")
+    p, r = wilson(F.col("tp"), F.col("n_alerts")), wilson(F.col("tp"), F.col("n_positives"))
+    return rows.withColumns({"precision_low": p[0], "precision_high": p[1], "recall_low": r[0], "recall_high": r[1]})

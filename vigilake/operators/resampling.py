@@ -126,3 +126,59 @@ def platt_refit(calibration: DataFrame, test: DataFrame, n: int = 100, key: tupl
     both = counts(calibration, "cal").unionByName(counts(test, "test"))
     values = both.groupBy("replicate").applyInPandas(fit, "metric string, value double")
     return values.groupBy("metric").agg(F.count("value").alias("n_valid"), F.percentile("value", alpha / 2).alias("ci_low"), F.percentile("value", 1 - alpha / 2).alias("ci_high"))
+
+
+def _bin_rates(s, n, k, x, bins: int = 20):
+    """Rates of quantile bins of weighted scores, pooled until they rise, at ``x``."""
+    import numpy as np
+
+    order = np.argsort(s)
+    s, n, k = s[order], n[order], k[order]
+    upto = np.cumsum(n)
+    cuts = np.unique(s[np.searchsorted(upto, upto[-1] * np.arange(1, bins) / bins)])
+    place = np.searchsorted(cuts, s, side="left")
+    pools: list[list[float]] = []
+    for b in np.unique(place):
+        own = place == b
+        pools.append([s[own].max(), n[own].sum(), k[own].sum()])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][1] > pools[-1][2] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
+    tops, rates = np.array([p[0] for p in pools]), np.array([p[2] / p[1] for p in pools])
+    return rates[np.minimum(np.searchsorted(tops, x, side="left"), len(rates) - 1)]
+
+
+def _mid_ranks(s, n, k, x):
+    """Mid-rank percentiles of ``x`` among weighted scores."""
+    import numpy as np
+
+    order = np.argsort(s)
+    s, upto = s[order], np.concatenate(([0.0], np.cumsum(n[order])))
+    below, at = upto[np.searchsorted(s, x, side="left")], upto[np.searchsorted(s, x, side="right")]
+    return np.clip(((below + at) / 2 - 0.5) / upto[-1], 0, 1)
+
+
+MAPS = {"bins": _bin_rates, "ecdf": _mid_ranks}
+
+
+def map_refit(calibration: DataFrame, test: DataFrame, method: str, n: int = 100, key: tuple[str, ...] = ("user_id",), score: str = "score", label: str = "is_malicious", alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(metric, n_valid, ci_low, ci_high) of the test Brier score and mean forecast, the map (bins or ecdf) refitted on every replicate.
+
+    Each replicate is one group of distinct scores with their weights.
+    """
+    import pandas as pd
+
+    def counts(df: DataFrame, side: str) -> DataFrame:
+        drawn = replicates(df, n, list(key), seed).groupBy("replicate", F.col(score).cast("double").alias("s"))
+        return drawn.agg(F.sum("w").cast("double").alias("n"), F.sum(F.col("w") * F.col(label)).cast("double").alias("k")).withColumn("side", F.lit(side))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        cal, new = pdf[pdf.side == "cal"], pdf[pdf.side == "test"]
+        if not len(cal) or not len(new):
+            return pd.DataFrame({"metric": [], "value": []}).astype({"metric": str, "value": float})
+        p = MAPS[method](cal.s.to_numpy(), cal.n.to_numpy(), cal.k.to_numpy(), new.s.to_numpy())
+        k, m = new.k.to_numpy(), new.n.to_numpy()
+        return pd.DataFrame({"metric": ["brier", "mean_p"], "value": [(k * (1 - p) ** 2 + (m - k) * p**2).sum() / m.sum(), (m * p).sum() / m.sum()]})
+
+    values = counts(calibration, "cal").unionByName(counts(test, "test")).groupBy("replicate").applyInPandas(fit, "metric string, value double")
+    return values.groupBy("metric").agg(F.count("value").alias("n_valid"), F.percentile("value", alpha / 2).alias("ci_low"), F.percentile("value", 1 - alpha / 2).alias("ci_high"))

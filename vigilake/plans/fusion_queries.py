@@ -11,7 +11,7 @@ from vigilake.functions import scalar
 from vigilake.operators import components, decision, drift, features, fusion, graph, learned, metrics, policies, quality, resampling, shift, treeshap
 from vigilake.operators.features import COUNTS
 from vigilake.plans.frames import LOGS_SQL, FEATURES_SQL, SCORED_SQL, WINDOW, grid, logs, rounded, scored
-from vigilake.plans.metric_queries import FOUND, metrics_sql
+from vigilake.plans.metric_queries import FOUND, WIN, Z, metrics_sql
 from vigilake.sources import adapters, readers
 from vigilake.sources.scratch import shared_dir, written
 
@@ -267,3 +267,40 @@ def point_lookup(spark, sf):
     df = scored(spark, sf)
     key = df.agg(F.min("user_id").alias("u"), F.min("day").alias("d")).first()  # one key
     return rounded(features.point_lookup(df, key["u"], key["d"]))
+
+
+def _wilson(n: str) -> tuple[str, str]:
+    p, wide = f"tp::DOUBLE / {n}", f"{Z} * sqrt(tp::DOUBLE / {n} * (1 - tp::DOUBLE / {n}) / {n} + {Z * Z} / (4.0 * {n} * {n})) / (1 + {Z * Z} / {n})"
+    mid = f"({p} + {Z * Z} / (2.0 * {n})) / (1 + {Z * Z} / {n})"
+    return f"CASE WHEN {n} > 0 THEN round(greatest({mid} - {wide}, 0.0), 6) END", f"CASE WHEN {n} > 0 THEN round(least({mid} + {wide}, 1.0), 6) END"
+
+
+@query(f"""SELECT w AS "window", n_alerts, n_positives, tp, {_wilson('n_alerts')[0]} AS precision_low, {_wilson('n_alerts')[1]} AS precision_high, {_wilson('n_positives')[0]} AS recall_low, {_wilson('n_positives')[1]} AS recall_high
+FROM (SELECT w, count(*) FILTER (alert) AS n_alerts, count(*) FILTER (is_malicious = 1) AS n_positives, count(*) FILTER (alert AND is_malicious = 1) AS tp FROM win GROUP BY w)""", SCORED_SQL + ",\n" + WIN)
+def window_intervals(spark, sf):
+    return rounded(metrics.window_intervals(policies.day_windows(scored(spark, sf), days=7)))
+
+
+@query("""SELECT year(onset) || CASE WHEN month(onset) <= 6 THEN 'H1' ELSE 'H2' END AS half_year, onset <= (SELECT list_sort(list(onset))[CAST(floor(count(*) / 2) AS INTEGER) + 1] FROM det2) AS early, count(*) AS n_users, count(*) FILTER (detected) AS n_detected, round(avg(ordinal), 6) AS mean_ordinal, round(avg(delay), 6) AS mean_delay
+FROM det2 JOIN (SELECT user_id, arg_min(a, day) AS ordinal FROM (SELECT *, sum((login_count > 0)::INT) OVER (PARTITION BY user_id ORDER BY day) AS a FROM base) WHERE is_malicious = 1 GROUP BY user_id) USING (user_id) GROUP BY ALL""", SCORED_SQL + ",\n" + FOUND)
+def onset_temporal(spark, sf):
+    df = scored(spark, sf)
+    return rounded(drift.temporal_analysis(df, metrics.detection(df), F.col("login_count") > 0))
+
+
+@query("SELECT min(score) AS raw_threshold FROM base WHERE split = 'test' AND 1.0 / (1.0 + exp(-(4.0 * score - 2.0))) >= 0.5")
+def raw_threshold(spark, sf):
+    df = scored(spark, sf).filter("split = 'test'").withColumn("p", 1 / (1 + F.exp(-(4.0 * F.col("score") - 2.0))))
+    return metrics.raw_threshold(df, 0.5)
+
+
+@query()
+def bootstrap_bins_refit(spark, sf):
+    df = scored(spark, sf)
+    return rounded(resampling.map_refit(df.filter("split = 'calibration'"), df.filter("split = 'test'"), "bins", 1000))
+
+
+@query()
+def bootstrap_ecdf_refit(spark, sf):
+    df = scored(spark, sf)
+    return rounded(resampling.map_refit(df.filter("split = 'calibration'"), df.filter("split = 'test'"), "ecdf", 1000))
