@@ -134,7 +134,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def describe(ids: DataFrame) -> DataFrame:
             """The SimHash and the symbols of each line, from one document that has it; only those documents are cut again."""
             own = seen.select("__text", "pos", F.col("k1").alias("id"))
-            at = only(own, ids, "id").join(ids, "id").groupBy("id").agg(F.min("__text").alias("__text"), F.min_by("pos", "__text").alias("pos"))
+            at = only(own, ids, "id").groupBy("id").agg(F.min("__text").alias("__text"), F.min_by("pos", "__text").alias("pos")).join(ids, "id")  # a line of very many documents is one row before it is joined
             wanted = materialise(at.groupBy("__text").agg(F.collect_list(F.struct("id", "pos")).alias("at")), "wanted")
             texts = docs.filter(F.col(text_col).isNotNull()).select(text.alias("__text"), F.col(text_col).alias("text"))
             found = only(texts, wanted, "__text").dropDuplicates(["__text"]).join(wanted, "__text")
