@@ -167,7 +167,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, beam: int = 96, shard_rows
     Nearness is the inner product, in double precision on the vectors as given;
     ties go to the smaller id. There are at least ``shards`` shards of about
     ``shard_rows`` distinct vectors, each with its own graph, and each query
-    searches all with a beam of ``beam``. Equal vectors are one node with its
+    searches all with a beam of ``beam`` (shards of four times as many rows lose a
+    third of the neighbours of clustered rows, see README). Equal vectors are one node with its
     k + 1 smallest ids, as many as an answer can hold, so copies neither crowd
     the graph nor are lost. Rows with a null id and vectors that are null, zero
     or hold a null or non-finite component take no part; a shorter vector counts

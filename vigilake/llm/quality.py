@@ -139,7 +139,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, cut: float =
     the smallest hash) that are not held out; ids, languages and sources are
     never inputs. Null and empty texts are scored as empty ones. Without labels
     every score is 0.5; with labels of one class it is near that class. Rows
-    repeat as in the input, and other columns are not read.
+    repeat as in the input, and other columns are not read. An empty table gives an empty result.
     """
     stats = statistics(F.col("text"))
     rows = materialise(docs.select("doc_id", *[c.alias(n) for n, c in stats.items()]), "statistics")
