@@ -306,7 +306,7 @@ def global_importance(spark, sf):
 def contribution_reconstruction(spark, sf):
     """The margin that the fitted trees give themselves against the bias and contributions of their export."""
     df = scored(spark, sf)
-    model = learned.fit_trees(df.filter("split = 'train'"), MODEL, rounds=10, depth=4)
+    model = learned.fit_trees(df.filter("split = 'train'"), MODEL)
     made = treeshap.tree_contributions(model, df, MODEL, ["user_id", "day"]).drop("margin")
     own = learned.margin(model, df).select("user_id", "day", "margin")
     return decision.reconstruction(made.join(own, ["user_id", "day"]), MODEL, F.col("bias")).select((F.col("max_gap") < 1e-6).alias("exact"), F.lit(len(MODEL)).alias("n_features"))
