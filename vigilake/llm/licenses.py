@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .links import only
 from .scratch import materialise
 
 #: SPDX names that tags and titles are made for, with the titles of their texts.
@@ -135,11 +136,21 @@ def license_units(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     enough = [F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in own]))) >= least for least, group in sorted(fewest.items()) for own in sorted(set(group))]
     known = F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in vocabulary]))) >= min(fewest, default=0)
     candidates = some.filter(known & reduce(lambda a, b: a | b, enough, F.lit(False)))
-    tf = candidates.select("__id", "__text", "kind", "pos", "edge", F.explode("terms").alias("term")).groupBy("__id", "__text", "kind", "pos", "edge", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # first only the templates' words are counted; each other word weighs 1 at least, which bounds the cosine from above
+    key = F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), "__text", "kind", "pos").alias("u")
+    held = candidates.select(key, "__id", "__text", "kind", "pos", "edge", "terms", F.filter("terms", lambda t: t.isin(vocabulary)).alias("inner"))
+    held = held.withColumn("others", F.size("terms") - F.size("inner"))
+    tf = held.select("u", "__id", "__text", "kind", "pos", "edge", "others", F.explode("inner").alias("term")).groupBy("u", "__id", "__text", "kind", "pos", "edge", "others", "term").agg(F.count(F.lit(1)).alias("tf"))
     table = spark.createDataFrame([(t, idf[t], *[own.get(t, 0.0) for own in weights]) for t in vocabulary], "term string, idf double, " + ", ".join(f"t{i} double" for i in range(len(names))))
-    common = counted.select("term", (F.log(F.lit(n + 1.0) / (F.col("n") + 1)) + 1).alias("rarity"))
-    weighed = tf.join(F.broadcast(table), "term", "left").join(common, "term").withColumn("w", F.col("tf") * F.coalesce("idf", "rarity"))
-    dots = weighed.groupBy("__id", "__text", "kind", "pos", "edge").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.coalesce(f"t{i}", F.lit(0.0))).alias(f"d{i}") for i in range(len(names))])
+    weighed = tf.join(F.broadcast(table), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    dots = weighed.groupBy("u", "__id", "__text", "kind", "pos", "edge", "others").agg(F.sum(F.col("w") * F.col("w")).alias("mass"), *[F.sum(F.col("w") * F.col(f"t{i}")).alias(f"d{i}") for i in range(len(names))])
+    most = F.greatest(*[F.col(f"d{i}") / length for i, length in enumerate(lengths)], F.lit(0.0))
+    dots = materialise(dots.filter(most >= threshold * F.sqrt(F.col("mass") + F.col("others")) * (1 - 1e-6)), "bounded")
+    outer = only(held.select("u", "terms"), dots, "u").join(dots.select("u").distinct(), "u").select("u", F.explode(F.filter("terms", lambda t: ~t.isin(vocabulary))).alias("term"))
+    outer = materialise(outer.groupBy("u", "term").agg(F.count(F.lit(1)).alias("tf")), "outer")
+    common = only(counted, outer, "term").select("term", (F.log(F.lit(n + 1.0) / (F.col("n") + 1)) + 1).alias("rarity"))
+    rest = outer.join(common, "term").withColumn("w", F.col("tf") * F.col("rarity")).groupBy("u").agg(F.sum(F.col("w") * F.col("w")).alias("rest"))
+    dots = dots.join(rest, "u", "left").withColumn("norm", F.sqrt(F.col("mass") + F.coalesce("rest", F.lit(0.0))))
     cosine = F.array(*[F.round(F.col(f"d{i}") / (F.col("norm") * length), 6) for i, length in enumerate(lengths)])
     scored = dots.select("__id", "__text", "kind", "pos", "edge", cosine.alias("cos")).withColumn("score", F.array_max("cos")).filter(F.col("score") >= threshold)
     place = F.array_position("cos", F.col("score")).cast("int")
