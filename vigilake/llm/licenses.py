@@ -132,13 +132,14 @@ def license_units(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
             if heavy < threshold**2 * length**2 * (1 - 1e-9):
                 heavy, least = heavy + w * w, least + 1
         fewest.setdefault(least, []).append(tuple(sorted(own)))
-    some = split.filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(needed)])))
-    enough = [F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in own]))) >= least for least, group in sorted(fewest.items()) for own in sorted(set(group))]
-    known = F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in vocabulary]))) >= min(fewest, default=0)
-    candidates = some.filter(known & reduce(lambda a, b: a | b, enough, F.lit(False)))
+    # a unit's words that templates have, few, are picked once; what follows looks at those only
+    inner = split.withColumn("inner", F.filter("terms", lambda t: t.isin(vocabulary))).filter(F.size("inner") >= min(fewest, default=0))
+    few = inner.withColumn("few", F.array_distinct("inner")).filter(F.arrays_overlap("few", F.array(*[F.lit(t) for t in sorted(needed)])))
+    enough = [F.size(F.array_intersect("few", F.array(*[F.lit(t) for t in own]))) >= least for least, group in sorted(fewest.items()) for own in sorted(set(group))]
+    candidates = few.filter(reduce(lambda a, b: a | b, enough, F.lit(False)))
     # first only the templates' words are counted; each other word weighs 1 at least, which bounds the cosine from above
     key = F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), "__text", "kind", "pos").alias("u")
-    held = candidates.select(key, "__id", "__text", "kind", "pos", "edge", "terms", F.filter("terms", lambda t: t.isin(vocabulary)).alias("inner"))
+    held = candidates.select(key, "__id", "__text", "kind", "pos", "edge", "terms", "inner")
     held = held.withColumn("others", F.size("terms") - F.size("inner"))
     tf = held.select("u", "__id", "__text", "kind", "pos", "edge", "others", F.explode("inner").alias("term")).groupBy("u", "__id", "__text", "kind", "pos", "edge", "others", "term").agg(F.count(F.lit(1)).alias("tf"))
     table = spark.createDataFrame([(t, idf[t], *[own.get(t, 0.0) for own in weights]) for t in vocabulary], "term string, idf double, " + ", ".join(f"t{i} double" for i in range(len(names))))
