@@ -147,7 +147,10 @@ def license_units(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     dots = weighed.groupBy("u", "__id", "__text", "kind", "pos", "edge", "others").agg(F.sum(F.col("w") * F.col("w")).alias("mass"), *[F.sum(F.col("w") * F.col(f"t{i}")).alias(f"d{i}") for i in range(len(names))])
     most = F.greatest(*[F.col(f"d{i}") / length for i, length in enumerate(lengths)], F.lit(0.0))
     dots = materialise(dots.filter(most >= threshold * F.sqrt(F.col("mass") + F.col("others")) * (1 - 1e-6)), "bounded")
-    outer = only(held.select("u", "terms"), dots, "u").join(dots.select("u").distinct(), "u").select("u", F.explode(F.filter("terms", lambda t: ~t.isin(vocabulary))).alias("term"))
+    # only the documents that have such a unit are cut again
+    hashed = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("__text"))
+    again = units(only(hashed, dots, "__text").drop("__text"), id_col, text_col).select(key, "terms")
+    outer = only(again, dots, "u").join(dots.select("u").distinct(), "u").select("u", F.explode(F.filter("terms", lambda t: ~t.isin(vocabulary))).alias("term"))
     outer = materialise(outer.groupBy("u", "term").agg(F.count(F.lit(1)).alias("tf")), "outer")
     common = only(counted, outer, "term").select("term", (F.log(F.lit(n + 1.0) / (F.col("n") + 1)) + 1).alias("rarity"))
     rest = outer.join(common, "term").withColumn("w", F.col("tf") * F.col("rarity")).groupBy("u").agg(F.sum(F.col("w") * F.col("w")).alias("rest"))
