@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES = ["dq_id_formats"]
+QUERIES = ["dq_id_formats", "raw_directory_to_departments"]
 
 
 @pytest.fixture(scope="module")
