@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES = ["dq_id_formats", "raw_directory_to_departments", "raw_logs_to_table"]
+QUERIES = ["dq_id_formats", "raw_directory_to_departments", "raw_logs_to_table", "round_robin_text_ids"]
 
 
 @pytest.fixture(scope="module")
