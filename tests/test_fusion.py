@@ -191,3 +191,33 @@ def test_map_refit_intervals(spark, table):
     df = table.withColumn("score", F.round(F.col("p") / 6, 2))
     got = {r["metric"]: r for r in resampling.map_refit(df.filter("split = 'train'"), df.filter("split = 'test'"), "bins", 40).collect()}
     assert set(got) == {"brier", "mean_p"} and all(r["n_valid"] == 40 and 0 <= r["ci_low"] <= r["ci_high"] <= 1 for r in got.values())
+
+
+def _plain_context(rows, features, least=20):
+    """The risk of each row by its definition."""
+    from statistics import NormalDist, median
+
+    out = []
+    for r in rows:
+        peers = [x for x in rows if x["pool"] == r["pool"] and x["user_id"] != r["user_id"] and x["day"] < r["day"]]
+        same = [x for x in peers if (x["day"].weekday() < 5) == (r["day"].weekday() < 5)]
+        use = same if len(same) >= least else peers
+        z = []
+        for f in features if r["pool"] and len(use) >= least else []:
+            m = median(x[f] for x in use)
+            mad = median(abs(x[f] - m) for x in use)
+            z.append(0.0 if mad < 1e-9 else min(abs((r[f] - m) / (mad + 1e-6)), 3.0))
+        out.append((r["user_id"], r["day"], r["a"], sum(NormalDist().cdf(v) for v in z) / len(z) if z else 0.5))
+    return sorted(out)
+
+
+def test_context_risk_of_dealt_pools(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [{"user_id": u, "day": date(2024, 1, 1) + timedelta(d), "a": rng.randrange(4), "b": round(rng.random(), 3), "c": rng.choice([0, 0, 0, 1]), "pool": ("x", "x", "y", None)[u % 4]} for u in range(16) for d in range(18) if rng.random() < 0.9]
+    rows += [dict(rows[7], a=9, b=0.5)]  # a day of a user with two rows
+    df = spark.createDataFrame([(r["user_id"], r["day"], r["a"], r["b"], r["c"]) for r in rows], "user_id long, day date, a int, b double, c int")
+    pools = spark.createDataFrame([(u, ("x", "x", "y", None)[u % 4]) for u in range(16)], "user_id long, pool string")
+    monkeypatch.setattr(components, "POOL_ROWS", 25)
+    got = sorted((r["user_id"], r["day"], r["a"], r["r_context"]) for r in components.context_risk(df, pools, ["a", "b", "c"]).collect())
+    want = _plain_context(rows, ["a", "b", "c"])
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-9)
