@@ -20,7 +20,7 @@ from vigilake.llm.scratch import materialise, release, scope
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: what has no letter, no language that is likelier than all others together, or n-grams far less likely than those of labelled rows, as text of an unlearned language and letter noise have."""
     known = docs.filter(~held_out()).select("doc_id", "text", "lang")
-    langs, logp = train(known)
+    langs, logp = train(known, None)
     bound = least_fit(known, langs, logp)
     renamed = docs.toDF(*[f"__in_{i}" for i in range(len(docs.columns))])
     at = {c.lower(): f"__in_{i}" for i, c in enumerate(docs.columns)}

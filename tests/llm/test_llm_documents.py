@@ -494,3 +494,12 @@ def test_pipeline_stages(spark, docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, nothing, str(tmp_path))
     assert nothing.count() == 0
+
+
+def test_least_fit_is_of_all_labelled_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(20 + i % 7)) + ("zqxj" * (i % 3) if i % 400 == 1 else ""), "en") for i in range(2600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    langs, logp = language_id.train(docs, None)
+    fits = sorted(r["fit"] for r in language_id.predict(docs, langs, logp, [], fit_col="fit").collect())
+    assert language_id.least_fit(docs, langs, logp) == pytest.approx(fits[2] - 1, abs=1e-12)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import materialise, scope
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 CHUNK = 1 << 19
@@ -99,19 +101,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([first[0]]), pa.array([first[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["lang", "block", "counts"])
 
 
-def train(rows: DataFrame, per_language: int = 20_000, smoothing: float = 0.5, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+def train(rows: DataFrame, per_language: int | None = 20_000, smoothing: float = 0.5, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities by bucket, from rows (id_col, text, lang).
 
     Each language gives about ``per_language`` rows, chosen by a hash of the id
-    (all, where it has fewer), whole texts. The driver receives one number a
+    (all, where it has fewer or ``per_language`` is None), whole texts. The driver receives one number a
     bucket and language. Null texts and languages take no part.
     """
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return [], np.zeros((BUCKETS + 1, 0))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    chosen = rows.filter(F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)) if max(sizes.values()) > per_language else rows
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (per_language or n) / n))])
+    chosen = rows.filter(F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)) if per_language and max(sizes.values()) > per_language else rows
     counts = chosen.select("text", "lang").mapInArrow(_count, "lang string, block int, counts binary")
     merged = counts.groupBy("lang", "block").applyInArrow(_merge, "lang string, block int, counts binary").collect()
     langs = sorted({r["lang"] for r in merged})
@@ -174,16 +176,16 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, carry: list[str
     return given.mapInArrow(run, schema)
 
 
-def least_fit(rows: DataFrame, langs: list[str], logp: np.ndarray, per_language: int = 2_000, least_rows: int = 200, slack: float = 1.0, id_col: str = "doc_id") -> float | None:
-    """The fit below which a text is of no learned language: ``slack`` under the 0.1 % quantile of about ``per_language`` labelled rows a language; None with fewer than ``least_rows`` labelled rows, too few to tell."""
+def least_fit(rows: DataFrame, langs: list[str], logp: np.ndarray, least_rows: int = 200, slack: float = 1.0) -> float | None:
+    """The fit below which a text is of no learned language: ``slack`` under the 0.1 % quantile of all labelled rows, exactly; None with fewer than ``least_rows`` labelled rows, too few to tell."""
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sum(sizes.values()) < least_rows:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    chosen = rows.filter(F.pmod(F.xxhash64(id_col, F.lit("fit")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    found = predict(chosen, langs, logp, [], fit_col="fit").agg(F.percentile_approx("fit", 0.001, 10_000)).first()[0]
-    return None if found is None else found - slack
+    with scope():
+        fits = materialise(predict(rows, langs, logp, [], fit_col="fit").select("fit"), "fits")
+        n = fits.agg(F.count(F.lit(1)).alias("rows"), F.count("fit").alias("fits")).first()
+        if n["rows"] < least_rows or not n["fits"]:
+            return None
+        lowest = fits.filter("fit is not null").orderBy("fit").limit(-(-n["fits"] // 1000))  # a thousandth, one number each
+        return lowest.agg(F.max("fit")).first()[0] - slack
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
