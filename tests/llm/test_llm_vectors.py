@@ -41,6 +41,24 @@ def test_exact_topk(spark, rows):
     assert {q: sorted(v) for q, v in got.items()} == want
 
 
+def test_topk_in_rounds(spark, rows, monkeypatch):
+    """Queries go in rounds, so no task or broadcast holds all of them; what lies between the phases is a bit a pair."""
+    more = [*rows[:400], *[(i, rows[i + 300][1]) for i in range(0, 400, 50)]]  # ids with two rows
+    good = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in more]
+    want = {}
+    for q in range(0, 400, 50):
+        own = min(v.tolist() for i, v in good if i == q)
+        want[q] = sorted(((-int(np.dot(own, v)), i) for i, v in good if i != q))[:5]
+    monkeypatch.setattr(topk, "PAIRS", 1)
+    held, plain = [], topk._with_queries
+    monkeypatch.setattr(topk, "_with_queries", lambda blocks, asked, run, ddl: held.append(asked) or plain(blocks, asked, run, ddl))
+    got: dict = {}
+    for r in topk.top_scores(table(spark, more), F.col("vec_id") % 50 == 0, lists=2, blocks=2, block_rows=300, query_rows=3).collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert {q: sorted(v) for q, v in got.items()} == want
+    assert len(held) == 3 * 2 * 2  # rounds, phases, lists
+
+
 def test_topk_of_few_and_of_none(spark):
     two = table(spark, [(0, [1.0, 2.0]), (1, [3.0, 1.0])])
     assert [tuple(r) for r in topk.top_scores(two, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 256 * 5)]
