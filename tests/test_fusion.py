@@ -4,6 +4,7 @@ import random
 from datetime import date, timedelta
 from itertools import combinations
 from math import factorial
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -221,3 +222,21 @@ def test_context_risk_of_dealt_pools(spark, monkeypatch):
     got = sorted((r["user_id"], r["day"], r["a"], r["r_context"]) for r in components.context_risk(df, pools, ["a", "b", "c"]).collect())
     want = _plain_context(rows, ["a", "b", "c"])
     assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-9)
+
+
+def test_behaviour_risk_takes_many_users_a_task(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(u, date(2024, 1, 1) + timedelta(d), rng.randrange(5), rng.random()) for u in range(20) for d in range(25) if rng.random() < 0.5 + u / 40]
+    monkeypatch.setattr(components, "USER_ROWS", 60)
+    found = components.behaviour_risk(spark.createDataFrame(rows, "user_id long, day date, a int, b double"), ["a", "b"], min_history=5)
+    got = {(r["user_id"], r["day"]): r["r_behavior"] for r in found.collect()}
+    assert "__part" in found._jdf.queryExecution().analyzed().toString() and len(got) == len(rows)
+    for u in range(20):
+        own = sorted(r for r in rows if r[0] == u)
+        for d, r in enumerate(own):
+            z = []
+            for i in (2, 3):
+                m = float(np.median([x[i] for x in own[:d]])) if d else 0.0
+                mad = float(np.median([abs(x[i] - m) for x in own[:d]])) if d else 0.0
+                z.append(0.0 if d < 5 or mad < 1e-9 else min(abs((r[i] - m) / (mad + 1e-6)), 3.0))
+            assert got[u, r[1]] == pytest.approx(sum(NormalDist().cdf(v) for v in z) / 2, abs=1e-9)
