@@ -82,20 +82,26 @@ def _terms(line: str) -> list[str]:
     return [t for t in re.split("[^a-z0-9]+", line.lower()) if t]
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each computed once a row: what a generator makes is not computed again in filters that name it."""
+    made = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.select("*", made.alias("__made")).select(*rows.columns, "__made.*")
+
+
 def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(__id, __text, kind, pos, edge, terms) of what is compared with templates: each line, each block of several lines and each whole text of several blocks.
 
     ``edge`` marks what makes a file a licence file: its first or last line, its first block, its whole text.
     """
     held = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.lower(text_col).alias("low"))
-    lines = held.select("__id", "__text", F.split("low", "\n").alias("ls")).select("__id", "__text", F.size("ls").alias("n"), F.posexplode("ls").alias("pos", "body"))
+    lines = held.select("__id", "__text", F.split("low", "\n").alias("ls")).select("__id", "__text", F.size("ls").alias("n"), F.posexplode_outer("ls").alias("pos", "body"))
     lines = lines.select("__id", "__text", F.lit(0).alias("kind"), "pos", ((F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).alias("edge"), "body")
     cut = held.filter(F.contains("low", F.lit("\n"))).select("__id", "__text", "low", F.split("low", GAP).alias("bs"))
-    blocks = cut.select("__id", "__text", F.posexplode("bs").alias("pos", "body")).filter(F.contains("body", F.lit("\n")))
+    blocks = cut.select("__id", "__text", F.posexplode_outer("bs").alias("pos", "body")).filter(F.contains("body", F.lit("\n")))
     blocks = blocks.select("__id", "__text", F.lit(1).alias("kind"), "pos", (F.col("pos") == 0).alias("edge"), "body")
     whole = cut.filter(F.size("bs") > 1).select("__id", "__text", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.lit(True).alias("edge"), F.col("low").alias("body"))
     every = lines.unionByName(blocks).unionByName(whole)
-    return every.select("__id", "__text", "kind", "pos", "edge", terms(F.col("body")).alias("terms")).filter(F.size("terms") > 0)
+    return once(every, terms=terms(F.col("body"))).drop("body").filter(F.size("terms") > 0)
 
 
 def license_units(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +118,7 @@ def license_units(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     counts = [Counter(_terms(t)) for _, t in names]
     vocabulary = sorted(set().union(*counts))
     split = units(docs, id_col, text_col)
-    every = split.filter("kind = 0").select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))  # "" counts the lines
+    every = split.filter("kind = 0").select(F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))  # "" counts the lines
     counted = materialise(every.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
     df = {r["term"]: r["n"] for r in counted.filter(F.col("term").isin(["", *vocabulary])).collect()}
     n = df.get("", 0)
@@ -133,8 +139,8 @@ def license_units(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 heavy, least = heavy + w * w, least + 1
         fewest.setdefault(least, []).append(tuple(sorted(own)))
     # a unit's words that templates have, few, are picked once; what follows looks at those only
-    inner = split.withColumn("inner", F.filter("terms", lambda t: t.isin(vocabulary))).filter(F.size("inner") >= min(fewest, default=0))
-    few = inner.withColumn("few", F.array_distinct("inner")).filter(F.arrays_overlap("few", F.array(*[F.lit(t) for t in sorted(needed)])))
+    inner = once(split, inner=F.filter("terms", lambda t: t.isin(vocabulary))).filter(F.size("inner") >= min(fewest, default=0))
+    few = once(inner, few=F.array_distinct("inner")).filter(F.arrays_overlap("few", F.array(*[F.lit(t) for t in sorted(needed)])))
     enough = [F.size(F.array_intersect("few", F.array(*[F.lit(t) for t in own]))) >= least for least, group in sorted(fewest.items()) for own in sorted(set(group))]
     candidates = few.filter(reduce(lambda a, b: a | b, enough, F.lit(False)))
     # first only the templates' words are counted; each other word weighs 1 at least, which bounds the cosine from above
