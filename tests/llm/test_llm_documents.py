@@ -216,6 +216,41 @@ def test_line_simhash_of_any_length(spark):
         assert got[k] == (len(own), sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in own) > len(own)) if own else None) or not own
 
 
+def test_line_dedup_reads_a_text_once_not_once_a_line(spark, docs, monkeypatch):
+    """No table hashes or splits a text above the generator of its lines, where each line would do it again."""
+    plans, write = {}, line_dedup.materialise
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialise", seen)
+    line_dedup.removed_lines(docs).count()
+    cutting = {name: p[: p.index("Generate posexplode")] for name, p in plans.items() if "Generate posexplode" in p}
+    assert "lines" in cutting and len(cutting) > 1
+    assert not [name for name, p in cutting.items() if re.search(r"(xxhash64|split)\(text#", p)]
+
+
+def test_members_look_again_only_in_their_own_buckets(spark, monkeypatch):
+    rows = []
+    for key in range(30):  # a leader that links nobody, and a hub that links more components than one look names
+        size = 12 if key == 0 else 3
+        rows += [(1000 * key + i, key) for i in range(size)]
+    df = spark.createDataFrame(rows, "id long, k long")
+    named, write = [], links.materialise
+
+    def seen(t, name):
+        out = write(t, name)
+        named.extend([out.count()] if name == "named" else [])
+        return out
+
+    monkeypatch.setattr(links, "materialise", seen)
+    hub = lambda a, b: (a != b) & ((a == 6) | (b == 6)) & (a != 0) & (b != 0)
+    got = {r["node"]: r["root"] for r in links.keyed_components(df, [F.col("k")], hub).collect()}
+    assert got == {i: 1 for i in range(1, 12)}
+    assert len(named) > 1 and named[0] == len(rows) and max(named[1:]) <= 12
+
+
 def test_substrings(docs, empty):
     rows = sorted((r["doc_id"] if r["doc_id"] is not None else 1 << 62, (r["text"] or "").encode()) for r in docs.collect())
     got = Counter((r["doc_id"] if r["doc_id"] is not None else 1 << 62, r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in substrings.repeated_substrings(docs, bucket_bytes=4000, least_buckets=5).collect())

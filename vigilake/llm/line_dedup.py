@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import keyed_components, only
-from .scratch import materialise, scope
+from .scratch import joint_shuffles, materialise, scope
 
 
 #: Bits of a lane: 7 lanes of a long count up to 255 words each and leave the sign alone.
@@ -35,19 +35,20 @@ def normal(line: Column) -> Column:
     return F.when(reduce(lambda x, y: x | y, runs), F.regexp_replace(low, "[ \\t\\r\\x0b\\x0c]+", " ")).otherwise(low)
 
 
-def first_words(lines: DataFrame, norm: str, least: int) -> DataFrame:
-    """``lines`` with ``first`` in place of ``norm``: the FIRST first words of a line of at least ``least`` words, else null; a word is one hash.
+def first_words(lines: DataFrame, norm: str, least: int, names: list[str]) -> DataFrame:
+    """``lines`` with ``names`` in place of ``norm``: hashes of the first words of a line of at least ``least`` words, else null.
 
     Longer words, which are rarer, come first, then as they stand, so words that
     two lines have in common come in the same order in both. Each step is a column of
-    its own, because what a lambda names is computed again for each element.
+    its own, because what a lambda names is computed again for each element; the
+    hashes are outside of any lambda, where the JVM compiles them.
     """
     keep = [c for c in lines.columns if c != norm]
     split = lines.select(*keep, F.split(norm, " ").alias("__ws"))
     place = F.transform("__ws", lambda w, i: F.shiftleft(F.lit(31) - F.least(F.length(w), F.lit(31)), 26) + i)  # lines have under 2^26 words
-    placed = split.select(*keep, "__ws", F.slice(F.sort_array(place), 1, FIRST).alias("__at"))
-    first = F.transform("__at", lambda p: F.xxhash64(F.get("__ws", p.bitwiseAND(F.lit((1 << 26) - 1)))))
-    return placed.select(*keep, F.when(F.size("__ws") >= least, first).alias("first"))
+    placed = split.select(*keep, "__ws", F.slice(F.sort_array(place), 1, len(names)).alias("__at"))
+    word = lambda i: F.get("__ws", F.get("__at", F.lit(i)).bitwiseAND(F.lit((1 << 26) - 1)))
+    return placed.select(*keep, *[F.when((F.size("__ws") >= least) & (F.size("__at") > i), F.xxhash64(word(i))).alias(f) for i, f in enumerate(names)])
 
 
 def blocks(nodes: DataFrame, first: list[str]) -> tuple[DataFrame, list[Column]]:
@@ -79,14 +80,15 @@ def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, n and fp of each row of ``lines`` (keys; norm): the 63-bit SimHash of its n words.
 
     All words count (LONG is 1). A bit is 1 if it is set in over half of the words'
-    hashes. Lane l of sum j counts bit j + 9 * l, so a word costs 9 additions;
-    lines with more words than a lane can count are counted in stretches and added up bit by bit.
+    hashes. Lane l of sum j counts bit j + 9 * l, so a word costs 9 additions, which the JVM
+    compiles; lines with more words than a lane can count are counted in stretches and added up bit by bit.
     """
-    hashed = lines.select(*keys, F.transform(F.filter(F.split("norm", " "), lambda w: F.length(w) >= LONG), lambda w: F.xxhash64(w)).alias("hs"))
-    zero = F.struct(*[F.lit(0).cast("long").alias(s) for s in SUMS])
-    add = lambda acc, h: F.struct(*[(acc[s] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONES))).alias(s) for j, s in enumerate(SUMS)])
-    stretch = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("hs") / MOST).cast("int") - 1, F.lit(0))), lambda i: F.aggregate(F.slice("hs", i * MOST + 1, F.lit(MOST)), zero, add))
-    counted = hashed.select(*keys, F.size("hs").alias("n"), stretch.alias("cs"))
+    words = lines.select(*keys, F.posexplode(F.split("norm", " ")).alias("at", "w"))
+    counts = F.length("w") >= LONG
+    hashed = words.select(*keys, "at", counts.cast("long").alias("one"), F.when(counts, F.xxhash64("w")).otherwise(F.lit(0).cast("long")).alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ONES))).alias(s) for j, s in enumerate(SUMS)]
+    stretches = hashed.groupBy(*keys, F.floor(F.col("at") / MOST).alias("stretch")).agg(F.sum("one").alias("n"), *sums)
+    counted = stretches.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list(F.struct(*SUMS)).alias("cs"))
     counted = counted.select(*keys, "n", "cs", F.col("cs")[0].alias("c")).select(*keys, "n", "cs", "c.*")
     lane = lambda c, bit: F.shiftrightunsigned(c[SUMS[bit % LANE]], LANE * (bit // LANE)).bitwiseAND(F.lit((1 << LANE) - 1))
     total = lambda bit: F.aggregate("cs", F.lit(0).cast("long"), lambda acc, c: acc + lane(c, bit))
@@ -119,29 +121,30 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words is at least ``similarity``. Of each connected group the occurrence with the smallest
     id, text hash and position stays.
     """
-    with scope() as kept:
-        text = F.xxhash64(text_col)
-        lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), text.alias("__text"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    with scope() as kept, joint_shuffles(docs.sparkSession):
+        # a text is hashed and split here, once: what stands beside a generator is computed again for each row it makes
+        texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.split(text_col, "\n").alias("__lines"))
+        lines = texts.select("__id", "__text", F.posexplode("__lines").alias("pos", "line"))
         # no filter here: pushed down, it would make every normal form twice
         hashed = lines.select("__id", "__text", "pos", normal(F.col("line")).alias("norm")).withColumn("norm", F.when(F.length("norm") >= least_chars, F.col("norm")))
         seen = hashed.select("__id", "__text", "pos", F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), "norm")
-        seen = materialise(first_words(seen, "norm", fuzzy_words), "lines").filter("k1 is not null")
         names = [f"f{i}" for i in range(FIRST)]
-        firsts = [F.min(F.get("first", F.lit(i))).alias(f) for i, f in enumerate(names)]  # equal lines have equal ones; longs keep the aggregate in generated code
+        seen = materialise(first_words(seen, "norm", fuzzy_words, names), "lines").filter("k1 is not null")
+        firsts = [F.min(f).alias(f) for f in names]  # equal lines have equal ones; longs keep the aggregate in generated code
         distinct = materialise(seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), *firsts), "distinct")
         nodes = distinct.filter("f0 is not null").withColumnRenamed("k1", "id")
 
         def describe(ids: DataFrame) -> DataFrame:
-            """The SimHash and the symbols of each line, from one document that has it; only those documents are cut again."""
-            own = seen.select("__text", "pos", F.col("k1").alias("id"))
-            at = only(own, ids, "id").groupBy("id").agg(F.min("__text").alias("__text"), F.min_by("pos", "__text").alias("pos")).join(ids, "id")  # a line of very many documents is one row before it is joined
-            wanted = materialise(at.groupBy("__text").agg(F.collect_list(F.struct("id", "pos")).alias("at")), "wanted")
-            texts = docs.filter(F.col(text_col).isNotNull()).select(text.alias("__text"), F.col(text_col).alias("text"))
-            found = only(texts, wanted, "__text").dropDuplicates(["__text"]).join(wanted, "__text")
-            cut = found.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at")).select("at.id", F.get("lines", F.col("at.pos")).alias("line"))
-            cut = cut.select("id", normal(F.col("line")).alias("norm"))
-            hashed = simhashes(cut.select("id", "norm"), ["id", "norm"])
-            return hashed.select("id", F.struct("fp", symbols(F.col("norm")).alias("symbols")).alias("about"))
+            """The SimHash and the symbols of each line, from one document that has it; only lines that are wanted leave the task that cuts them."""
+            spot = F.xxhash64("__text", "__id", "pos").alias("spot")
+            own = seen.select("__text", spot, F.col("k1").alias("id"))
+            at = only(own, ids, "id").groupBy("id").agg(F.min("__text").alias("__text"), F.min_by("spot", F.struct("__text", "spot")).alias("spot")).join(ids, "id")  # a line of very many documents is one row before it is joined
+            wanted = materialise(at, "wanted")
+            found = only(texts, wanted, "__text").select("__id", "__text", F.posexplode("__lines").alias("pos", "line")).select(spot, "line")
+            cut = only(found, wanted, "spot").dropDuplicates(["spot"]).join(wanted.select("spot", "id"), "spot")
+            cut = materialise(cut.select("id", normal(F.col("line")).alias("norm")), "cut")
+            told = simhashes(cut, ["id"]).join(cut.select("id", symbols(F.col("norm")).alias("symbols")), "id")
+            return told.select("id", F.struct("fp", "symbols").alias("about"))
 
         near = lambda a, b: F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= distance
         verify = lambda a, b: similar(a["symbols"], b["symbols"], similarity)

@@ -129,9 +129,12 @@ def keyed_components(items: DataFrame, keys: list[Column], near: Check, describe
     edges = materialise(passed.select("u", "v"), "edges")
     labels, active = materialise(connected_components(edges), "labels"), None
     while True:
-        of = labels.toDF("id", "label")
-        leads = many.join(of.toDF("lo", "lead"), "lo", "left").select("key", F.coalesce("lead", "lo").alias("lead"))
-        named = rows.join(of, "id", "left").join(leads, "key").select("key", "n", "id", F.coalesce("label", "id").alias("label"), "lead")
+        of, looked, own = labels.toDF("id", "label"), many, rows
+        if active is not None:  # nobody looks in the other buckets again
+            again = active.select("key").distinct()
+            looked, own = many.join(again, "key", "left_semi"), only(rows, again, "key").join(again, "key", "left_semi")
+        leads = looked.join(of.toDF("lo", "lead"), "lo", "left").select("key", F.coalesce("lead", "lo").alias("lead"))
+        named = own.join(of, "id", "left").join(leads, "key").select("key", "n", "id", F.coalesce("label", "id").alias("label"), "lead")
         named = materialise(named.withColumn("other", F.col("label") != F.col("lead")).drop("lead"), "named")
         live = materialise(named.filter("other").groupBy("key").agg(F.count(F.lit(1)).alias("others")), "live")
         if live.isEmpty():
