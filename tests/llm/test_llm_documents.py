@@ -216,6 +216,36 @@ def test_line_simhash_of_any_length(spark):
         assert got[k] == (len(own), sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in own) > len(own)) if own else None) or not own
 
 
+def test_two_members_are_verified_in_one_of_the_buckets_they_share(spark, monkeypatch):
+    tables, write = {}, links.materialise
+
+    def seen(df, name):
+        table = write(df, name)
+        if name == "found":
+            tables[name] = tables.get(name, []) + [table.collect()]
+        return table
+
+    monkeypatch.setattr(links, "materialise", seen)
+    items = spark.createDataFrame([(0, 7, None), (1, None, 8), (10, 7, 8), (11, 7, 8), (12, 7, 9), (13, None, 9), (2, None, 9)], "id long, a long, b long")
+    describe = lambda ids: ids.select("id", F.struct(F.col("id").alias("x")).alias("about"))
+    linked = lambda a, b: (a["x"] > 2) & (b["x"] > 2)
+    got = links.keyed_components(items, [F.col("a"), F.col("b")], lambda a, b: F.lit(True), describe, linked, anywhere=True)
+    assert {r["node"]: r["root"] for r in got.collect()} == {10: 10, 11: 10, 12: 10, 13: 10}
+    pairs = [{(r["key"], *sorted((r["u"], r["v"]))) for r in t} for t in tables["found"]]
+    assert sorted(pairs[0]) == [(7, 10, 11), (7, 10, 12), (7, 11, 12), (9, 12, 13)]
+
+
+def test_line_dedup_splits_a_text_once_for_its_result(spark, docs):
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text#") == 1
+
+
+def test_normal_form_of_lines(spark):
+    lines = ["", "  ", " \t A \t b\r", "\x0b\x0cÄB  c", "x\ty\x0cz ", "plain line", "a\u00a0 b"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(lines)), "i int, line string").orderBy("i").select(line_dedup.normal(F.col("line"))).collect()]
+    assert got == ["", "", "a b", "äb c", "x y z", "plain line", "a\u00a0 b"]
+
+
 def test_line_dedup_reads_a_text_once_not_once_a_line(spark, docs, monkeypatch):
     """No table hashes or splits a text above the generator of its lines, where each line would do it again."""
     plans, write = {}, line_dedup.materialise

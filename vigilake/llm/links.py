@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise, release
+from .scratch import materialise, rare_keys, release
 
 
 Check = Callable[[Column, Column], Column]
@@ -102,15 +102,19 @@ def keyed_components(items: DataFrame, keys: list[Column], near: Check, describe
     about ``tile``: a member names one linked member of up to MOST other components in each
     tile, and those that named as many look again, by the components found so far. So
     no link is lost, no pairs are listed, and members of the leading component
-    are not compared with each other.
+    are not compared with each other. With ``describe``, two members are verified in the least of the buckets they share only;
+    if that has no other component left, they are in one already.
     """
     small = []
     passes = -(-len(keys) // PASS)
     for at in range(passes):  # a share of the keys at a time, so that their shuffles don't lie side by side
         some = F.lit(True) if not anywhere else F.pmod(F.col("key"), F.lit(passes)) == at
         dealt = items.select("id", F.explode(F.array(*(keys if anywhere else keys[at::passes]))).alias("key")).filter(F.col("key").isNotNull() & some)
+        if anywhere:  # most such keys come once, so sums before the shuffle would only make its rows wider
+            dealt = dealt.repartition("key")
         found = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"))
-        small.append(materialise(found.filter("lo < hi"), "buckets"))
+        with rare_keys(items.sparkSession):
+            small.append(materialise(found.filter("lo < hi"), "buckets"))
     buckets = reduce(DataFrame.unionByName, small)
     two = buckets.filter("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     # buckets of the same members, as near copies make for key after key, hold the same links: one of them is enough
@@ -125,6 +129,7 @@ def keyed_components(items: DataFrame, keys: list[Column], near: Check, describe
     else:
         ids = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
         about = materialise(describe(ids), "about")
+        whose = rows.groupBy("id").agg(F.collect_list("key").alias("keys"))
         passed = pairs.join(about.toDF("u", "a"), "u").join(about.toDF("v", "b"), "v").filter(both(F.col("a"), F.col("b")))
     edges = materialise(passed.select("u", "v"), "edges")
     labels, active = materialise(connected_components(edges), "labels"), None
@@ -139,7 +144,8 @@ def keyed_components(items: DataFrame, keys: list[Column], near: Check, describe
         live = materialise(named.filter("other").groupBy("key").agg(F.count(F.lit(1)).alias("others")), "live")
         if live.isEmpty():
             return labels
-        found = materialise(_crossed(named, live, active, near, verify, about, tile), "found")
+        told = about if about is None else about.join(whose, "id")
+        found = materialise(_crossed(named, live, active, near, verify, told, tile), "found")
         release(named, live)
         if found.isEmpty():
             return labels
@@ -161,15 +167,16 @@ MOST = 4
 def _crossed(named: DataFrame, live: DataFrame, active: DataFrame | None, near: Check, verify: Check | None, about: DataFrame | None, tile: int) -> DataFrame:
     """(key, id, u, v, again): links of members to other components, as those components u and v, from rows (key, n, id, label, other) of the buckets ``live`` (key, others); ``again``: the member may have more of them.
 
-    ``active`` (key, id) are the members that look; all that are not in the leading component, if None.
+    ``active`` (key, id) are the members that look; all that are not in the leading component, if None. ``about`` (id, about, keys)
+    has all keys of a member, in every round.
     """
     at = lambda count: F.pmod(F.xxhash64("id"), F.greatest(F.ceil(count / tile), F.lit(1))).cast("int")
     own, rest = F.col("others"), F.col("n") - F.col("others")
     rows = only(named, live, "key").join(live, "key").withColumn("tile", F.when(F.col("other"), at(own)).otherwise(at(rest)))
     if about is not None:
         rows = rows.join(about, "id")
-    told = F.col("id") if about is None else F.col("about")
-    member = F.collect_list(F.struct("id", "label", told.alias("told")))
+    told = [F.col("id").alias("told")] if about is None else [F.col("about").alias("told"), F.col("keys")]
+    member = F.collect_list(F.struct("id", "label", *told))
     by = ["key", "other", "tile", "n", "others"]
     tiles = materialise(rows.groupBy(*by).agg(member.alias("m"), F.min("label").alias("low"), F.max("label").alias("high")), "tiles")
     looking = tiles.filter("other")
@@ -185,12 +192,16 @@ def _crossed(named: DataFrame, live: DataFrame, active: DataFrame | None, near:
     both = left.join(right, ["key", "other", "tile"]).filter("least(l1, l2) < greatest(h1, h2)")
     start = F.array().cast("array<bigint>")
 
+    def passes(a: Column, b: Column) -> Column:
+        here = F.lit(True) if about is None else F.array_min(F.array_intersect(a["keys"], b["keys"])) == F.col("key")
+        return here if verify is None else here & verify(a["told"], b["told"])
+
     def look(a: Column) -> Column:
         elsewhere = F.filter("b", lambda b: (b["label"] != a["label"]) & near(a["told"], b["told"]))
 
         def step(got: Column, b: Column) -> Column:  # no row of a component is verified once one of it has passed
             done = (F.size(got) >= MOST) | F.array_contains(got, b["label"])
-            return F.when(done, got).when(F.lit(True) if verify is None else verify(a["told"], b["told"]), F.concat(got, F.array(b["label"]))).otherwise(got)
+            return F.when(done, got).when(passes(a, b), F.concat(got, F.array(b["label"]))).otherwise(got)
 
         return F.struct(a["id"].alias("id"), a["label"].alias("u"), F.aggregate(elsewhere, start, step).alias("got"))
 
